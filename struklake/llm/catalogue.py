@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from struklake.llm import sharding
+from struklake.llm import mixing, sharding
 from struklake.llm.common import read_table
 
 
@@ -12,10 +12,16 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_digest(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_sharding": op3_sharding,
+    "op7_mixing": op7_mixing,
 }
 
 ORACLES = {
     "op3_sharding": sharding.ORACLE,
+    "op7_mixing": mixing.ORACLE,
 }
