@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from struklake.llm import mixing, sharding
+from struklake.llm import mixing, sharding, simhash
 from struklake.llm.common import read_table
 
 
@@ -12,12 +12,17 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op3_sharding": op3_sharding,
+    "op4_simhash": op4_simhash,
     "op7_mixing": op7_mixing,
 }
 
