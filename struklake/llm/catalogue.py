@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from struklake.llm import mixing, sharding, simhash
+from struklake.llm import decontaminate, mixing, repeats, sharding, simhash
 from struklake.llm.common import read_table
 
 
@@ -20,13 +20,26 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removal_digest(read_table(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    )
+
+
 QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_simhash": op4_simhash,
     "op7_mixing": op7_mixing,
+    "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLES = {
     "op3_sharding": sharding.ORACLE,
     "op7_mixing": mixing.ORACLE,
+    "op9_suffix_dedup": repeats.ORACLE,
 }
