@@ -4,7 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from struklake.llm import decontaminate, mixing, quality, repeats, sharding, simhash
+from struklake.llm import (
+    decontaminate,
+    linededup,
+    mixing,
+    quality,
+    repeats,
+    sharding,
+    simhash,
+    urls,
+)
 from struklake.llm.common import read_table
 
 
@@ -14,6 +23,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.verdict_digest(read_table(spark, sf_dir, "pages"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(read_table(spark, sf_dir, "documents"))
 
@@ -26,6 +39,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_digest(read_table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removal_digest(read_table(spark, sf_dir, "documents"))
 
@@ -38,15 +55,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_url_filter": op2_url_filter,
     "op3_sharding": op3_sharding,
     "op4_simhash": op4_simhash,
     "op7_mixing": op7_mixing,
+    "op8_line_dedup": op8_line_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_decontamination": op10_decontamination,
 }
 
 ORACLES = {
+    "op2_url_filter": urls.ORACLE,
     "op3_sharding": sharding.ORACLE,
     "op7_mixing": mixing.ORACLE,
+    "op8_line_dedup": linededup.ORACLE,
     "op9_suffix_dedup": repeats.ORACLE,
 }
