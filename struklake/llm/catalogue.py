@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from struklake.llm import (
     decontaminate,
+    html,
     linededup,
     mixing,
     quality,
@@ -35,6 +36,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(read_table(spark, sf_dir, "pages"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(read_table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_sharding": op3_sharding,
     "op4_simhash": op4_simhash,
+    "op6_html": op6_html,
     "op7_mixing": op7_mixing,
     "op8_line_dedup": op8_line_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
