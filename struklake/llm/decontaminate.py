@@ -21,13 +21,14 @@ match nothing; repeated rows each give their matches; empty tables give an empty
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORDS, SIMILARITY = 5, 0.8
@@ -196,18 +197,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     return found
 
 
+def _leaks(items: Broadcast) -> Callable[[Column], Column]:
+    """Whether a text holds one of the broadcast items."""
+
+    @F.pandas_udf("boolean")
+    def leaks(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = ItemIndex(items.value, SIMILARITY)
+        for texts in series:
+            yield pd.Series([bool(index.matches(t)) for t in texts], dtype=bool)
+
+    return leaks
+
+
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no benchmark item is found."""
-    marked = docs
     sc = docs.sparkSession.sparkContext
     for block in item_blocks(benchmark):
-        items = sc.broadcast(block)
-
-        @F.pandas_udf("boolean")
-        def leaks(series: Iterator[pd.Series], items=items) -> Iterator[pd.Series]:
-            index = ItemIndex(items.value, SIMILARITY)
-            for texts in series:
-                yield pd.Series([bool(index.matches(t)) for t in texts], dtype=bool)
-
-        marked = marked.filter(~leaks(F.col("text")))
-    return marked
+        docs = docs.filter(~_leaks(sc.broadcast(block))(F.col("text")))
+    return docs

@@ -282,7 +282,9 @@ def _hamming(a: str, b: str, bits: int) -> Column:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents of which no smaller doc_id is a near copy; of repeated rows one stays."""
-    groups = near_copies(docs)
-    kept = groups.filter("doc_id = group_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """The documents of which no smaller doc_id is a near copy; of rows that share a doc_id one
+    stays. Rows without a doc_id all stay, for nothing can name the one to keep."""
+    groups = near_copies(docs.filter("doc_id is not null"))
+    kept = groups.filter("doc_id = group_id").select("doc_id")
+    one = docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
