@@ -1,4 +1,14 @@
 """Registry of the queries over the star schema and their DuckDB counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from struklake.plans import oracles, queries
+
+_NAMES = (
+    "fixture_lines",
+    "receipt_totals",
+    "receipt_totals_full",
+)
+
+QUERIES = {name: getattr(queries, name) for name in _NAMES}
+ORACLES = {name: getattr(oracles, name.upper()) for name in _NAMES if hasattr(oracles, name.upper())}
