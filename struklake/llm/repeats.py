@@ -8,8 +8,10 @@ windows have equal anchors at equal places, so everything is induced from the sa
 1. anchors and segment hashes are shuffled once by anchor (Spark sorts and spills them);
 2. an anchor that occurs once settles all its windows as unique;
 3. segments that are equal as a whole are repeated as a whole;
-4. only where equal anchors stand in different segments (the ends of a repeat) are the single
-   windows compared, one representative for each group of equal segments.
+4. only where equal anchors stand in different segments (the ends of a repeat) are the windows
+   compared, one representative for each group of equal segments: in strips of STRIP windows, which
+   are unique as a whole unless the bytes that all of them cover (the core) occur again, and
+   otherwise differ only in the few bytes before and after the core, which travel with it.
 
 Hashes are two independent 64-bit polynomials, so equality means equal 128 bits.
 
@@ -35,6 +37,8 @@ from struklake.llm.common import materialise
 
 #: Bytes of a repeated string, and of an anchor inside it.
 LENGTH, K = 200, 64
+#: Windows of a strip.
+STRIP = 16
 #: Windows handled at a time.
 CHUNK = 1 << 19
 
@@ -48,7 +52,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 class Polynomials:
     """Two rolling hashes of bytes modulo 2^64 with random digits and odd bases."""
 
-    def __init__(self, size: int = CHUNK + LENGTH):
+    def __init__(self, size: int = CHUNK + 3 * LENGTH):
         rng = np.random.default_rng(20)
         self.digit = [rng.integers(0, 2**64, 256, dtype=np.uint64) for _ in range(2)]
         bases = [0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93]
@@ -85,7 +89,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, hashes: Polynomials) -> Iterator[tuple[np.ndarray, ...]]:
-    """(lo, hi, anchor hash, segment hash): windows lo to hi share an anchor."""
+    """(lo, hi, anchor place, anchor hash, segment hash): windows lo to hi share an anchor."""
     for at in range(0, len(data) - LENGTH + 1, CHUNK):
         part = data[at : at + CHUNK + LENGTH - 1]
         sums = hashes.sums(0, part)
@@ -99,7 +103,7 @@ def segments(data: np.ndarray, hashes: Polynomials) -> Iterator[tuple[np.ndarray
         sig = hashes.between(1, hashes.sums(1, part), lo, hi + LENGTH)
         # what stands before the anchor is part of the segment's identity
         sig = mixed(sig ^ ((chosen[lo] - lo).astype(np.uint64) << np.uint64(32)) ^ (hi - lo).astype(np.uint64))
-        yield lo + at, hi + at, anchors[chosen[lo]], sig
+        yield lo + at, hi + at, chosen[lo] + at, anchors[chosen[lo]], sig
 
 
 def _bytes(text: str | None) -> np.ndarray:
@@ -108,16 +112,16 @@ def _bytes(text: str | None) -> np.ndarray:
 
 def _find_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = Polynomials()
-    names = ["doc_id", "text_key", "lo", "hi", "anchor", "sig"]
+    names = ["row_id", "text_key", "lo", "hi", "place", "anchor", "sig"]
     for batch in batches:
         rows: list[list[np.ndarray]] = []
         held = 0
-        columns = (batch["doc_id"].to_pylist(), batch["text_key"].to_pylist(), batch["text"].to_pylist())
-        for doc_id, key, text in zip(*columns, strict=True):
+        columns = [batch[c].to_pylist() for c in ("row_id", "text_key", "text")]
+        for row_id, key, text in zip(*columns, strict=True):
             data = _bytes(text)
             if len(data) >= LENGTH:
-                for lo, hi, anchor, sig in segments(data, hashes):
-                    rows.append([np.full(len(lo), doc_id), np.full(len(lo), key), lo, hi,
+                for lo, hi, place, anchor, sig in segments(data, hashes):
+                    rows.append([np.full(len(lo), row_id), np.full(len(lo), key), lo, hi, place,
                                  anchor.view(np.int64), sig.view(np.int64)])
                     held += len(lo)
             if held > 100_000:
@@ -135,28 +139,44 @@ def _batch(rows: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
     )
 
 
-def _find_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of the single windows of the listed segments."""
+def _find_strips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The listed segments in strips: windows first to last, the place of the core (the last start
+    that the strip can have), two hashes of the core, and the bytes around it."""
     hashes = Polynomials()
-    names = ["doc_id", "text_key", "place", "anchor", "window"]
     for batch in batches:
         rows: list[list[np.ndarray]] = []
-        held = 0
-        columns = [batch[c].to_pylist() for c in ("doc_id", "text_key", "text", "los", "his", "anchors")]
-        for doc_id, key, text, los, his, anchors in zip(*columns, strict=True):
+        around: list[tuple[bytes, bytes]] = []
+        columns = [batch[c].to_pylist() for c in ("row_id", "text_key", "text", "los", "his", "places")]
+        for row_id, key, text, *lists in zip(*columns, strict=True):
             data = _bytes(text)
-            for lo, hi, anchor in zip(los, his, anchors, strict=True):
-                part = data[lo : hi + LENGTH]
-                window = hashes.runs(1, hashes.sums(1, part), LENGTH)
-                n = len(window)
-                rows.append([np.full(n, doc_id), np.full(n, key), np.arange(lo, lo + n),
-                             np.full(n, anchor), window.view(np.int64)])
-                held += n
-            if held > 100_000:
-                yield _batch(rows, names)
-                rows, held = [], 0
+            lo, hi, place = (np.array(x, dtype=np.int64) for x in lists)
+            low, high = (place - hi) // STRIP, (place - lo) // STRIP
+            n = high - low + 1
+            seg = np.repeat(np.arange(len(lo)), n)
+            strip = np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n) + low[seg]
+            core = place[seg] - STRIP * strip
+            first, last = np.maximum(lo[seg], core - STRIP + 1), np.minimum(hi[seg], core)
+            end = core - STRIP + 1 + LENGTH
+            two = np.zeros((2, len(seg)), dtype=np.uint64)
+            for at in range(0, len(data), CHUNK):
+                here = np.flatnonzero((core >= at) & (core < at + CHUNK))
+                if len(here):
+                    part = data[at : at + CHUNK + LENGTH]
+                    for k in range(2):
+                        two[k, here] = hashes.between(k, hashes.sums(k, part), core[here] - at, end[here] - at)
+            rows.append([np.full(len(seg), row_id), np.full(len(seg), key), first, last, core, *two.view(np.int64)])
+            raw = data.tobytes()
+            around += [
+                (raw[f:c], raw[e : t + LENGTH])
+                for f, t, c, e in zip(first.tolist(), last.tolist(), core.tolist(), end.tolist(), strict=True)
+            ]
         if rows:
-            yield _batch(rows, names)
+            out = _batch(rows, ["row_id", "text_key", "lo", "hi", "place", "core", "core2"])
+            before, after = zip(*around, strict=True) if around else ((), ())
+            out = out.append_column("before", pa.array(before, pa.binary()))
+            out = out.append_column("after", pa.array(after, pa.binary()))
+            for i in range(0, out.num_rows, 50_000):
+                yield out.slice(i, 50_000)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,51 +206,77 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, kept (the bytes that stay) and the removed runs [starts, ends)."""
-    # Null ids travel as -1: together with the text's hash they still name the rows.
+    # Null ids travel as -1: together with the text's hash they still name the rows. Both joins
+    # below read the same columns of `keyed`, so its texts are shuffled once.
     keyed = docs.select(
-        "doc_id", F.coalesce("doc_id", F.lit(-1)).cast("long").alias("row_id"),
+        "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("row_id"),
         F.xxhash64("text").alias("text_key"), "text",
     )
-    found = keyed.select(F.col("row_id").alias("doc_id"), "text_key", "text").mapInArrow(
-        _find_segments, "doc_id long, text_key long, lo int, hi int, anchor long, sig long"
-    ).withColumnRenamed("doc_id", "row_id")
+    found = keyed.select("row_id", "text_key", "text").mapInArrow(
+        _find_segments, "row_id long, text_key long, lo int, hi int, place int, anchor long, sig long"
+    )
     by_anchor, by_segment = Window.partitionBy("anchor"), Window.partitionBy("anchor", "sig")
     repeated = materialise(
         found.withColumns({
-            "n_anchor": F.count(F.lit(1)).over(by_anchor),
+            "n": F.count(F.lit(1)).over(by_anchor),
             "mixed": F.min("sig").over(by_anchor) != F.max("sig").over(by_anchor),
         })
-        .filter("n_anchor > 1")
+        .filter("n > 1")
         .withColumns({
             "whole": F.count(F.lit(1)).over(by_segment) > 1,
             "nth": F.row_number().over(by_segment.orderBy("row_id", "text_key", "lo")),
         })
         .withColumn("open", F.col("mixed") & (F.col("nth") == 1))
         .filter("whole or open")
-        .select("row_id", "text_key", "lo", "hi", "anchor", "whole", "open")
+        .select("row_id", "text_key", "lo", "hi", "place", "whole", "open")
     )
     unsettled = repeated.filter("open").groupBy("row_id", "text_key").agg(
-        F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his"),
-        F.collect_list("anchor").alias("anchors"),
+        F.collect_list(F.struct("lo", "hi", "place")).alias("open_segments")
     ).withColumnsRenamed({"row_id": "__row", "text_key": "__key"})
+    same = (F.col("row_id") == F.col("__row")) & (F.col("text_key") == F.col("__key"))
+    strips = (
+        keyed.join(unsettled.hint("merge"), same)
+        .select("doc_id", "row_id", "text_key", "text", F.col("open_segments.lo").alias("los"),
+                F.col("open_segments.hi").alias("his"), F.col("open_segments.place").alias("places"))
+        .mapInArrow(_find_strips, "row_id long, text_key long, lo int, hi int, place int, "
+                                  "core long, core2 long, before binary, after binary")
+    )
+    # All windows below are partitioned by the core, so the strips are shuffled once. Of equal
+    # strips the first stands for all when single windows are compared; a null start is the
+    # strip as a whole, which is repeated if it has an equal.
+    by_core = Window.partitionBy("core", "core2")
+    by_strip = Window.partitionBy("core", "core2", "before", "after", F.expr("place - lo"), F.expr("place - hi"))
+    checked = (
+        strips.withColumn("n", F.count(F.lit(1)).over(by_core)).filter("n > 1")
+        .withColumns({
+            "whole": F.count(F.lit(1)).over(by_strip) > 1,
+            "nth": F.row_number().over(by_strip.orderBy("row_id", "text_key", "lo")),
+        })
+    )
+    by_window = Window.partitionBy("core", "core2", "back", "left_bytes", "right_bytes")
     windows = (
-        keyed.join(unsettled, (F.col("row_id") == F.col("__row")) & (F.col("text_key") == F.col("__key")))
-        .select(F.col("row_id").alias("doc_id"), "text_key", "text", "los", "his", "anchors")
-        .mapInArrow(_find_windows, "doc_id long, text_key long, place int, anchor long, window long")
-        .withColumnRenamed("doc_id", "row_id")
-        .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("anchor", "window")))
-        .filter("n > 1")
+        checked.withColumn("start", F.explode(F.expr(
+            "if(nth = 1, if(whole, concat(array(null), sequence(lo, hi)), sequence(lo, hi)), array(null))")))
+        .withColumns({
+            "back": F.expr("place - start"),
+            "left_bytes": F.expr("substring(before, start - lo + 1)"),
+            "right_bytes": F.expr(f"substring(after, 1, start - (place - {STRIP - 1}))"),
+        })
+        .withColumn("n", F.count("start").over(by_window))
+        .filter("start is null or n > 1")
     )
     runs = (
         repeated.filter("whole").select("row_id", "text_key", "lo", "hi")
-        .unionByName(windows.select("row_id", "text_key", F.col("place").alias("lo"), F.col("place").alias("hi")))
+        .unionByName(windows.select(
+            "row_id", "text_key", F.coalesce("start", "lo").alias("lo"), F.coalesce("start", "hi").alias("hi")))
         .groupBy("row_id", "text_key")
-        .agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his"))
+        .agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
         .withColumnsRenamed({"row_id": "__row", "text_key": "__key"})
     )
     return (
-        keyed.join(runs, (F.col("row_id") == F.col("__row")) & (F.col("text_key") == F.col("__key")), "left")
-        .select("doc_id", "text", "los", "his")
+        keyed.join(runs.hint("merge"), same, "left")
+        .select("doc_id", "row_id", "text_key", "text",
+                F.col("runs.lo").alias("los"), F.col("runs.hi").alias("his"))
         .mapInArrow(_cut, "doc_id long, n_bytes long, kept binary, starts array<long>, ends array<long>")
     )
 
