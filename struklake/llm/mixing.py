@@ -132,8 +132,10 @@ def block_slots(
 ) -> DataFrame:
     """One row per slot of the mix: rank of the source, slot, turn, block and output shard.
 
-    Slots come from one row per source by explode; spans spread a large source over tasks."""
+    Slots come from one row per source by explode; spans spread a large source over tasks, as
+    many as the session's shuffles have."""
     span = 1 << 14
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counted = (
         sources.filter("size > 0")
         .withColumn("n_blocks", F.expr(f"(size + {block - 1}) div {block}"))
@@ -144,7 +146,7 @@ def block_slots(
     spans = counted.select(
         "rank", "n_blocks", "n_slots",
         F.explode(F.expr(f"sequence(0L, (n_slots - 1) div {span})")).alias("span"),
-    ).repartition("rank", "span")
+    ).repartition(tasks, "rank", "span")
     slots = spans.withColumn("slot", F.explode(F.expr(
         f"sequence(span * {span}, least(n_slots, (span + 1) * {span}) - 1)")))
     return slots.withColumn("turn", F.expr("slot div n_blocks")).select(
@@ -198,9 +200,10 @@ def block_pieces(placed: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def mixed_pieces(placed: DataFrame, sources: DataFrame, **options) -> DataFrame:
-    """The mix: every slot with the pieces of its block, joined by block number."""
+    """The mix: every slot with the pieces of its block, joined by block number. Slots are far
+    more than the few source rows they come from, so the join is told not to broadcast them."""
     return block_pieces(placed, options.get("block", BLOCK)).join(
-        block_slots(sources, **options), ["rank", "block"]
+        block_slots(sources, **options).hint("merge"), ["rank", "block"]
     )
 
 
