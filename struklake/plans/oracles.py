@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
+from struklake.functions import dates, features, text
 from struklake.functions import keywords as k
-from struklake.plans.fixtures import LINES_SQL
+from struklake.plans.fixtures import LINES_SQL, TOKENS_SQL
 
 
 def money(n: str) -> str:
@@ -21,24 +24,24 @@ ITEM_RE = r"\d{1,3}(?:[,.]\d{3})+|\d+"
 TOTAL_RE = r"\d{1,3}(?:[,.]\d{3})+|\d+(?:[.,]\d{1,2})?"
 
 
-def item_numbers(text: str) -> str:
-    return f"list_transform(regexp_extract_all(replace({text}, ' ', ''), '{ITEM_RE}'), lambda n: {money('n')})"
+def item_numbers(column: str) -> str:
+    return f"list_transform(regexp_extract_all(replace({column}, ' ', ''), '{ITEM_RE}'), lambda n: {money('n')})"
 
 
-def total_numbers(text: str) -> str:
+def total_numbers(column: str) -> str:
     closed = (
-        rf"regexp_replace(regexp_replace(replace(replace({text}, 'O', '0'), 'o', '0'), "
+        rf"regexp_replace(regexp_replace(replace(replace({column}, 'O', '0'), 'o', '0'), "
         r"'(\d)\s+([,.])', '\1\2', 'g'), '([,.])\s+(\d)', '\1\2', 'g')"
     )
     return f"list_transform(regexp_extract_all({closed}, '{TOTAL_RE}'), lambda n: {money('n')})"
 
 
-def any_of(text: str, terms) -> str:
-    return "(" + " OR ".join(f"contains(lower({text}), '{t}')" for t in terms) + ")"
+def any_of(column: str, terms) -> str:
+    return "(" + " OR ".join(f"contains(lower({column}), '{t}')" for t in terms) + ")"
 
 
-def word_of(text: str, words) -> str:
-    return f"regexp_matches({text}, '(?i)\\b({'|'.join(words)})\\b')"
+def word_of(column: str, words) -> str:
+    return f"regexp_matches({column}, '(?i)\\b({'|'.join(words)})\\b')"
 
 
 def names(values) -> str:
@@ -125,3 +128,329 @@ RECEIPT_TOTALS_FULL = f"WITH {FALLBACKS} SELECT {_COLUMNS.format('grand')} FROM
 
 FIXTURE_LINES = f"""WITH {LINES_SQL}
 SELECT receipt_id, line_index, text, predicted_class, x_min, x_max, y_min, y_max, height FROM lines"""
+
+FIXTURE_TOKENS = f"WITH {TOKENS_SQL} SELECT receipt_id, token_id, text, x0, y0, x1, y1, confidence FROM tokens"
+
+LINE_AMOUNTS = f"""WITH {LINES_SQL},
+forms AS (
+    SELECT receipt_id, line_index, 'item' AS form, {item_numbers('text')} AS v FROM lines
+    UNION ALL SELECT receipt_id, line_index, 'total', {total_numbers('text')} FROM lines)
+SELECT receipt_id, line_index, form, pos::INTEGER AS pos, v[pos + 1] AS value
+FROM (SELECT *, unnest(range(len(v))) AS pos FROM forms)"""
+
+CLASS_COUNTS = f"WITH {RELABELLED} SELECT receipt_id, predicted_class, count(*) AS n FROM labelled GROUP BY ALL"
+
+def squeeze(x: str) -> str:
+    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+
+
+def fixed_words(x: str) -> str:
+    for wrong, right in text.WORD_FIXES.items():
+        x = f"regexp_replace({x}, '(?i)\\b{re.escape(wrong)}\\b', '{right}', 'g')"
+    return x
+
+
+def _in_runs(x: str, pattern: str) -> str:
+    """Digits repaired inside the matches of a pattern in a plain column."""
+    matches = f"list_transform(regexp_extract_all({x}, '{pattern}'), lambda m: translate(m, 'OoIlSZB', '0011528'))"
+    return (f"array_to_string(list_transform(list_zip(string_split_regex({x}, '{pattern}'), list_append({matches}, '')), "
+            "lambda z: z[1] || z[2]), '')")
+
+
+def _fixed_numbers(source: str) -> str:
+    """CTEs n1 to n3: the three kinds of digit runs in turn over column t of `source`."""
+    out, last = [], source
+    for i, pattern in enumerate(text.DIGIT_RUNS, 1):
+        out.append(f"n{i} AS (SELECT receipt_id, line_index, {_in_runs('t', pattern)} AS t FROM {last})")
+        last = f"n{i}"
+    return ", ".join(out)
+
+
+FIX_WORDS = f"WITH {LINES_SQL} SELECT receipt_id, line_index, {fixed_words('text')} AS cleaned FROM lines"
+FIX_NUMBERS = f"""WITH {LINES_SQL}, n0 AS (SELECT receipt_id, line_index, text AS t FROM lines), {_fixed_numbers('n0')}
+SELECT receipt_id, line_index, t AS cleaned FROM n3"""
+# No fixture text holds a currency, so its step changes nothing here.
+FIX_TEXT = f"""WITH {LINES_SQL}, n0 AS (SELECT receipt_id, line_index, {fixed_words('text')} AS t FROM lines), {_fixed_numbers('n0')}
+SELECT receipt_id, line_index, {squeeze('t')} AS cleaned FROM n3"""
+
+_DICTIONARY = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in text.CORRECTIONS.items()) + "}"
+
+
+def corrected(x: str) -> str:
+    fix = f"map_extract({_DICTIONARY}, lower(w))[1]"
+    return f"""array_to_string(list_transform(string_split({squeeze(x)}, ' '), lambda w: coalesce(CASE
+        WHEN upper(w) = w AND regexp_matches(w, '\\p{{L}}') THEN upper({fix})
+        WHEN regexp_matches(w, '^\\p{{Lu}}') THEN upper({fix}[1]) || {fix}[2:] ELSE {fix} END, w)), ' ')"""
+
+
+def store_words(x: str) -> str:
+    digits, letters = "length(regexp_replace(w, '[^0-9]', '', 'g'))", "length(regexp_replace(w, '\\P{L}', '', 'g'))"
+    words = f"""array_to_string(list_transform(string_split({squeeze(x)}, ' '), lambda w:
+        CASE WHEN {digits} > 0 AND {letters} > {digits} THEN translate(w, '015834', 'OISBEA') ELSE w END), ' ')"""
+    return corrected(words)
+
+
+def titled(x: str) -> str:
+    return f"""array_to_string(list_transform(regexp_extract_all({x}, '\\p{{L}}+|\\P{{L}}+'),
+        lambda p: upper(p[1]) || lower(p[2:])), '')"""
+
+
+def address_words(x: str) -> str:
+    for pattern, usual in ((r"\bn0\.?\s*", "No. "), (r"\bj[l1]\.?\s*", "Jl. "), (r"\bte[l1]p\.?\s*", "Telp. ")):
+        x = f"regexp_replace({x}, '(?i){pattern}', '{usual}', 'g')"
+    return squeeze(corrected(x))
+
+
+def item_words(x: str) -> str:
+    return squeeze(corrected(f"regexp_replace({x}, '^[^\\w\\s]+|[^\\w\\s]+$', '', 'g')"))
+
+
+def _over_lines(expression: str) -> str:
+    return f"WITH {LINES_SQL} SELECT receipt_id, line_index, {expression} AS cleaned FROM lines"
+
+
+CLEAN_STORE = _over_lines(titled(store_words("text")))
+CLEAN_ADDRESS = _over_lines(address_words("text"))
+CLEAN_ITEM = _over_lines(item_words("text"))
+CLEAN_NUMBER = _over_lines(squeeze(corrected(
+    r"regexp_replace(regexp_replace(translate(text, 'OoIlSsBZz', '001155822'), '(\d+),\.(\d+)', '\1.\2', 'g'), '[^\d.,/\-]', '', 'g')")))
+CLEAN_DATE = _over_lines(
+    r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(\d{1,2})\.(\d{2})\.(\d{2})', '\1:\2:\3', 'g'), "
+    r"'(\d{1,2}),(\d{2}),(\d{2})', '\1:\2:\3', 'g'), '(?i)^Date\.?\s*', ''), '(?i)^Time\.?\s*', ''))")
+CLEAN_CONVERSATIONS = f"""
+SELECT conv_id, turn, {corrected("regexp_replace(trim(text), '[^\\x00-\\x7F]+', '', 'g')")} AS cleaned FROM conversations"""
+
+_VALID_STORE = r"""length(trim(text)) >= 3 AND length(regexp_replace(text, '\P{L}', '', 'g')) >= 3
+    AND length(regexp_replace(text, '[^0-9]', '', 'g')) <= length(regexp_replace(text, '\P{L}', '', 'g'))
+    AND NOT regexp_matches(trim(text), '\d{1,2}[/\-\.]\d{1,2}[/\-\.]\d{2,4}')
+    AND NOT regexp_matches(trim(text), '(?i)^(tel|phone|fax|hp)[\s:.]')"""
+
+STORES = RELABELLED + f""",
+candidates AS (
+    SELECT *, count(*) FILTER (predicted_class = 'STORE') OVER (PARTITION BY receipt_id) AS n FROM labelled),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY receipt_id ORDER BY y_min, line_index) AS r FROM candidates
+    WHERE {_VALID_STORE} AND CASE WHEN n > 0 THEN predicted_class = 'STORE' ELSE predicted_class IN ('ADDRESS_CONTACT', 'OTHER') END),
+parts AS (SELECT receipt_id, r, {store_words('text')} AS part FROM ranked WHERE r <= 3),
+store_texts AS (SELECT receipt_id, string_agg(part, ' ' ORDER BY r) AS s FROM parts WHERE length(part) > 2 GROUP BY receipt_id),
+stores AS (
+    SELECT receipt_id, CASE WHEN s IS NULL THEN '' ELSE {titled('s')} END AS store
+    FROM (SELECT DISTINCT receipt_id FROM labelled) LEFT JOIN store_texts USING (receipt_id))"""
+RECEIPT_STORE = f"WITH {STORES} SELECT receipt_id, store FROM stores"
+
+_ADDRESSES = f"""
+addresses AS (
+    SELECT receipt_id, coalesce(string_agg({address_words('text')}, ', ' ORDER BY line_index)
+        FILTER (predicted_class = 'ADDRESS_CONTACT'), '') AS address
+    FROM labelled GROUP BY receipt_id)"""
+RECEIPT_ADDRESS = f"WITH {RELABELLED}, {_ADDRESSES} SELECT receipt_id, address FROM addresses"
+
+
+def date_in(x: str) -> str:
+    """The first date form in a plain column, with a time; else an empty text."""
+    def timed(hit: str) -> str:
+        time = f"regexp_extract({x}, '(?i){dates.TIME_FORM}', 1)"
+        return f"CASE WHEN {time} <> '' THEN trim({hit} || ' ' || {time}) ELSE {hit} END"
+
+    cases = [f"WHEN regexp_matches({x}, '(?i){f}') THEN {timed(f"trim(regexp_extract({x}, '(?i){f}', 1))")}" for f in dates.WORD_FORMS]
+    for form, (d, m, y) in ((dates.ISO_FORM, (3, 2, 1)), (dates.DAY_FORM, (1, 2, 3))):
+        part = lambda g: f"coalesce(try_cast(regexp_extract({x}, '{form}', {g}) AS INTEGER), -1)"  # noqa: B023, E731
+        year = f"(CASE WHEN {part(y)} >= 100 THEN {part(y)} ELSE 2000 + {part(y)} END)"
+        whole = f"regexp_replace(regexp_extract({x}, '{form}'), '\\s+', '', 'g')"
+        cases.append(f"WHEN regexp_matches({x}, '{form}') AND {part(d)} BETWEEN 1 AND 31 AND {part(m)} BETWEEN 1 AND 12 "
+                     f"AND {year} BETWEEN 1900 AND 2100 THEN {timed(whole)}")
+    return f"CASE {' '.join(cases)} ELSE '' END"
+
+
+DATES = RELABELLED + f""",
+placed AS (
+    SELECT receipt_id, line_index, y_min AS y, predicted_class AS c, trim(text) AS a,
+           lead(trim(text)) OVER w AS b, lead(trim(text), 2) OVER w AS d, lead(y_min) OVER w AS yb, lead(y_min, 2) OVER w AS yd,
+           row_number() OVER w AS i
+    FROM labelled WINDOW w AS (PARTITION BY receipt_id ORDER BY y_min, line_index)),
+chunks AS (
+    SELECT receipt_id, i, 1 AS k, a AS t FROM placed
+    UNION ALL SELECT receipt_id, i, 2, a || ' ' || b FROM placed WHERE b IS NOT NULL AND yb - y <= 0.03
+    UNION ALL SELECT receipt_id, i, 3, a || ' ' || b || ' ' || d FROM placed WHERE d IS NOT NULL AND yd - y <= 0.03),
+hits AS (SELECT receipt_id, i, k, {date_in('t')} AS hit FROM chunks WHERE NOT regexp_matches(t, '(?i){dates.PRINTED}')),
+near AS (SELECT receipt_id, arg_min(hit, i * 4 + k) AS hit FROM hits WHERE hit <> '' GROUP BY receipt_id),
+singles AS (
+    SELECT receipt_id, y, line_index, {date_in('a')} AS hit FROM placed WHERE c = 'DATE'
+    AND NOT (regexp_matches(a, '{dates.TIME_START}') AND NOT regexp_matches(a, '{dates.YEAR_OR_DAY}'))
+    AND NOT regexp_matches(a, '(?i){dates.PRINTED}')),
+firsts AS (SELECT receipt_id, arg_min(hit, y * 1000 + line_index / 1000.0) AS hit FROM singles WHERE hit <> '' GROUP BY receipt_id),
+joined AS (SELECT receipt_id, string_agg(a, ' ' ORDER BY line_index) AS t, arg_min(a, y * 1000 + line_index / 1000.0) AS raw
+           FROM placed WHERE c = 'DATE' GROUP BY receipt_id),
+wholes AS (SELECT receipt_id, {date_in('t')} AS hit, raw FROM joined),
+receipt_dates AS (
+    SELECT receipt_id, coalesce(firsts.hit, nullif(wholes.hit, ''), near.hit, wholes.raw, '') AS date
+    FROM (SELECT DISTINCT receipt_id FROM labelled) LEFT JOIN firsts USING (receipt_id)
+    LEFT JOIN wholes USING (receipt_id) LEFT JOIN near USING (receipt_id))"""
+RECEIPT_DATE = f"WITH {DATES} SELECT receipt_id, date FROM receipt_dates"
+
+_DOC_LINES = """doc_lines AS (
+    SELECT doc_id, (i - 1)::INTEGER AS line_index, parts[i] AS text
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS parts, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i
+          FROM documents))"""
+DOCUMENTS_DATES = f"""WITH {_DOC_LINES}, found AS (SELECT doc_id, line_index, {date_in('text')} AS date FROM doc_lines)
+SELECT * FROM found WHERE date <> ''"""
+
+_ROLES = f"""
+zone AS (
+    SELECT receipt_id, line_index, trim(text) AS text, y_min, (y_min + y_max) / 2 AS y, height,
+           x_min >= 0.55 AND regexp_matches(text, '\\d') AS at_right, {item_numbers('text')} AS nums
+    FROM lines WHERE y_min BETWEEN 0.18 AND 0.75 AND NOT {any_of('text', k.NO_ITEM_TERMS)} AND trim(text) <> ''),
+roles AS (
+    SELECT *, CASE WHEN at_right THEN CASE WHEN len(list_filter(nums, lambda v: v >= 100)) > 0 THEN 'price' END
+              WHEN NOT (regexp_matches(text, '^[\\d\\s\\.,\\*\\-\\/x@xX]+$') OR upper(text) IN {names(k.CURRENCY_TOKENS + k.UNIT_TOKENS)}
+                   OR length(regexp_replace(text, '\\P{{L}}', '', 'g')) < 2
+                   OR regexp_matches(text, '(?i)^\\d*\\s*(pcs|btl|bks|kg|gr|ml|ltr|dus|box|set|pack|unit)\\s*@?\\s*$')) THEN 'name' END AS role,
+           CASE WHEN at_right THEN list_filter(nums, lambda v: v BETWEEN 100 AND 10000000)[1] END AS price
+    FROM zone)"""
+ITEM_ROLES = f"WITH {LINES_SQL}, {_ROLES} SELECT receipt_id, line_index, role, price FROM roles WHERE role IS NOT NULL"
+
+_PAIRS = f"""
+sets AS (
+    SELECT receipt_id, greatest(avg(height), 0.012) AS tol,
+           list({{'y': y, 'line': line_index, 'price': price}} ORDER BY y_min, line_index) FILTER (role = 'price' AND price IS NOT NULL) AS prices,
+           list({{'y': y, 'line': line_index, 'text': text}} ORDER BY line_index) FILTER (role = 'name') AS names
+    FROM roles WHERE role IS NOT NULL GROUP BY receipt_id),
+steps AS (
+    SELECT receipt_id, tol, prices, coalesce(names, []) AS free, 0 AS i, NULL::INTEGER AS price_line, NULL::DOUBLE AS price,
+           NULL::INTEGER AS name_line, NULL::VARCHAR AS raw
+    FROM sets WHERE prices IS NOT NULL
+    UNION ALL
+    SELECT receipt_id, tol, prices, CASE WHEN best IS NULL THEN free ELSE list_filter(free, lambda n: n.line <> best.line) END,
+           i + 1, p.line, p.price, best.line, best.text
+    FROM (SELECT *, list_sort(list_transform(list_filter(free, lambda n: n.y <= p.y + tol * 0.3 AND abs(n.y - p.y) <= tol),
+                    lambda n: {{'far': abs(n.y - p.y), 'line': n.line, 'text': n.text}}))[1] AS best
+          FROM (SELECT *, prices[i + 1] AS p FROM steps WHERE i < len(prices)))),
+found_items AS (
+    SELECT receipt_id, price_line, {item_words('raw')} AS name, price, raw FROM steps WHERE name_line IS NOT NULL),
+items_out AS (
+    SELECT * FROM found_items WHERE name <> '' AND length(regexp_replace(name, '\\P{{L}}', '', 'g')) >= 3
+    AND NOT {any_of('name', k.NO_NAME_TERMS)})"""
+RECEIPT_ITEMS = f"""WITH RECURSIVE {LINES_SQL}, {_ROLES}, {_PAIRS}
+SELECT receipt_id, price_line, name, 1 AS qty, price, raw FROM items_out"""
+
+_ROWS = """
+measured AS (
+    SELECT *, (x0 + x1) / 2 AS xc, (y0 + y1) / 2 AS yc, avg(y1 - y0) OVER (PARTITION BY receipt_id) AS mean_h FROM tokens),
+by_y AS (
+    SELECT receipt_id, any_value(mean_h) AS mean_h,
+           list({'yc': yc, 'token_id': token_id, 'xc': xc} ORDER BY yc, token_id, xc) AS ts FROM measured GROUP BY receipt_id),
+anchored AS (
+    SELECT receipt_id, mean_h, ts, 1 AS i, ts[1].yc AS anchor, 0 AS g FROM by_y
+    UNION ALL
+    SELECT receipt_id, mean_h, ts, i + 1, CASE WHEN abs(ts[i + 1].yc - anchor) >= mean_h * 0.6 THEN ts[i + 1].yc ELSE anchor END,
+           g + (abs(ts[i + 1].yc - anchor) >= mean_h * 0.6)::INTEGER
+    FROM anchored WHERE i < len(ts)),
+in_order AS (
+    SELECT receipt_id, any_value(mean_h) AS mean_h, list(ts[i] ORDER BY g, ts[i].xc, i) AS ts FROM anchored GROUP BY receipt_id),
+fitted AS (
+    SELECT receipt_id, mean_h, ts, 0 AS i, []::DOUBLE[] AS anchors, 0 AS r FROM in_order
+    UNION ALL
+    SELECT receipt_id, mean_h, ts, i + 1,
+           CASE WHEN place IS NULL THEN list_append(anchors, y) ELSE anchors END, coalesce(place - 1, len(anchors))
+    FROM (SELECT *, list_position(list_transform(anchors, lambda a: abs(y - a) < mean_h * 0.6), true) AS place
+          FROM (SELECT *, ts[i + 1].yc AS y FROM fitted WHERE i < len(ts)))),
+rows_out AS (
+    SELECT receipt_id, mean_h, ts[i].token_id AS token_id, r::INTEGER AS row, (i - 1)::INTEGER AS seq FROM fitted WHERE i > 0)"""
+LAYOUT_ROWS = f"WITH RECURSIVE {TOKENS_SQL}, {_ROWS} SELECT receipt_id, token_id, row, seq FROM rows_out"
+
+_FRAGMENT = (r"(trim({0}) = '' OR regexp_matches(trim({0}), '^[.,;:\- ]+$') "
+             r"OR (length(trim({0})) <= 4 AND regexp_matches(trim({0}), '^[0-9.,]+$')))")
+LAYOUT_LINES = f"""WITH RECURSIVE {TOKENS_SQL}, {_ROWS},
+spaced AS (
+    SELECT r.*, text, confidence, x0, x1, y0, y1, x0 - lag(x1) OVER w AS gap, lag(text) OVER w AS left_text, row_number() OVER w AS pos
+    FROM rows_out r JOIN tokens USING (receipt_id, token_id) WINDOW w AS (PARTITION BY receipt_id, row ORDER BY x0, seq)),
+clustered AS (
+    SELECT *, sum((coalesce(gap, 0) > mean_h * 0.6)::INTEGER) OVER (PARTITION BY receipt_id, row ORDER BY pos) AS cluster,
+           CASE WHEN gap < mean_h * 0.2 OR {_FRAGMENT.format('text')} OR {_FRAGMENT.format('left_text')} THEN '' ELSE ' ' END AS sep
+    FROM spaced),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY receipt_id, row, cluster ORDER BY pos) AS nth FROM clustered),
+merged AS (
+    SELECT receipt_id, row, cluster, any_value(mean_h) AS mean_h, count(*) AS n, min(confidence) AS confidence,
+           string_agg(CASE WHEN nth = 1 THEN text ELSE sep || text END, '' ORDER BY nth) AS raw,
+           min(x0) AS x_min, max(x1) AS x_max, min(y0) AS y_min, max(y1) AS y_max
+    FROM numbered GROUP BY receipt_id, row, cluster),
+ordered AS (
+    SELECT *, row_number() OVER (PARTITION BY receipt_id ORDER BY round_even((y_min + y_max) / 2 / greatest(mean_h, 1e-6), 0), x_min, row, cluster) - 1 AS line_index,
+           CASE WHEN n > 1 THEN replace(replace(replace(trim(raw), ' ,', ','), ' .', '.'), ' :', ':') ELSE raw END AS t0
+    FROM merged),
+n0 AS (SELECT receipt_id, line_index, {fixed_words('t0')} AS t FROM ordered), {_fixed_numbers('n0')}
+SELECT receipt_id, line_index::INTEGER AS line_index, {squeeze('t')} AS text, confidence, x_min / 1024 AS x_min, x_max / 1024 AS x_max,
+       y_min / 1024 AS y_min, y_max / 1024 AS y_max, (x_min + x_max) / 2 / 1024 AS x_center, (y_min + y_max) / 2 / 1024 AS y_center,
+       (x_max - x_min) / 1024 AS width, (y_max - y_min) / 1024 AS height
+FROM ordered JOIN n3 USING (receipt_id, line_index)"""
+
+# The parts below share the fixture and the relabelled lines.
+_TAIL = lambda sql: sql[len(RELABELLED):]
+RECEIPT_RESULT = f"""WITH RECURSIVE {FALLBACKS}{_TAIL(STORES)}{_TAIL(DATES)}, {_ADDRESSES}, {_ROLES}, {_PAIRS}
+SELECT receipt_id, store, date, address, grand AS total, subtotal, tax,
+       (row_number() OVER (PARTITION BY receipt_id ORDER BY price_line) - 1 + CASE WHEN price_line IS NULL THEN NULL ELSE 0 END)::INTEGER AS pos,
+       name, price
+FROM totals JOIN stores USING (receipt_id) JOIN receipt_dates USING (receipt_id) JOIN addresses USING (receipt_id)
+LEFT JOIN items_out USING (receipt_id)"""
+
+_MANIFEST = """manifest AS (
+    SELECT o_orderkey AS receipt_id, CASE WHEN o_orderkey % 50 = 0 THEN 'application/pdf' ELSE 'image/jpeg' END AS content_type FROM orders)"""
+NO_TEXT_RECEIPTS = f"""WITH {LINES_SQL}, {_MANIFEST}
+SELECT receipt_id, content_type FROM manifest WHERE receipt_id NOT IN (SELECT receipt_id FROM lines)"""
+SCAN_ADMISSION = f"""WITH {LINES_SQL}, {_MANIFEST}, counts AS (SELECT receipt_id, count(*) AS n FROM lines GROUP BY receipt_id)
+SELECT receipt_id, CASE WHEN NOT contains(content_type, 'image/') THEN 400 WHEN n IS NULL THEN 422 ELSE 200 END AS status,
+       coalesce(n, 0) AS total_lines FROM manifest LEFT JOIN counts USING (receipt_id)"""
+AUDIT_LINES = f"""WITH {RELABELLED}
+SELECT receipt_id, line_index, text, predicted_class AS class, 0.0::DOUBLE AS confidence, x_min, y_min, 0.0::DOUBLE AS width, height FROM labelled"""
+
+
+
+def _count_of(kinds: str) -> str:
+    """Characters of the given classes in text."""
+    return f"length(regexp_replace(text, '[^{kinds}]', '', 'g'))"
+
+
+_DIGITS, _LETTERS = _count_of(r"\p{Nd}"), _count_of(r"\p{L}")
+_UPPERS, _SPACES = _count_of(r"\p{Lu}"), _count_of(r"\s\p{Z}")
+LINE_FEATURES = rf"""WITH {_DOC_LINES},
+counted AS (
+    SELECT *, length(text) AS n, {_DIGITS} AS d, {_LETTERS} AS l, {_UPPERS} AS u,
+           {_SPACES} AS s,
+           regexp_matches(text, '(?i){features.CURRENCY}') AS cur, regexp_matches(text, '(?i){features.DATE}') OR regexp_matches(text, '{features.TIME}') AS dt,
+           regexp_matches(text, '{features.QUANTITY}') AS q,
+           len(list_filter(string_split_regex(text, '[\s\p{{Z}}]+'), lambda w: w <> '')) AS w
+    FROM doc_lines)
+SELECT doc_id, line_index, CASE WHEN n = 0 THEN 0 ELSE d / n END::DOUBLE AS digits, CASE WHEN n = 0 THEN 0 ELSE l / n END::DOUBLE AS letters,
+       CASE WHEN n = 0 THEN 0 ELSE u / greatest(l, 1) END::DOUBLE AS uppers, CASE WHEN n = 0 THEN 0 ELSE s / n END::DOUBLE AS spaces,
+       CASE WHEN n = 0 THEN 0 ELSE (n - d - l - s) / n END::DOUBLE AS specials, (n / 100)::DOUBLE AS length, (w / 20)::DOUBLE AS words,
+       cur::INTEGER::DOUBLE AS currency, dt::INTEGER::DOUBLE AS date_or_time, q::INTEGER::DOUBLE AS quantity
+FROM counted"""
+CHAR_CODES = f"""WITH {LINES_SQL}
+SELECT receipt_id, line_index, (i - 1)::INTEGER AS pos, least(ascii(text[i]), 127)::INTEGER AS code
+FROM (SELECT *, unnest(range(1, least(length(text), 100) + 1)) AS i FROM lines)"""
+POSITION_FEATURES = f"""WITH {LINES_SQL}
+SELECT receipt_id, line_index, (y_min + y_max) / 2 AS y_center, (x_min + x_max) / 2 AS x_center, x_max - x_min AS width, height,
+       (row_number() OVER (PARTITION BY receipt_id ORDER BY line_index) - 1) / count(*) OVER (PARTITION BY receipt_id) AS place FROM lines"""
+
+CER = f"""WITH {LINES_SQL},
+pairs AS (SELECT text AS t, CASE WHEN receipt_id % 3 = 0 THEN translate(text, 'OI', '01') ELSE text END AS p FROM lines)
+SELECT count(*) AS n, sum(levenshtein(t, p))::BIGINT AS errors, sum(length(t))::BIGINT AS characters,
+       sum(levenshtein(t, p)) / sum(length(t)) AS cer, count(*) FILTER (t = p) / count(*) AS exact_rate FROM pairs"""
+_TWO = f"""WITH {RELABELLED},
+two AS (SELECT l.predicted_class AS label, m.predicted_class AS predicted FROM lines l JOIN labelled m USING (receipt_id, line_index))"""
+LABEL_CONFUSION = f"{_TWO} SELECT label, predicted, count(*) AS n FROM two GROUP BY ALL"
+LABEL_RECALL = f"""{_TWO} SELECT label, count(*) AS n, count(*) FILTER (label = predicted) AS hits,
+       count(*) FILTER (label = predicted) / count(*) AS recall FROM two GROUP BY label"""
+DETECTION_SUMMARY = f"""WITH {LINES_SQL},
+wide AS (
+    SELECT receipt_id, count(*) FILTER (contains(text, 'TOTAL')) / 2 AS a, count(*) FILTER (predicted_class = 'DATE') / 4 AS b,
+           count(*) FILTER (predicted_class = 'ITEM_DESC') / 8 AS c FROM lines GROUP BY receipt_id),
+long AS (SELECT 'TOTAL' AS class, a AS v FROM wide UNION ALL SELECT 'TANGGAL', b FROM wide UNION ALL SELECT 'LIST_ITEM', c FROM wide)
+SELECT class, avg(v) AS mean_confidence, count(*) FILTER (v >= 0.5) AS detected, count(*) AS images FROM long GROUP BY class"""
+BEST_EPOCH = """
+SELECT (year(o_orderdate) * 12 + month(o_orderdate))::INTEGER AS epoch, count(*) FILTER (o_orderstatus = 'F') / count(*) AS val_accuracy
+FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1"""
+HISTORY_ROWS = """
+SELECT row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, o_totalprice)::INTEGER AS epoch, o_orderkey AS orderkey,
+       o_totalprice AS price FROM orders"""
+STREAM_TOTALS = RECEIPT_TOTALS

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from struklake.operators import totals
+from struklake.functions import amounts, dates, features, text
+from struklake.operators import evaluation, items, layout, learning, parties, result, totals
 from struklake.plans import fixtures
+from struklake.streaming import continuous
 
 
 def fixture_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,3 +25,258 @@ def receipt_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def receipt_totals_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with the fallback chain for receipts without a grand total."""
     return totals.receipt_totals(fixtures.lines(spark, sf_dir))
+
+
+def fixture_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    box = F.col("bbox")
+    return fixtures.tokens(spark, sf_dir).select(
+        "receipt_id", "token_id", "text", box[0][0].alias("x0"), box[0][1].alias("y0"),
+        box[2][0].alias("x1"), box[2][1].alias("y1"), "confidence",
+    )
+
+
+def _cleaned(spark: SparkSession, sf_dir: str, clean) -> DataFrame:
+    return fixtures.lines(spark, sf_dir).select("receipt_id", "line_index", clean(F.col("text")).alias("cleaned"))
+
+
+def fix_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All repairs of recognised text."""
+    return _cleaned(spark, sf_dir, text.post_process)
+
+
+def fix_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cleaned(spark, sf_dir, text.fix_words)
+
+
+def fix_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cleaned(spark, sf_dir, text.fix_numbers)
+
+
+def clean_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cleaned(spark, sf_dir, lambda c: text.title(text.clean_store(c)))
+
+
+def clean_address(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cleaned(spark, sf_dir, text.clean_address)
+
+
+def clean_item(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cleaned(spark, sf_dir, text.clean_item)
+
+
+def clean_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cleaned(spark, sf_dir, text.clean_number)
+
+
+def clean_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cleaned(spark, sf_dir, text.clean_date)
+
+
+def clean_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ASCII cleaning with dictionary corrections of chat texts."""
+    return fixtures.read(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", text.clean_general(F.col("text")).alias("cleaned"))
+
+
+def line_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every amount of every line, as item lines and as totals lines read them."""
+    rows = fixtures.lines(spark, sf_dir).select(
+        "receipt_id", "line_index",
+        F.explode(F.array(
+            F.struct(F.lit("item").alias("form"), amounts.item_numbers(F.col("text")).alias("v")),
+            F.struct(F.lit("total").alias("form"), amounts.total_numbers(F.col("text")).alias("v")),
+        )).alias("f"))
+    return rows.select("receipt_id", "line_index", "f.form", F.posexplode("f.v").alias("pos", "value"))
+
+
+def receipt_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parties.receipt_store(fixtures.lines(spark, sf_dir))
+
+
+def receipt_address(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parties.receipt_address(fixtures.lines(spark, sf_dir))
+
+
+def receipt_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parties.receipt_date(fixtures.lines(spark, sf_dir))
+
+
+def receipt_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return items.receipt_items(fixtures.lines(spark, sf_dir))
+
+
+def item_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the item zone by role, with the first plausible price."""
+    return items.role_lines(fixtures.lines(spark, sf_dir)).select("receipt_id", "line_index", "role", "price")
+
+
+def layout_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.layout_rows(fixtures.tokens(spark, sf_dir)).select("receipt_id", "token_id", "row", "seq")
+
+
+def layout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = layout.layout_lines(fixtures.tokens(spark, sf_dir), fixtures.manifest(spark, sf_dir))
+    return lines.select("receipt_id", "line_index", "text", "confidence", "x_min", "x_max", "y_min", "y_max",
+                        "x_center", "y_center", "width", "height")
+
+
+def receipt_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole record, with one row per item (one without items for a receipt that has none)."""
+    full = result.receipt_result(fixtures.lines(spark, sf_dir))
+    return full.select(
+        "receipt_id", "store", "date", "address", "total", "totals.subtotal", "totals.tax",
+        F.posexplode_outer("items").alias("pos", "item"),
+    ).select("receipt_id", "store", "date", "address", "total", "subtotal", "tax", "pos",
+             F.col("item.name").alias("name"), F.col("item.price").alias("price"))
+
+
+def no_text_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return result.without_text(fixtures.manifest(spark, sf_dir), fixtures.lines(spark, sf_dir)).select(
+        "receipt_id", "content_type")
+
+
+def scan_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return result.admission(fixtures.manifest(spark, sf_dir), fixtures.lines(spark, sf_dir)).select(
+        "receipt_id", "status", "total_lines")
+
+
+def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return result.audit(fixtures.lines(spark, sf_dir)).drop("bbox")
+
+
+def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines per receipt and final class."""
+    return totals.relabel(fixtures.lines(spark, sf_dir)).groupBy("receipt_id", "predicted_class").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of whole documents as (doc_id, line_index, text)."""
+    return fixtures.read(spark, sf_dir, "documents").select(
+        "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_index", "text"))
+
+
+def documents_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document lines in which a date is found."""
+    found = document_lines(spark, sf_dir).withColumn("date", dates.find_date(F.col("text")))
+    return found.filter("date != ''").select("doc_id", "line_index", "date")
+
+
+def line_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten statistics of every document line."""
+    names = ("digits", "letters", "uppers", "spaces", "specials", "length", "words", "currency", "date_or_time", "quantity")
+    rows = document_lines(spark, sf_dir).withColumn("f", features.text_features(F.col("text")))
+    return rows.select("doc_id", "line_index", *[F.col("f")[i].alias(n) for i, n in enumerate(names)])
+
+
+def char_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Non-zero character codes of the fixture lines."""
+    rows = fixtures.lines(spark, sf_dir).select(
+        "receipt_id", "line_index", F.posexplode(features.char_codes(F.col("text"))).alias("pos", "code"))
+    return rows.filter("code > 0")
+
+
+def _placed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixture lines with centres and widths."""
+    return fixtures.lines(spark, sf_dir).withColumns(layout.hull_measures())
+
+
+def position_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _placed_lines(spark, sf_dir).select("receipt_id", "line_index", features.position_features().alias("f"))
+    return rows.select("receipt_id", "line_index", *[
+        F.col("f")[i].alias(n) for i, n in enumerate(("y_center", "x_center", "width", "height", "place"))])
+
+
+def _noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixture texts as truth, with zeros for O and ones for I in every third receipt as reading."""
+    return fixtures.lines(spark, sf_dir).select(
+        F.col("text").alias("truth"),
+        F.when(F.col("receipt_id") % 3 == 0, F.translate("text", "OI", "01")).otherwise(F.col("text")).alias("predicted"))
+
+
+def cer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Character error rate and exact matches of noisy readings."""
+    return evaluation.text_quality(_noisy(spark, sf_dir))
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixture's labels as truth, the relabelled classes as prediction."""
+    lines = fixtures.lines(spark, sf_dir)
+    return totals.relabel(lines.withColumn("label", F.col("predicted_class"))).select(
+        "label", F.col("predicted_class").alias("predicted"))
+
+
+def label_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.confusion(_labelled(spark, sf_dir))
+
+
+def label_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.label_recall(_labelled(spark, sf_dir))
+
+
+def detection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections per class, with shares of events as confidences."""
+    lines = fixtures.lines(spark, sf_dir).groupBy("receipt_id").agg(
+        (F.count_if(F.contains("text", F.lit("TOTAL"))) / 2).alias("TOTAL"),
+        (F.count_if(F.col("predicted_class") == "DATE") / 4).alias("TANGGAL"),
+        (F.count_if(F.col("predicted_class") == "ITEM_DESC") / 8).alias("LIST_ITEM"))
+    return evaluation.detection_summary(lines.drop("receipt_id"), ["TOTAL", "TANGGAL", "LIST_ITEM"])
+
+
+def best_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The month with the best share of finished orders, as the best epoch of a log."""
+    log = fixtures.read(spark, sf_dir, "orders").groupBy(
+        (F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("epoch")
+    ).agg((F.count_if(F.col("o_orderstatus") == "F") / F.count(F.lit(1))).alias("val_accuracy"))
+    return evaluation.best_epoch(log)
+
+
+def history_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parallel arrays of a customer's orders to rows."""
+    orders = fixtures.read(spark, sf_dir, "orders")
+    by_key = F.sort_array(F.collect_list(F.struct("o_orderkey", "o_totalprice")))
+    history = orders.groupBy("o_custkey").agg(by_key.alias("h")).select(
+        F.col("h.o_orderkey").alias("orderkey"), F.col("h.o_totalprice").alias("price"))
+    return evaluation.history_rows(history)
+
+
+def line_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted class and confidence of every line, by a model trained on the training part."""
+    lines = _placed_lines(spark, sf_dir)
+    return learning.predict_labels(learning.train_labels(lines), lines)
+
+
+def line_labels_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels from a user's model: here a rule on the share of digits."""
+    def load():
+        def predict(frame):
+            digits = [f[0] for f in frame["text_features"]]
+            return ["ITEM_PRICE/QTY" if d > 0.5 else "OTHER" for d in digits], [max(d, 1 - d) for d in digits]
+        return predict
+
+    return learning.with_model(_placed_lines(spark, sf_dir), load)
+
+
+def expense_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names to their type, by word counts and naive Bayes; predictions of the test part."""
+    parts = learning.category_words(fixtures.read(spark, sf_dir, "part").select(
+        "p_partkey", F.col("p_name").alias("text"), F.col("p_type").alias("category")))
+    part = learning.split_of(F.col("p_partkey"))
+    model = learning.category_pipeline().fit(parts.filter(part == "train"))
+    return model.transform(parts.filter(part == "test")).select("p_partkey", "category", "label", "prediction")
+
+
+def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by the continuous job: receipts land as files, the job drains them."""
+    folder = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    continuous.nested(fixtures.lines(spark, sf_dir)).write.parquet(f"{folder}/in")
+    job = continuous.continuous_scan(
+        continuous.read_receipts(spark, f"{folder}/in"), f"{folder}/out", f"{folder}/state",
+        extract=lambda lines: totals.receipt_totals(lines, fallbacks=False))
+    job.awaitTermination()
+    return spark.read.parquet(f"{folder}/out").drop("batch")
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder the session names; a local one only where it names none."""
+    return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
