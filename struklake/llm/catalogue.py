@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from struklake.llm import (
     decontaminate,
+    fingerprints,
     html,
     linededup,
     mixing,
@@ -36,6 +37,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_digest(read_table(spark, sf_dir, "documents"))
+
+
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extracted(read_table(spark, sf_dir, "pages"))
 
@@ -63,6 +68,7 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_sharding": op3_sharding,
     "op4_simhash": op4_simhash,
+    "op5_fingerprints": op5_fingerprints,
     "op6_html": op6_html,
     "op7_mixing": op7_mixing,
     "op8_line_dedup": op8_line_dedup,
