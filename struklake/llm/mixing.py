@@ -211,22 +211,27 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus with the columns of `docs`: per document and turn one row, whose text is
     what the mix takes of it in that turn: the text itself where all of it is taken, else the
     taken words joined by single spaces."""
-    cells, sources = source_table(docs, options.get("cap", CAP))
-    placed = located(docs, cells, sources)
+    # Columns of the caller's own travel in a struct, so that no name can clash.
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "source")]
+    packed = docs.select("doc_id", "text", "source", F.struct(F.lit(0).alias("_"), *others).alias("__own"))
+    cells, sources = source_table(packed, options.get("cap", CAP))
+    placed = located(packed, cells, sources)
     taken = (
         mixed_pieces(placed.select("rank", "at", "size"), sources, **options)
         .groupBy("rank", "at", "turn")
         .agg(F.sum("n").alias("__n"), F.sort_array(F.collect_list(F.struct("skip", "n"))).alias("__pieces"))
     )
     words = F.regexp_extract_all("text", F.lit(WORD_CLASS), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform(
-        "__pieces", lambda p: F.slice(words, (p["skip"] + 1).cast("int"), p["n"].cast("int")))), " ")
-    text = F.when(F.col("__n") == F.col("size"), F.col("text")).otherwise(cut)
-    return placed.join(taken, ["rank", "at"]).filter("size > 0").select(
-        *[text.alias("text") if c == "text" else
-          F.when(F.col("__n") == F.col("size"), F.col(c)).otherwise(F.char_length(text)).cast("long").alias(c)
-          if c == "n_chars" else F.col(c) for c in docs.columns]
-    )
+    cut = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform(
+        "__pieces", lambda p: F.slice(w, (p["skip"] + 1).cast("int"), p["n"].cast("int")))), " "))[0]
+    whole = F.col("__n") == F.col("size")
+    mixed = placed.join(taken, ["rank", "at"]).filter("size > 0").withColumn(
+        "text", F.when(whole, F.col("text")).otherwise(cut))
+    own = lambda c: F.col("__own").getField(c)
+    n_chars = F.when(whole, own("n_chars")).otherwise(F.char_length("text")).cast("long")
+    return mixed.select(*[
+        F.col(c) if c not in others else n_chars.alias(c) if c == "n_chars" else own(c).alias(c) for c in docs.columns
+    ])
 
 
 def mix_digest(docs: DataFrame, **options) -> DataFrame:

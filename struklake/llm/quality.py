@@ -239,7 +239,7 @@ def fitted(pooled_docs: DataFrame, known: DataFrame) -> Network:
         .agg(F.min("pooled").alias("pooled")).withColumn("fold", fold()).collect()
     )
     rows.sort(key=lambda r: r["doc_id"])
-    x = np.array([np.frombuffer(r["pooled"], dtype=np.float32) for r in rows]).reshape(len(rows), -1)
+    x = np.array([np.frombuffer(r["pooled"], dtype=np.float32) for r in rows]).reshape(len(rows), 3 * DIM + 1)
     y = np.array([r["quality"] for r in rows], dtype=np.int64)
     return Network(x, y, np.array([r["fold"] == 1 for r in rows], dtype=bool))
 

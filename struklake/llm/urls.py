@@ -143,11 +143,14 @@ def calibrated(scored: DataFrame) -> float:
     good, bad = sum(b["good"] for b in bars), sum(b["bad"] for b in bars)
     if not good or not bad:
         return 0.0
-    best, below_good, below_bad = (0.5, 0.0), 0, 0
+    # Accuracies are compared as whole numbers (times 2 * good * bad), so ties are exact; half is
+    # what no threshold at all has.
+    best, below_good, below_bad, before = (good * bad, 0.0), 0, 0, None
     for b in sorted(bars, key=lambda b: b["bar"]):
-        # the bar's lower edge as threshold: all bars before it are blocked
-        rate = ((good - below_good) / good + below_bad / bad) / 2
-        best = max(best, (rate, b["bar"] / STEPS), key=lambda x: x[0])
+        # all bars before this one are blocked: the threshold lies midway between
+        rate = (good - below_good) * bad + below_bad * good
+        edge = ((b["bar"] if before is None else before + 1) + b["bar"]) / (2 * STEPS)
+        best, before = max(best, (rate, edge), key=lambda x: x[0]), b["bar"]
         below_good, below_bad = below_good + b["good"], below_bad + b["bad"]
     return best[1]
 
@@ -231,10 +234,12 @@ bars AS (
            count(*) FILTER (named.verdict = 'block') AS bad
     FROM z WHERE fold = 0 AND named IS NOT NULL GROUP BY bar),
 rates AS (
-    SELECT bar, ((sum(good) OVER () - coalesce(sum(good) OVER w, 0)) / sum(good) OVER ()
-                 + coalesce(sum(bad) OVER w, 0) / sum(bad) OVER ()) / 2 AS rate
+    SELECT bar, (sum(good) OVER () - coalesce(sum(good) OVER w, 0)) * sum(bad) OVER ()
+                + coalesce(sum(bad) OVER w, 0) * sum(good) OVER () AS rate,
+           sum(good) OVER () * sum(bad) OVER () AS half,
+           (coalesce(lag(bar) OVER (ORDER BY bar) + 1, bar) + bar) / {2 * STEPS} AS edge
     FROM bars WINDOW w AS (ORDER BY bar ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-best AS (SELECT coalesce((SELECT bar / {STEPS} FROM rates WHERE rate > 0.5 ORDER BY rate DESC, bar LIMIT 1), 0) AS threshold)
+best AS (SELECT coalesce((SELECT edge FROM rates WHERE rate > half ORDER BY rate DESC, bar LIMIT 1), 0) AS threshold)
 SELECT page_id, host, path, named.rule AS rule,
        coalesce(named.verdict, CASE WHEN score >= threshold THEN 'allow' ELSE 'block' END) AS verdict
 FROM z, best"""
