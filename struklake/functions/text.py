@@ -103,25 +103,38 @@ def _boundary_safe(word: str) -> str:
 
 
 def fix_words(text: Column) -> Column:
-    """Whole-word repairs, whatever the case; the repair is always upper case."""
-    fixed = text
-    for wrong, right in WORD_FIXES.items():
-        fixed = F.regexp_replace(fixed, "(?iU)" + _boundary_safe(wrong), right)
-    any_wrong = "(?iU)" + "|".join(_boundary_safe(w) for w in WORD_FIXES)
-    return F.when(F.rlike(text, F.lit(any_wrong)), fixed).otherwise(text)
+    """Whole-word repairs, whatever the case; the repair is always upper case.
+
+    Every wrong word but one holds a digit or sign beside a letter, which a cheap test finds."""
+    def repaired(s: Column) -> Column:
+        for wrong, right in WORD_FIXES.items():
+            s = F.regexp_replace(s, "(?iU)" + _boundary_safe(wrong), right)
+        return s
+
+    suspect = F.rlike(text, F.lit(r"[A-Za-z][0-9<!?]|[0-9][A-Za-z]|(?i:puce)"))
+    return F.when(suspect, repaired(text)).otherwise(text)
 
 
 def fix_numbers(text: Column) -> Column:
-    """Letters inside digit runs become the digits they look like."""
-    for pattern in DIGIT_RUNS:
-        text = in_matches(text, "(?U)" + pattern, lambda m: F.translate(m, *DIGIT_FIXES))
-    return text
+    """Letters inside digit runs become the digits they look like.
+
+    A run that changes has such a letter beside a digit or separator, or after Rp."""
+    def repaired(s: Column) -> Column:
+        for pattern in DIGIT_RUNS:
+            s = in_matches(s, "(?U)" + pattern, lambda m: F.translate(m, *DIGIT_FIXES))
+        return s
+
+    suspect = r"(?U)[OoIlSZB][\d.,]|[\d.,][OoIlSZB]|Rp\s*[OoIlSZB]"
+    return once(text, lambda t: F.when(F.rlike(t, F.lit(suspect)), repaired(t)).otherwise(t))
 
 
 def fix_currency(text: Column) -> Column:
     """`Rp` and `$` amounts: one space after Rp, none after $, digits repaired."""
-    text = in_matches(text, "(?U)" + RUPIAH_AMOUNT, lambda m: F.concat(F.lit("Rp "), fix_numbers(m)), 1)
-    return in_matches(text, "(?U)" + DOLLAR_AMOUNT, lambda m: F.concat(F.lit("$"), fix_numbers(m)), 1)
+    def repaired(s: Column) -> Column:
+        s = in_matches(s, "(?U)" + RUPIAH_AMOUNT, lambda m: F.concat(F.lit("Rp "), fix_numbers(m)), 1)
+        return in_matches(s, "(?U)" + DOLLAR_AMOUNT, lambda m: F.concat(F.lit("$"), fix_numbers(m)), 1)
+
+    return once(text, lambda t: F.when(F.rlike(t, F.lit(r"Rp|\$")), repaired(t)).otherwise(t))
 
 
 def post_process(text: Column) -> Column:
