@@ -184,7 +184,6 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         los, his = batch["los"], batch["his"]
         kept, starts, ends, sizes = [], [], [], []
-        held = 0
         for i, text in enumerate(batch["text"].to_pylist()):
             data = _bytes(text)
             first = np.array(los[i].as_py() or [], dtype=np.int64)
