@@ -112,6 +112,8 @@ def brute_windows(text, items):
     found = {}
     for item, words in items:
         own = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+        if own.keys().isdisjoint(shingles):
+            continue  # without a shared shingle every window's similarity is 0
         m = len(words) - 4
         for k in range(-m + 1, len(shingles)):
             window = Counter(shingles[max(0, k) : k + m])
