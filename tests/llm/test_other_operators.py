@@ -265,6 +265,22 @@ def test_html_differencing():
     assert html.main_text(a, b) == "mine" and html.main_text(a, None) == "top\nmenu\nmine\nend"
 
 
+def test_html_copies_are_no_template(spark):
+    """Copies without a marked article keep their text; a sibling beside them still shows the template."""
+    page = "<body><div>top</div><p>{}</p><div>end</div></body>"
+    rows = [(1, "http://h.org/a/1", page.format("mine")), (2, "http://h.org/a/1", page.format("mine")),
+            (3, "http://h.org/a/2", page.format("yours")),
+            (4, "http://i.org/a", page.format("same")), (5, "http://i.org/a", page.format("same"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    ranges = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # one range, so that all neighbours meet
+    try:
+        got = {r["page_id"]: r["text"] for r in html.extracted(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    assert got == {1: "top\nmine\nend", 2: "mine", 3: "yours", 4: "top\nsame\nend", 5: "top\nsame\nend"}
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_common_lines_are_longest(seed):
     rng = np.random.default_rng(seed)

@@ -86,7 +86,8 @@ def test_mix(spark, sf_dir, awkward, no_docs, clashing):
     assert mixing.mix_documents(clashing).columns == clashing.columns
 
 
-@pytest.mark.parametrize(("url", "host", "path", "rule", "verdict"), [
+#: url, host, path, rule, verdict of the rule.
+JUDGED = [
     ("http://A.Example.ORG/es/1?x", "a.example.org", "/es/1", "example.org/es/", "block"),
     ("http://example.org/en/12#t", "example.org", "/en/12", "example.org/en/1", "block"),
     ("http://example.org/en/2", "example.org", "/en/2", "org/", "allow"),
@@ -94,14 +95,20 @@ def test_mix(spark, sf_dir, awkward, no_docs, clashing):
     ("https://com/de/1", "com", "/de/1", "com/de/", "block"), ("https://xcom/de/1", "xcom", "/de/1", None, None),
     ("no scheme", "", "", None, None), (None, "", "", None, None), ("a://b://c/d", "b:", "//c/d", None, None),
     ("", "", "", None, None), ("http://h?://x/fr/", "h", "", None, None),
-])
-def test_rules(spark, url, host, path, rule, verdict):
-    df = spark.createDataFrame([(1, url), (1, url), (None, "http://b.net/x")], "page_id long, url string")
-    rows = [r for r in urls.verdict_digest(df).collect() if r["page_id"] == 1]
-    assert len(rows) == 2
-    for r in rows:
-        assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
-        assert r["verdict"] == verdict if verdict else r["verdict"] in ("allow", "block")
+]
+
+
+def test_rules(spark):
+    rows = [(i, case[0]) for i, case in enumerate(JUDGED)]
+    df = spark.createDataFrame([*rows, *rows, (None, "http://b.net/x")], "page_id long, url string")
+    got = urls.verdict_digest(df).collect()
+    assert len(got) == 2 * len(rows) + 1
+    for i, (_, host, path, rule, verdict) in enumerate(JUDGED):
+        mine = [r for r in got if r["page_id"] == i]
+        assert len(mine) == 2
+        for r in mine:
+            assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
+            assert r["verdict"] == verdict if verdict else r["verdict"] in ("allow", "block")
 
 
 def test_url_models_learn(spark):
