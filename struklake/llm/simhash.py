@@ -7,11 +7,13 @@ task, and gives a spanning forest of its links instead of all pairs. Components
 large-star and small-star rounds (Kiveris et al., 2014), which are joins and minima in Spark.
 
 Near-duplicate documents for the pipeline follow the house rule of five words and a similarity of
-0.8: at 0.8, 64 bits differ in ten places on average, far beyond a radius that blocks can carry, so
-`near_copies` uses a code of 64 bands of 16 bits. Two texts at 0.8 share a band with probability
-0.99, at 0.9 with 1 - 5e-6; a band's shards are searched with BK-trees for each row's nearest
-earlier row, and the whole 1,024 bits of the pair then estimate the similarity with a standard
-error of 0.015.
+0.8. At 0.8, 64 bits differ in ten places on average, far beyond a radius that blocks can carry, and
+no code decides at the threshold, so `near_copies` is exact and uses no code. Two sets of
+similarity 0.8 share one of the first shingles of both, a fifth of each set in any fixed order
+(prefix filter; Chaudhuri et al., 2006), and from the first one that they share enough must be left
+on both sides (positional filter; Xiao et al., 2008). The order is rare shingles first, so members
+of a large family of lesser similarity spend their first shingles on what is their own. Every pair
+that passes is decided by the sets themselves, unless links already connect it.
 
 Defined results: null and empty texts have no shingle and fingerprint zero, linked like any other;
 repeated rows share a fingerprint and so a group; an empty table gives an empty result.
@@ -41,8 +43,12 @@ RADIUS = 3
 BLOCKS = 5
 #: House rule for stages on word shingles.
 WORDS, SIMILARITY = 5, 0.8
-#: Wide codes: bands of 16 bits.
-BANDS = 64
+#: Counted buckets of shingle hashes (a power of 2), and the pieces in which counts are summed.
+BUCKETS, PIECES = 1 << 20, 64
+#: Rounds of decisions: each takes the partners that stand so many rows before, at most, in a shard.
+REACHES = (1, 16, 1 << 62)
+#: Codes a task remembers, so that copies are dealt once.
+SEEN = 1_000_000
 #: Rows gathered before the trees of the complete shards among them are built.
 ROWS = 200_000
 
@@ -76,17 +82,14 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int.from_bytes(np.packbits(bits).tobytes(), "big", signed=True)
 
 
-def wide_code(text: str | None, words: int = WORDS) -> bytes:
-    """Code of BANDS * 16 bits over the distinct shingles; each hash is stretched by mixing."""
-    hashes = np.unique(np.frombuffer(shingle_digests(text, words), dtype=">u8").astype(np.uint64))
-    total = np.zeros(BANDS * 16, dtype=np.int64)
-    steps = np.arange(1, BANDS // 4 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for i in range(0, len(hashes), 255 * 16):
-        x = hashes[i : i + 255 * 16, None] + steps
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        total += column_sums((x ^ (x >> np.uint64(31))).view(np.uint8))
-    return np.packbits(total * 2 > len(hashes)).tobytes()
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The distinct shingle hashes, ascending."""
+    return np.unique(np.frombuffer(shingle_digests(text, words), dtype=">u8").astype(np.uint64))
+
+
+def set_code(hashes: np.ndarray) -> int:
+    """64-bit code of a set as a signed number: equal sets have equal codes."""
+    return int.from_bytes(xxhash.xxh64_digest(hashes.tobytes(), SEED), "big", signed=True)
 
 
 def fingerprints(text: Column, words: int) -> Column:
@@ -97,14 +100,6 @@ def fingerprints(text: Column, words: int) -> Column:
     return code(text)
 
 
-def wide_codes(text: Column, words: int) -> Column:
-    @F.pandas_udf("binary")
-    def code(texts: pd.Series) -> pd.Series:
-        return pd.Series([wide_code(t, words) for t in texts], dtype=object)
-
-    return code(text)
-
-
 def whole_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
     """Columns of sorted batches, regrouped so that a shard (`part`, `key`) is never cut."""
     held: list[pa.RecordBatch] = []
@@ -214,71 +209,196 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = RADIUS, blocks: i
     )
 
 
-def differing_bits(similarity: float, bits: int) -> float:
-    """Mean differing bits of two sets of equal size at this Jaccard similarity."""
-    return bits * math.acos(2 * similarity / (1 + similarity)) / math.pi
+def set_codes(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, code) of every document, and the shingles of the table counted in BUCKETS."""
+    size = BUCKETS // PIECES
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BUCKETS, dtype=np.int64)
+        names = ["doc_id", "code", "piece", "counts"]
+        for batch in batches:
+            codes = []
+            for text in batch["text"].to_pylist():
+                hashes = shingle_set(text, words)
+                np.add.at(counts, _bucket(hashes), 1)
+                codes.append(set_code(hashes))
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], pa.array(codes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+        if counts.any():
+            yield pa.RecordBatch.from_arrays([
+                pa.nulls(PIECES, pa.int64()), pa.nulls(PIECES, pa.int64()), pa.array(range(PIECES), pa.int32()),
+                pa.array([c.tobytes() for c in counts.reshape(PIECES, size)], pa.binary()),
+            ], names=names)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for piece, counts in zip(batch["piece"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+                sums[piece] = sums.get(piece, 0) + np.frombuffer(counts, dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(list(sums), pa.int32()), pa.array([c.tobytes() for c in sums.values()], pa.binary()),
+        ], names=["piece", "counts"])
+
+    rows = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        code, "doc_id long, code long, piece int, counts binary"))
+    total = np.zeros((PIECES, size), dtype=np.int64)
+    summed = rows.filter("piece is not null").select("piece", "counts").repartition("piece")
+    for piece, counts in summed.mapInArrow(add, "piece int, counts binary").collect():  # BUCKETS numbers in all
+        total[piece] = np.frombuffer(counts, dtype=np.int64)
+    return rows.filter("piece is null").select("doc_id", "code"), total.ravel()
+
+
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def first_shingles(docs: DataFrame, counts: np.ndarray, words: int, similarity: float) -> DataFrame:
+    """(part, key, n, code, at): the shingles of every set, rare ones first, of which a set of at
+    least this similarity has one among its own; n is the set's size."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, 2**32 - 1).astype(np.uint32))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            held, rows = [], 0
+            for text in batch["text"].to_pylist():
+                hashes = shingle_set(text, words)
+                n, code = len(hashes), set_code(hashes)
+                if not n or code in seen:
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(code)
+                first = np.lexsort((hashes, shared.value[_bucket(hashes)]))[: n - math.ceil(similarity * n - 1e-9) + 1]
+                held.append((hashes[first], n, code))
+                rows += len(first)
+                if rows > ROWS:
+                    yield _dealt(held)
+                    held, rows = [], 0
+            if held:
+                yield _dealt(held)
+
+    return docs.select("text").mapInArrow(deal, "part int, key long, n int, code long, at int")
+
+
+def _dealt(sets: list[tuple[np.ndarray, int, int]]) -> pa.RecordBatch:
+    sizes = [len(s) for s, _, _ in sets]
+    return pa.RecordBatch.from_arrays([
+        pa.array(np.zeros(sum(sizes), dtype=np.int32)), pa.array(np.concatenate([s for s, _, _ in sets]).view(np.int64)),
+        pa.array(np.repeat(np.array([n for _, n, _ in sets], dtype=np.int32), sizes)),
+        pa.array(np.repeat(np.array([c for _, _, c in sets], dtype=np.int64), sizes)),
+        pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])),
+    ], names=["part", "key", "n", "code", "at"])
+
+
+def partners(
+    run: np.ndarray, n: np.ndarray, at: np.ndarray, similarity: float, low: int = 0, high: int = 1 << 62
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows and partners, `low` < row - partner <= `high`, of runs sorted by n, that sizes and
+    places leave a chance of the similarity."""
+    share = similarity / (1 + similarity)
+    starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]]) if len(run) else np.zeros(0, np.int64)
+    depth = np.arange(len(run)) - np.repeat(starts, np.diff(np.r_[starts, len(run)]))
+    row = np.flatnonzero(depth > low)
+    step = low + 1
+    while len(row) and step <= high:
+        row = row[(depth[row] >= step) & (n[row - step] >= similarity * n[row] - 1e-6)]  # all before are smaller
+        other = row - step
+        left = np.minimum(n[row] - at[row], n[other] - at[other])
+        good = left >= share * (n[row] + n[other]) - 1e-6
+        if good.any():
+            yield row[good], other[good]
+        step += 1
 
 
 def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, group_id) of every document: groups of texts linked by an estimated similarity of
-    at least `similarity`, less one standard error, of their word shingles."""
-    bits = BANDS * 16
-    mean = differing_bits(similarity, bits)
-    limit = int(mean + math.sqrt(mean * (1 - mean / bits)))
-    narrow = differing_bits(similarity, 64)
-    radius = int(narrow + 4 * math.sqrt(narrow * (1 - narrow / 64)))
-    coded = materialise(docs.select("doc_id", wide_codes(F.col("text"), words).alias("wide")))
-    first = materialise(coded.groupBy("wide").agg(F.min("doc_id").alias("id")))
-
-    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, group_id) of every document: groups of texts linked by a Jaccard similarity of at
+    least `similarity` of their sets of word shingles."""
+    coded, counts = set_codes(docs, words)
+    first = materialise(coded.groupBy("code").agg(F.min("doc_id").alias("first_id")))
+
+    def with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in whole_shards(batches):
+            new = np.r_[True, (group["key"][1:] != group["key"][:-1]) | (group["code"][1:] != group["code"][:-1])]
+            group = {c: v[new] for c, v in group.items()}  # copies from other tasks
+            keep = np.zeros(len(group["key"]), dtype=bool)
+            for a, b in partners(shard_numbers(group["part"], group["key"]), group["n"], group["at"], similarity):
+                keep[a] = keep[b] = True
+            yield pa.RecordBatch.from_arrays([pa.array(v[keep]) for v in group.values()], names=list(group))
+
+    kind = "part int, key long, n int, code long, at int"
+    shards = materialise(
+        first_shingles(docs, counts, words, similarity)
+        .repartition("part", "key").sortWithinPartitions("part", "key", "n", "code")
+        .mapInArrow(with_partner, kind)
+    )
+    sets = materialise(_sets(docs, first.join(shards.select("code").distinct(), "code"), words))
+    links = tested = roots = None
+    for low, high in zip((0, *REACHES), REACHES, strict=False):
+        found = shards.withColumn("root", F.col("code")) if roots is None else shards.join(
+            roots, shards["code"] == roots["node"], "left").select(*shards.columns, F.coalesce("root", "code").alias("root"))
+        pairs = _apart(found, similarity, low, high)
+        if tested is not None:
+            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        checked = materialise(_decided(pairs, sets, similarity))
+        tested = checked if tested is None else tested.unionByName(checked)
+        links = tested.filter("near").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        roots = materialise(components(links))
+    rooted = materialise(first.join(roots, first["code"] == roots["node"], "left").select(
+        "code", "first_id", F.coalesce("root", "code").alias("root")))
+    owner = rooted.groupBy("root").agg(F.min("first_id").alias("group_id"))
+    return coded.join(rooted.join(owner, "root").select("code", "group_id"), "code").select("doc_id", "group_id")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(code, hashes) of the wanted (code, first_id), one row each."""
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            wide = np.frombuffer(b"".join(batch["wide"].to_pylist()), dtype=np.uint8).reshape(n, -1)
-            ids = batch["id"].to_numpy()
-            code = np.ascontiguousarray(wide[:, :8]).view(np.int64).ravel()
-            keys = wide.view(np.uint16).astype(np.int32)
-            for i in range(0, n, 1000):
-                k = keys[i : i + 1000]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(k))), pa.array(k.ravel()),
-                    pa.array(np.repeat(ids[i : i + 1000], BANDS)), pa.array(np.repeat(code[i : i + 1000], BANDS)),
-                ], names=["part", "key", "id", "code"])
+            rows = [(c, shingle_set(t, words)) for c, t in zip(batch["code"].to_pylist(), batch["text"].to_pylist(), strict=True)]
+            rows = [(c, s.tobytes()) for c, s in rows if set_code(s) == c]  # rows may share a doc_id
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([c for c, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.binary())],
+                names=["code", "hashes"])
+
+    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("first_id")).select("code", "text")
+    return texts.mapInArrow(hashed, "code long, hashes binary").dropDuplicates(["code"])
 
+
+def _apart(shards: DataFrame, similarity: float, low: int, high: int) -> DataFrame:
+    """(a, b) codes of partners in a shard that are not connected yet."""
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_shards(batches):
-            a, b = bktree.nearest(
-                shard_numbers(group["part"], group["key"]), group["code"].view(np.uint64), radius
-            )
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(group["id"][a]), pa.array(group["id"][b])], names=["a", "b"]
-            )
+            run, root, code = shard_numbers(group["part"], group["key"]), group["root"], group["code"]
+            for a, b in partners(run, group["n"], group["at"], similarity, low, high):
+                open_ = root[a] != root[b]
+                if open_.any():
+                    x, y = code[a[open_]], code[b[open_]]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
-    pairs = (
-        first.select("id", "wide").filter("id is not null")
-        .mapInArrow(banded, "part int, key int, id long, code long")
-        .repartition("part", "key").sortWithinPartitions("part", "key", "id")
+    return (
+        shards.repartition("part", "key").sortWithinPartitions("part", "key", "n", "code")
         .mapInArrow(search, "a long, b long").distinct()
     )
-    wide = first.select("id", "wide")
-    near = (
-        pairs.join(wide.toDF("a", "wide_a"), "a").join(wide.toDF("b", "wide_b"), "b")
-        .filter(_hamming("wide_a", "wide_b", bits) <= limit)
-        .select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    )
-    roots = components(near)
-    grouped = first.join(roots, first["id"] == roots["node"], "left").select(
-        "wide", F.coalesce("root", "id").alias("group_id")
-    )
-    return coded.join(grouped, "wide").select("doc_id", "group_id")
 
 
-def _hamming(a: str, b: str, bits: int) -> Column:
-    """Differing bits of two binary columns of `bits` bits, in 64-bit pieces."""
-    def piece(c: str, i: int) -> str:
-        return f"cast(conv(hex(substring({c}, {8 * i + 1}, 8)), 16, -10) as bigint)"
+def _decided(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, near): whether the sets of both codes have at least the similarity."""
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for x, y in zip(batch["x"], batch["y"], strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+                both = np.sort(np.concatenate([x, y]), kind="stable")
+                common = int((both[1:] == both[:-1]).sum())
+                near.append(common / (len(both) - common) >= similarity)
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(near, pa.bool_())], names=["a", "b", "near"])
 
-    parts = [f"bit_count({piece(a, i)} ^ {piece(b, i)})" for i in range(bits // 64)]
-    return F.expr(" + ".join(parts))
+    return (
+        pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+        .select("a", "b", "x", "y").mapInArrow(decide, "a long, b long, near boolean")
+    )
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -303,3 +303,53 @@ def test_html_of_given_pages(spark, sf_dir):
         blocks = re.split("</?p>|</?h1>", body.replace("<br>", " "))
         clean = [" ".join(entities.unescape(re.sub("<[^>]*>", "", b)).split()) for b in blocks]
         assert got[p["page_id"]] == "\n".join(b for b in clean if b)
+
+
+def brute_near_groups(texts: dict, at_least: float) -> dict:
+    """Smallest id of every id's component of pairs with this similarity of five-word shingle sets."""
+    sets = {}
+    for i, t in texts.items():
+        w = (t or "").encode().lower().split()
+        sets[i] = frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else frozenset()
+    often = [x for x, n in Counter(x for s in sets.values() for x in s).items() if n > 1]
+    place = {x: k for k, x in enumerate(often)}
+    ids = sorted(sets)
+    table = np.zeros((len(ids), len(often)), dtype=np.float32)
+    for k, i in enumerate(ids):
+        table[k, [place[x] for x in sets[i] if x in place]] = 1
+    size = np.array([len(sets[i]) for i in ids])
+    common = table @ table.T
+    alike = (common >= at_least * (size[:, None] + size - common) - 1e-6) & (common > 0)
+    links = [(ids[a], ids[b]) for a, b in np.argwhere(alike) if a < b]
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    empty = [i for i in sorted(sets) if not sets[i]]
+    for a, b in [*links, *zip(empty, empty[1:], strict=False)]:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in sets}
+
+
+def test_near_copies_in_a_large_family(spark):
+    """Among 2,000 variants of one text at 0.7 or so, every true pair at 0.8 is found."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(120)]
+    texts = {}
+    for i in range(2000):
+        words = list(base)
+        for at in rng.choice(24, 2, replace=False):  # 10 of 116 shingles are the text's own
+            words[at * 5 + 2] = f"own{i}x{at}"
+        texts[i] = " ".join(words)
+    for k in range(60):  # partners of some variants with one more change
+        words = texts[k * 30].split()
+        words[int(rng.integers(0, 120))] = f"late{k}"
+        texts[5000 + k] = " ".join(words)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["group_id"] for r in simhash.near_copies(df).collect()}
+    expected = brute_near_groups(texts, 0.8)
+    assert got == expected and 100 < len(set(expected.values())) < 2000
