@@ -149,3 +149,19 @@ def test_label_model_learns_the_fixture(spark, sf_dir):
     truth = source.select("receipt_id", "line_index", F.col("predicted_class").alias("label"))
     test = truth.filter(learning.split_of(F.col("receipt_id")) == "test").join(predicted, ["receipt_id", "line_index"])
     assert test.agg(F.avg((F.col("label") == F.col("predicted_class")).cast("double"))).first()[0] > 0.9
+
+
+def test_large_receipts_are_whole(spark):
+    """A receipt of over 2,000 tokens or item lines keeps its rows, lines and items."""
+    n = 1100
+    tokens = [token(2 * i + k, w, x, 40 * i, x + 60, 40 * i + 20) for i in range(n) for k, (w, x) in enumerate((("teh", 0), ("susu", 300)))]
+    df = spark.createDataFrame(tokens, "receipt_id long, token_id int, text string, bbox array<array<int>>, confidence double")
+    df = df.withColumn("bbox", F.col("bbox").cast("array<array<double>>"))
+    rows = {r["token_id"]: r["row"] for r in layout.layout_rows(df).collect()}
+    assert rows == {2 * i + k: i for i in range(n) for k in (0, 1)}
+    assert [r["text"] for r in layout.layout_lines(df).orderBy("line_index").collect()] == ["teh", "susu"] * n
+    zone = [(1, 2 * i + k, t, c, x, 0.2 + i / 2200, 0.2 + i / 2200, 1e-4) for i in range(n)
+            for k, (t, c, x) in enumerate((("teh manis", "ITEM_DESC", 0.1), ("5.000", "ITEM_PRICE/QTY", 0.7)))]
+    found = items.receipt_items(spark.createDataFrame(zone, LINE))
+    assert found.count() == n
+    assert result.receipt_result(spark.createDataFrame(zone, LINE)).select(F.size("items")).first()[0] == n
