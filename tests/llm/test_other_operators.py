@@ -353,3 +353,15 @@ def test_near_copies_in_a_large_family(spark):
     got = {r["doc_id"]: r["group_id"] for r in simhash.near_copies(df).collect()}
     expected = brute_near_groups(texts, 0.8)
     assert got == expected and 100 < len(set(expected.values())) < 2000
+
+
+def test_near_copies_at_the_threshold(spark):
+    """Exactly 0.8 links, a little less does not, for long and short texts."""
+    def pair(k, n, changed):  # a text of n shingles, and one without its last `changed` shingles
+        words = [f"t{k}w{i}" for i in range(n + 4)]
+        return [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: n + 4 - changed]))]
+
+    cases = [(n, c) for n in (5, 10, 100, 250) for c in (n // 5, n // 5 + 1)] + [(200, 41 + c) for c in range(8)]
+    rows = [r for k, (n, c) in enumerate(cases) for r in pair(k, n, c)]
+    got = {r["doc_id"]: r["group_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[2 * k] == got[2 * k + 1] for k in range(len(cases))] == [c * 5 <= n for n, c in cases]
