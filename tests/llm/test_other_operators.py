@@ -365,3 +365,11 @@ def test_near_copies_at_the_threshold(spark):
     rows = [r for k, (n, c) in enumerate(cases) for r in pair(k, n, c)]
     got = {r["doc_id"]: r["group_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[2 * k] == got[2 * k + 1] for k in range(len(cases))] == [c * 5 <= n for n, c in cases]
+
+
+def test_html_keeps_marked_text_of_an_article():
+    """Slugs, headings, paragraphs and ambiguous words inside an article are text; whole marks of containers are not."""
+    page = """<article><section id="discussion"><h2 id="side-effects">a</h2><p class="alert">b</p></section>
+<h2 id="social-history">c</h2><h3 id="related-work">d</h3><div class="responses">e</div><p id="comments">f</p>
+<div id="menu-engineering">g</div><div class="x share-buttons">no</div><ul class="comments"><li>no</ul><div class="ad">no</div></article>"""
+    assert html.main_text(html.page_lines(page), None) == "a\nb\nc\nd\ne\nf\ng"
