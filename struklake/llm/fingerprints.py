@@ -1,23 +1,24 @@
 """Document fingerprints from closed syncmers (Edgar, 2021), in column expressions.
 
-A text is a sequence of words, hashed once each. Of every K words in a row the hashes of the runs
-of S words inside are compared; the K words are an anchor if the smallest stands at either edge.
-Whether they are depends on these K words alone, so equal passages have equal anchors wherever they
-stand, and every K - S + 1 words hold one at least. Matching is positional: an anchor counts with
-its place in steps of REACH words, so a phrase that is repeated all over a text counts all over it.
-The fingerprint is the SIZE smallest hashes of these, and the likeness of two fingerprints
-estimates the Jaccard similarity of the sets: of the SIZE smallest hashes of both together the
-share that both have. Fingerprints of fewer than SIZE hashes are exact sets.
-
-Texts of at most SHORT characters also have anchors of single characters, runs of CHAR_K with inner
-runs of CHAR_S, as a few words hold too few anchors; texts shorter than K have the whole as one.
-
-The next document comes from a window over ranges of doc_id with about RANGE documents each; the
-first document of a range is dealt to the range before as well, so no window spans the table.
-
-Defined results: null and empty texts have an empty fingerprint, and two such are alike (1.0); rows
-that share a doc_id are ordered by a hash of the text; null ids come first; a single document is
-its own next; an empty table gives an empty result.
+A text is a sequence of words, hashed once each, behind K - 1 marks for its start. Of every K words in
+a row the hashes of the runs of S words inside are compared; the K words are an anchor if the smallest
+stands at either edge. Whether they are depends on these K words alone, so equal passages have equal
+anchors wherever they stand, and texts of every length have anchors by the same rule. Equal anchors of
+one text are told apart by their number in it, so a phrase that is repeated counts each time.
+
+The fingerprint holds the hashes of the anchors in ascending order: the SIZE smallest, and all that are
+below one SHARE-th of the range, so it grows with the text. Every hash travels with its anchor's place.
+Two fingerprints are compared over the hashes below the bound down to which both are complete: their
+likeness is the shared part of these, an estimate of the Jaccard similarity of both texts' anchors,
+and exact if both hold all of theirs. Matching is positional: the places of shared anchors differ by
+the same number along a passage, and the most common difference is where the passage moved.
+
+The next document comes from a window over ranges of doc_id with about RANGE documents each; the first
+document of a range is dealt to the range before as well, so no window spans the table.
+
+Defined results: null and empty texts have an empty fingerprint, and two such are alike (1.0); texts
+without a shared anchor have no shift (null); rows that share a doc_id are ordered by a hash of the
+text; null ids come first; a single document is its own next; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,84 +29,105 @@ from pyspark.sql import functions as F
 
 from struklake.llm.common import WORD_CLASS
 
-#: Words (or characters) of a k-mer and of its inner runs.
-K, S = 5, 2
-CHAR_K, CHAR_S = 5, 2
-#: Longest text whose characters are used as well.
-SHORT = 400
-#: Hashes in a fingerprint, and hexadecimal digits of each.
-SIZE, DIGITS = 64, 8
-#: Words or characters in which an anchor may move and still match; it also tells repeats apart.
-REACH = 128
-#: Documents in a range, and the most ranges.
-RANGE, RANGES = 2000, 10_000
-
-
-def _syncmers(tokens: str, k: int, s: int) -> str:
-    """SQL: (place, hash) of the closed syncmers of an array of token hashes."""
-    runs = [f"m[i + {j}]" for j in range(k - s + 1)]
-    run_hash = ", ".join(f"t[i + {j}]" for j in range(s))
-    whole_hash = ", ".join(f"t[i + {j}]" for j in range(k))
+#: Words of a k-mer and of its inner runs.
+K, S = 3, 1
+#: Hashes that every fingerprint holds if it has as many, and the share of the range it holds beyond.
+SIZE, SHARE = 64, 8
+#: Bits of a hash and of a place; both fit a long with one bit to spare for the side of a match.
+BITS = 31
+#: Documents in a range, and the most ranges: their first ids are broadcast.
+RANGE, RANGES = 2000, 100_000
+
+_MASK = (1 << BITS) - 1
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL: `body` with `name` bound to `value`, which is evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _hash(entry: str) -> str:
+    """SQL: the hash of a fingerprint's entry."""
+    return f"shiftright({entry}, {BITS + 1})"
+
+
+def _anchors(text: str) -> str:
+    words = f"transform(regexp_extract_all(coalesce({text}, ''), r'{WORD_CLASS}', 0), w -> xxhash64(w))"
+    marks = ", ".join(["0L"] * (K - 1))
+    inner = [", ".join(f"t[i + {j + k}]" for k in range(S)) for j in range(K - S + 1)]
+    inner = inner if S == 1 else [f"xxhash64({x})" for x in inner]
+    whole = ", ".join(f"t[i + {j}]" for j in range(K))
     picked = (
-        f"filter(transform(sequence(0, size(t) - {k}), i -> if(least({', '.join(runs)}) in ({runs[0]}, {runs[-1]}), "
-        f"named_struct('place', i, 'hash', xxhash64({whole_hash})), null)), a -> a is not null)"
+        f"filter(transform(sequence(0, size(t) - {K}), i -> if(least({', '.join(inner)}) in ({inner[0]}, {inner[-1]}), "
+        f"named_struct('place', i, 'hash', xxhash64({whole})), null)), a -> a is not null)"
     )
     none = "cast(array() as array<struct<place:int,hash:bigint>>)"
-    return (
-        f"transform(array({tokens}), t -> if(size(t) = 0, {none}, if(size(t) < {k}, "
-        f"array(named_struct('place', 0, 'hash', xxhash64(t))), transform(array(transform("
-        f"sequence(0, size(t) - {s}), i -> xxhash64({run_hash}))), m -> {picked})[0])))[0]"
-    )
+    return _let("t", f"concat(array({marks}), {words})", f"if(size(t) < {K}, {none}, {picked})")
 
 
 def anchors(text: str) -> Column:
-    """Array of (place, hash) of a column's anchors: words, then characters of short texts."""
-    body = f"coalesce({text}, '')"
-    words = f"transform(regexp_extract_all({body}, r'{WORD_CLASS}', 0), w -> xxhash64(w))"
-    letters = f"if(char_length({body}) between 1 and {SHORT}, transform(split({body}, ''), c -> xxhash64(c)), cast(array() as array<bigint>))"
-    return F.expr(f"concat({_syncmers(words, K, S)}, {_syncmers(letters, CHAR_K, CHAR_S)})")
+    """Array of (place, hash) of a column's anchors; places count from the first mark."""
+    return F.expr(_anchors(text))
 
 
 def sketch(text: str) -> Column:
-    """The SIZE smallest distinct hashes of anchors with their place in steps of REACH, cut to
-    DIGITS hexadecimal digits, ascending."""
-    placed = F.transform(anchors(text), lambda a: F.xxhash64(a["hash"], F.floor(a["place"] / REACH)))
-    cut = F.transform(placed, lambda h: h.bitwiseAND(F.lit(16**DIGITS - 1)))
-    return F.slice(F.array_sort(F.array_distinct(cut)), 1, SIZE)
-
-
-def as_text(hashes: Column) -> Column:
-    """A sketch as one string of hexadecimal digits."""
-    return F.array_join(F.transform(hashes, lambda h: F.lower(F.lpad(F.hex(h), DIGITS, "0"))), "")
+    """Fingerprint as an ascending array of longs: BITS bits of hash, a spare bit, BITS of place."""
+    # 32 bits of the hash and the place, sorted, so that equal anchors stand together
+    placed = f"sort_array(transform({_anchors(text)}, a -> shiftleft(a.hash & 4294967295L, {BITS}) | a.place))"
+    heads = f"filter(sequence(0, size(s) - 1), i -> i = 0 or shiftright(s[i], {BITS}) != shiftright(s[i - 1], {BITS}))"
+    numbered = (
+        "flatten(transform(h, (f, j) -> transform(sequence(f, if(j + 1 < size(h), h[j + 1], size(s)) - 1), "
+        f"i -> shiftleft(xxhash64(shiftright(s[i], {BITS}), i - f) & {_MASK}L, {BITS + 1}) | (s[i] & {_MASK}L))))"
+    )
+    kept = f"filter(sort_array({numbered}), (x, i) -> i < {SIZE} or {_hash('x')} < {(1 << BITS) // SHARE}L)"
+    return F.expr(_let("s", placed, f"if(size(s) = 0, cast(array() as array<bigint>), {_let('h', heads, kept)})"))
 
 
-def likeness(a: str, b: str) -> Column:
-    """Jaccard similarity of two sketches' anchor sets: exact if both hold all their anchors."""
-    both = F.array_sort(F.array_union(a, b))
-    complete = (F.size(a) < SIZE) & (F.size(b) < SIZE)
-    seen = F.when(complete, both).otherwise(F.slice(both, 1, SIZE))
-    shared = F.size(F.array_intersect(F.array_intersect(F.col(a), F.col(b)), seen))
-    return F.when(F.size(both) == 0, 1.0).otherwise(shared / F.size(seen))
+def as_text(entries: Column) -> Column:
+    """The hashes of a fingerprint as one string of hexadecimal digits."""
+    return F.array_join(F.transform(entries, lambda x: F.lower(F.lpad(F.hex(F.shiftright(x, BITS + 1)), 8, "0"))), "")
 
 
-def range_edges(docs: DataFrame) -> list[float]:
-    """First ids of the ranges, ascending, without the very first: at most RANGES numbers."""
+def match(a: str, b: str) -> Column:
+    """(likeness, shift) of two fingerprints; shift is how much further on in b shared anchors stand."""
+    full = lambda x: f"if(size({x}) < {SIZE}, {1 << BITS}L, greatest({(1 << BITS) // SHARE}L, {_hash(f'{x}[size({x}) - 1]')} + 1))"
+    side = 1 << BITS
+    both = (
+        f"sort_array(concat(filter({a}, x -> {_hash('x')} < m), "
+        f"transform(filter({b}, x -> {_hash('x')} < m), x -> x | {side}L)))"
+    )
+    # neighbours of one hash, first a's, then b's
+    shared = (
+        f"filter(sequence(1, size(s) - 1), i -> {_hash('s[i]')} = {_hash('s[i - 1]')} "
+        f"and (s[i - 1] & {side}L) = 0 and (s[i] & {side}L) != 0)"
+    )
+    moves = f"sort_array(transform(p, i -> (s[i] & {_MASK}L) - (s[i - 1] & {_MASK}L)))"
+    ends = "filter(sequence(0, size(v) - 1), i -> i = size(v) - 1 or v[i] != v[i + 1])"
+    runs = "transform(e, (x, j) -> named_struct('n', x - if(j = 0, -1, e[j - 1]), 'near', -abs(v[x]), 'move', v[x]))"
+    shift = f"if(size(p) = 0, null, {_let('v', moves, _let('e', ends, f'array_max({runs}).move'))})"
+    some = _let("p", shared, f"named_struct('likeness', size(p) / (size(s) - size(p)), 'shift', {shift})")
+    one = "named_struct('likeness', if(size(s) = 0, 1D, 0D), 'shift', cast(null as bigint))"
+    found = _let("s", both, f"if(size(s) < 2, {one}, {some})")
+    return F.expr(_let("m", f"least({full(a)}, {full(b)})", found))
+
+
+def ranges_of(docs: DataFrame) -> tuple[float | None, list[float]]:
+    """The least id, and the first ids of the ranges that follow the first: RANGES at most."""
     key = F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf")))
     n, least = docs.select(F.count(F.lit(1)), F.min(key)).first()
     ranges = max(1, min(RANGES, n // RANGE))
     if ranges == 1:
-        return []
+        return least, []
     shares = [i / ranges for i in range(1, ranges)]
     edges = docs.select(F.percentile_approx(key, shares, 10 * ranges)).first()[0]
-    return sorted({e for e in edges if e > least})
+    return least, sorted({e for e in edges if e > least})
 
 
 def with_next(docs: DataFrame, *carried: str) -> DataFrame:
     """`docs` with next_<column> of the document that follows in the order of doc_id; after the
     last comes the first."""
-    edges = range_edges(docs)
+    least, edges = ranges_of(docs)
     key = F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf")))
-    least = docs.select(F.min(key)).first()[0]
     splits = [float("-inf"), *edges, float("inf")]
     keyed = docs.withColumn("__key", key)
     if edges:
@@ -132,7 +154,8 @@ def with_next(docs: DataFrame, *carried: str) -> DataFrame:
 
 def fingerprint_digest(docs: DataFrame) -> DataFrame:
     """One row per document: its fingerprint, that of the text with its last quarter replaced by
-    the start of the next one, and the likeness to it and to the next document."""
+    the start of the next one, the likeness to it and to the next document, and where the edited
+    text's shared passages moved."""
     sketched = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("sketch", sketch("text"))
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")
@@ -141,8 +164,9 @@ def fingerprint_digest(docs: DataFrame) -> DataFrame:
         .withColumn("edited", F.concat(F.left("text", n - quarter), F.left("next_text", quarter)))
         .withColumn("edited_sketch", sketch("edited"))
     )
-    return edited.select(
+    return edited.withColumn("__edited", match("sketch", "edited_sketch")).select(
         "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         as_text(F.col("sketch")).alias("fingerprint"), as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness("sketch", "edited_sketch").alias("near_edited"), likeness("sketch", "next_sketch").alias("near_next"),
+        F.col("__edited.likeness").alias("near_edited"), match("sketch", "next_sketch")["likeness"].alias("near_next"),
+        F.col("__edited.shift").alias("edited_shift"),
     )

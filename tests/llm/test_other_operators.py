@@ -176,29 +176,80 @@ def test_quality_awkward(spark, awkward, no_docs, clashing):
     assert quality.good_documents(clashing, none).columns == clashing.columns
 
 
-def brute_sketch(spark, text):
-    """Closed syncmers written out in plain Python over Spark's own hash function."""
-    text = text or ""
+def spark_hash(*values) -> int:
+    """Spark's xxhash64 of strings and numbers: each value's hash seeds the next."""
+    seed = 42
+    for v in values:
+        data = v.encode() if isinstance(v, str) else int(v).to_bytes(4, "little") if isinstance(v, np.int32) else (v % 2**64).to_bytes(8, "little")
+        seed = xxhash.xxh64_intdigest(data, seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def brute_sketch(text):
+    """(hash, place) of the fingerprint's entries, written out from the definition."""
+    words = WORD.findall(text or "")
+    t = [0] * (fingerprints.K - 1) + [spark_hash(w) for w in words] if words else []
+    found, seen = [], Counter()
+    for i in range(len(t) - fingerprints.K + 1):
+        k = t[i : i + fingerprints.K]
+        if min(k) in (k[0], k[-1]):
+            short = spark_hash(*k) & 0xFFFFFFFF
+            found.append((spark_hash(short, np.int32(seen[short])) & 0x7FFFFFFF, i))
+            seen[short] += 1
+    return [x for i, x in enumerate(sorted(found)) if i < fingerprints.SIZE or x[0] < 2**31 // fingerprints.SHARE]
+
+
+def brute_match(a, b):
+    """Likeness from the hashes below the bound to which both are complete, and the likeliest shift."""
+    def full(x):
+        return 2**31 if len(x) < fingerprints.SIZE else max(2**31 // fingerprints.SHARE, x[-1][0] + 1)
+
+    m = min(full(a), full(b))
+    a, b = ({h: p for h, p in x if h < m} for x in (a, b))
+    shared = a.keys() & b.keys()
+    moves = Counter(b[h] - a[h] for h in shared)
+    union = len(a.keys() | b.keys())
+    return len(shared) / union if union else 1.0, max(moves, key=lambda d: (moves[d], -abs(d), d)) if moves else None
+
+
+def brute_text(entries):
+    return "".join(f"{h:08x}" for h, _ in entries)
+
+
+def test_syncmers_by_hand(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve " * 2 + "x" * 400
+    df = spark.createDataFrame([(text,), (None,), ("",), ("word",)], "text string")
+    got = [[(x >> 32, x & 0x7FFFFFFF) for x in r[0]] for r in df.select(fingerprints.sketch("text")).collect()]
+    assert got == [brute_sketch(t) for t in (text, None, "", "word")]
+    assert got[1] == got[2] == [] and got[3]
 
-    def picked(tokens, k, s):
-        h = [int(r[0]) for r in spark.createDataFrame([(t,) for t in tokens], "t string").select(F.xxhash64("t")).collect()] if tokens else []
-        def of(values):
-            return spark.sql("select xxhash64(" + ",".join(f"{v}L" if v >= 0 else f"cast({v} as bigint)" for v in values) + ")").first()[0]
-        if not h:
-            return []
-        if len(h) < k:
-            return None
-        m = [of(h[i : i + s]) for i in range(len(h) - s + 1)]
-        return [i for i in range(len(h) - k + 1) if min(m[i : i + k - s + 1]) in (m[i], m[i + k - s])]
 
-    return picked(WORD.findall(text), fingerprints.K, fingerprints.S)
+def test_anchors_are_free_of_context(spark):
+    """Words put before a text leave its anchors as they are: likeness stays, and the shift is their number."""
+    words = [f"w{i}" for i in range(1000)]
+    rows = [(n, " ".join(words), " ".join([f"new{i}" for i in range(n)] + words)) for n in (0, 1, 20, 64, 130, 300)]
+    df = spark.createDataFrame(rows, "n long, a string, b string")
+    got = df.select("n", fingerprints.sketch("a").alias("x"), fingerprints.sketch("b").alias("y")).select("n", fingerprints.match("x", "y").alias("m")).collect()
+    for r in got:
+        assert r["m"]["shift"] == r["n"] and abs(r["m"]["likeness"] - 1000 / (1000 + r["n"])) < 0.1
+    assert next(r["m"]["likeness"] for r in got if r["n"] == 130) >= 0.8
 
 
-def test_syncmer_places(spark):
-    text = "one two three four five six seven eight nine ten eleven twelve " * 2 + "x" * 400
-    df = spark.createDataFrame([(text,)], "text string")
-    got = [a["place"] for a in df.select(fingerprints.anchors("text").alias("a")).first()["a"]]
-    assert got == brute_sketch(spark, text)
+def test_no_step_with_the_length(spark):
+    """A little more text is a little less alike, at every length."""
+    word = lambda i: f"{i * 7919 % 1000:03d}x"
+    rows = [(n, " ".join(map(word, range(n))), " ".join(map(word, range(n + 2)))) for n in range(20, 400, 20)]
+    df = spark.createDataFrame(rows, "n long, a string, b string")
+    got = df.select(fingerprints.sketch("a").alias("x"), fingerprints.sketch("b").alias("y")).select(fingerprints.match("x", "y")["likeness"]).collect()
+    assert all(r[0] >= 0.85 for r in got)
+
+
+def test_very_long_text(spark):
+    """300,000 words, and one word repeated as often, in one fingerprint each."""
+    texts = [" ".join(f"w{i % 7001}" for i in range(300_000)), "same " * 300_000]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [[(x >> 32, x & 0x7FFFFFFF) for x in r[0]] for r in df.select(fingerprints.sketch("text")).collect()]
+    assert got == [brute_sketch(t) for t in texts]
 
 
 def test_fingerprints(spark, sf_dir):
@@ -213,6 +264,10 @@ def test_fingerprints(spark, sf_dir):
         edited = x[: len(x) - m] + texts[j][:m]
         assert (r["n_chars"], r["edited_sha256"]) == (len(x), hashlib.sha256(edited.encode()).hexdigest())
         assert by_text.setdefault(x, r["fingerprint"]) == r["fingerprint"]
+        own, changed, following = brute_sketch(x), brute_sketch(edited), brute_sketch(texts[j])
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (brute_text(own), brute_text(changed))
+        assert (r["near_edited"], r["edited_shift"]) == brute_match(own, changed)
+        assert r["near_next"] == brute_match(own, following)[0]
         if x == edited:
             assert r["near_edited"] == 1.0
     assert np.mean([r["near_edited"] for r in rows.values()]) > 0.5 > 0.1 > np.mean([r["near_next"] for r in rows.values()])
