@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os.path
 import re
 from collections import Counter
 
@@ -314,26 +315,94 @@ def test_html(spark):
     assert html.extracted(df.limit(0)).count() == 0
 
 
-def test_html_differencing():
-    a = [(html.OPEN, t) for t in ("top", "menu", "mine", "end")]
-    b = [(html.OPEN, t) for t in ("top", "menu", "theirs", "end")]
-    assert html.main_text(a, b) == "mine" and html.main_text(a, None) == "top\nmenu\nmine\nend"
+def brute_templates(pages):
+    """Text of (page_id, url, html) rows without marked articles, pairing written out per host."""
+    rows = []
+    for i, url, page in pages:
+        m = re.match("[^:]*://([^/?#]*)([^?#]*)", url or "")
+        rows.append((i, m[1] if m else "", m[2] if m else "", html.candidates(page)[1]))
+    out = {}
+    for i, host, path, lines in rows:
+        ways = {}
+        for _, h, p, l in rows:
+            if h == host and l:
+                ways[tuple(l)] = min(p, ways.get(tuple(l), p))
+        order = sorted(ways, key=lambda l: ways[l])
+        gone = set()
+        if host and lines:
+            k = order.index(tuple(lines))
+            near = [order[j] for j in (k - 1, k + 1) if 0 <= j < len(order)]
+            if near:
+                start = lambda l: len(os.path.commonprefix([ways[l], ways[tuple(lines)]]))
+                gone = html.common_lines(lines, max(near, key=start))
+        out[i] = "\n".join(t for j, t in enumerate(lines) if j not in gone)
+    return out
+
+
+def plain_site(n):
+    """Pages of three hosts with a template in plain blocks, copies among them, in no order."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(n):
+        host, k = f"h{i % 3}.org", int(rng.integers(0, n))
+        body = "".join(f"<p>{'line of' if rng.random() < 0.1 else 'own'} {host if rng.random() < 0.5 else k} {j}</p>" for j in range(int(rng.integers(1, 6))))
+        rows.append((i, f"http://{host}/a/{k:03d}", f"<div>top of {host}</div><p>menu</p>{body}<p>end of {host}</p>"))
+    rows += [(n + i, u + "?again", p) for i, (_, u, p) in enumerate(rows[::7])]
+    rows += [(n + 50, None, "<p>top</p>"), (n + 51, "http://alone.org/", "<p>top</p><p>mine</p>"), (n + 52, "http://h0.org/", ""), (n + 53, "http://h1.org/x", None)]
+    return rows
+
+
+def test_html_differencing(spark):
+    """Pairs do not depend on how many ranges the pages are dealt into, nor on copies."""
+    rows = plain_site(90)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("own") for c in ("host", "path", "lines", "code", "range", "text")})
+    expected = brute_templates(rows)
+    assert sum("menu" in t for t in expected.values()) < 5 and any("own" in t for t in expected.values())
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for ranges in ("1", "4", "8", "211"):
+            spark.conf.set("spark.sql.shuffle.partitions", ranges)
+            got = html.extracted(df).collect()
+            assert {r["page_id"]: r["text"] for r in got} == expected and len(got) == len(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
 
 
 def test_html_copies_are_no_template(spark):
-    """Copies without a marked article keep their text; a sibling beside them still shows the template."""
+    """Copies count once: the template goes from all of them if a sibling shows it, else nothing does."""
     page = "<body><div>top</div><p>{}</p><div>end</div></body>"
-    rows = [(1, "http://h.org/a/1", page.format("mine")), (2, "http://h.org/a/1", page.format("mine")),
-            (3, "http://h.org/a/2", page.format("yours")),
+    rows = [(1, "http://h.org/a/1", page.format("mine")), (2, "http://h.org/a/1?x", page.format("mine")),
+            (6, "http://h.org/a/1?y", page.format("mine")), (3, "http://h.org/a/2", page.format("yours")),
             (4, "http://i.org/a", page.format("same")), (5, "http://i.org/a", page.format("same"))]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    ranges = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "1")  # one range, so that all neighbours meet
-    try:
-        got = {r["page_id"]: r["text"] for r in html.extracted(df).collect()}
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", ranges)
-    assert got == {1: "top\nmine\nend", 2: "mine", 3: "yours", 4: "top\nsame\nend", 5: "top\nsame\nend"}
+    got = {r["page_id"]: r["text"] for r in html.extracted(df).collect()}
+    assert got == {1: "mine", 2: "mine", 6: "mine", 3: "yours", 4: "top\nsame\nend", 5: "top\nsame\nend"}
+
+
+def test_html_without_article_marks(spark, sf_dir):
+    """With the article tags taken out, differencing and the other rules still leave the articles: what goes
+    beside the boilerplate is a line that the neighbour has too."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    bare = pages.withColumn("html", F.regexp_replace("html", "</?article>", ""))
+    marked = {r["page_id"]: r["text"].split("\n") for r in html.extracted(pages).collect()}
+    got = {r["page_id"]: r["text"].split("\n") for r in html.extracted(bare).collect()}
+    assert all(not Counter(got[i]) - Counter(marked[i]) for i in marked)
+    assert sum(got[i] == marked[i] for i in marked) >= 0.97 * len(marked)
+    rows = [(r["page_id"], r["url"], r["html"]) for r in bare.collect()]
+    assert {i: "\n".join(t) for i, t in got.items()} == brute_templates(rows)
+
+
+def test_html_of_very_long_pages():
+    """20,000 lines against 20,000 others: memory grows with the lines, not with their product."""
+    rng = np.random.default_rng(2)
+    a, b = (rng.integers(0, 5000, 20_000).tolist() for _ in range(2))
+    found = sorted(html.common_lines(a, b))
+    at = 0
+    for i in found:  # a subsequence of both
+        at = b.index(a[i], at) + 1
+    assert len(found) > 100
+    page = "".join(f"<p>line {i}</p>" for i in range(20_000))
+    assert len(html.candidates(page)[1]) == 20_000
 
 
 @pytest.mark.parametrize("seed", range(5))
@@ -427,4 +496,4 @@ def test_html_keeps_marked_text_of_an_article():
     page = """<article><section id="discussion"><h2 id="side-effects">a</h2><p class="alert">b</p></section>
 <h2 id="social-history">c</h2><h3 id="related-work">d</h3><div class="responses">e</div><p id="comments">f</p>
 <div id="menu-engineering">g</div><div class="x share-buttons">no</div><ul class="comments"><li>no</ul><div class="ad">no</div></article>"""
-    assert html.main_text(html.page_lines(page), None) == "a\nb\nc\nd\ne\nf\ng"
+    assert "\n".join(html.candidates(page)[1]) == "a\nb\nc\nd\ne\nf\ng"
