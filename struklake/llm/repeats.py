@@ -13,11 +13,19 @@ windows have equal anchors at equal places, so everything is induced from the sa
    are unique as a whole unless the bytes that all of them cover (the core) occur again, and
    otherwise differ only in the few bytes before and after the core, which travel with it.
 
-Hashes are two independent 64-bit polynomials, so equality means equal 128 bits.
+Frequent anchors and cores never gather in one task. A task combines HELD segments or strips before
+it sends them: of equal ones one goes out for all; an anchor that stands there in several segments is
+open without any other task's rows, so these are dealt by segment and only one mark goes to the
+anchor's own task; windows of a core that stands there in several strips are compared at once, and
+dealt by window. So of any anchor, core or window a task receives no more rows than there are such
+parcels of HELD, and runs of one repeated character or phrase are one row.
 
-Disk-backed priority queues for recursive induction are left to Spark's external sort; sorting
-every suffix would shuffle several times the input for each doubling, which the disk limit of
-four times the input rules out.
+Hashes are two independent 64-bit polynomials. Two segments count as equal if their anchors' 64 bits
+and the 64 bits of all their bytes are; strips and windows if the core's 128 bits and the bytes around
+it are.
+
+External induced sorting with disk-backed queues, the method named for this operator, is not what is
+built; the README gives the figures.
 
 Defined results: a null text counts as empty; texts under LENGTH bytes lose nothing; repeated rows
 lose all their LENGTH-byte strings; an empty table gives an empty result. Matches never cross
@@ -27,6 +35,7 @@ documents.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +48,9 @@ from struklake.llm.common import materialise
 LENGTH, K = 200, 64
 #: Windows of a strip.
 STRIP = 16
-#: Windows handled at a time.
+#: Windows handled at a time, and segments or strips that a task combines before it sends them.
 CHUNK = 1 << 19
+HELD = 300_000
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -88,10 +98,10 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def segments(data: np.ndarray, hashes: Polynomials) -> Iterator[tuple[np.ndarray, ...]]:
+def segments(data: np.ndarray, hashes: Polynomials, chunk: int = CHUNK) -> Iterator[tuple[np.ndarray, ...]]:
     """(lo, hi, anchor place, anchor hash, segment hash): windows lo to hi share an anchor."""
-    for at in range(0, len(data) - LENGTH + 1, CHUNK):
-        part = data[at : at + CHUNK + LENGTH - 1]
+    for at in range(0, len(data) - LENGTH + 1, chunk):
+        part = data[at : at + chunk + LENGTH - 1]
         sums = hashes.sums(0, part)
         anchors = hashes.runs(0, sums, K)
         place = np.arange(len(anchors), dtype=np.uint64)
@@ -110,73 +120,186 @@ def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
 
 
-def _find_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Kinds of rows that tasks send out: runs that are known to repeat, rows that stand alone in their
+#: task, rows whose anchor (or core) stands there in other company too, and marks of such anchors.
+DONE, LONE, MIXED, MARK = range(4)
+
+
+def _spread(*numbers: np.ndarray) -> np.ndarray:
+    """A hash of several numbers, by which rows are dealt evenly."""
+    out = np.zeros(len(numbers[0]), dtype=np.uint64)
+    for n in numbers:
+        out = mixed(mixed(out ^ n.astype(np.int64).view(np.uint64)) + np.uint64(0x9E3779B97F4A7C15))
+    return out.view(np.int64)
+
+
+def _merged(document: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Adjoining runs of a document as one: (row of the first, lo, hi); rows come in order."""
+    if not len(lo):
+        return lo, lo, hi
+    first = np.flatnonzero(np.r_[True, (document[1:] != document[:-1]) | (lo[1:] > hi[:-1] + 1)])
+    return first, lo[first], hi[np.r_[first[1:], len(lo)] - 1]
+
+
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in the order of the keys, and the number of the group that each of these belongs to."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), dtype=bool)
+    for k in keys:
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
+    return order, np.cumsum(new)
+
+
+def _combined(document, lo, hi, place, anchor, sig) -> Iterator[tuple[np.ndarray, ...]]:
+    """(kind, row, lo, hi, place, key, sig) of a task's segments: of equal ones the first stands for
+    all, and anchors that are frequent here are dealt by segment, so no anchor gathers in one task."""
+    order, segment = _groups(anchor, sig)
+    first = np.flatnonzero(np.diff(segment, prepend=-1))
+    one = order[first]
+    often = np.bincount(segment)[segment] > 1
+    done = np.sort(order[often])
+    at, run_lo, run_hi = _merged(document[done], lo[done], hi[done])
+    zero = np.zeros(len(at), dtype=np.int64)
+    row = done[at]
+    yield np.full(len(at), DONE), row, run_lo, run_hi, zero, _spread(row, run_lo, anchor[row]), zero
+    new = np.diff(anchor[one], prepend=anchor[one][:1] - 1) != 0
+    company = np.bincount(np.cumsum(new) - 1)
+    several = company[np.cumsum(new) - 1] > 1
+    key = np.where(several, _spread(anchor[one], sig[one]), anchor[one])
+    yield np.where(several, MIXED, LONE), one, lo[one], hi[one], place[one], key, sig[one]
+    marked = one[new & several]
+    zero = np.zeros(len(marked), dtype=np.int64)
+    yield np.full(len(marked), MARK), marked, zero, zero, zero, anchor[marked], zero
+
+
+def _find_segments(batches: Iterator[pa.RecordBatch], most: int, chunk: int) -> Iterator[pa.RecordBatch]:
     hashes = Polynomials()
-    names = ["row_id", "text_key", "lo", "hi", "place", "anchor", "sig"]
+    held: list[list[np.ndarray]] = []
+    ids: list[tuple[int, int]] = []
+    n = 0
+
+    def sent() -> Iterator[pa.RecordBatch]:
+        row_id, text_key = (np.array(c, dtype=np.int64) for c in zip(*ids, strict=True))
+        document, *columns = (np.concatenate(c) for c in zip(*held, strict=True))
+        for kind, row, lo, hi, place, key, sig in _combined(document, *columns):
+            of = document[row]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(row_id[of]), pa.array(text_key[of]), *[pa.array(c).cast(pa.int32()) for c in (lo, hi, place)],
+                pa.array(key), pa.array(sig), pa.array(kind.astype(np.int8)),
+            ], names=["row_id", "text_key", "lo", "hi", "place", "key", "sig", "kind"])
+
     for batch in batches:
-        rows: list[list[np.ndarray]] = []
-        held = 0
         columns = [batch[c].to_pylist() for c in ("row_id", "text_key", "text")]
         for row_id, key, text in zip(*columns, strict=True):
             data = _bytes(text)
-            if len(data) >= LENGTH:
-                for lo, hi, place, anchor, sig in segments(data, hashes):
-                    rows.append([np.full(len(lo), row_id), np.full(len(lo), key), lo, hi, place,
-                                 anchor.view(np.int64), sig.view(np.int64)])
-                    held += len(lo)
-            if held > 100_000:
-                yield _batch(rows, names)
-                rows, held = [], 0
-        if rows:
-            yield _batch(rows, names)
-
-
-def _batch(rows: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
-    columns = [np.concatenate(c) for c in zip(*rows, strict=True)]
-    kinds = [pa.int32() if n in ("lo", "hi", "place") else pa.int64() for n in names]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c).cast(k) for c, k in zip(columns, kinds, strict=True)], names=names
-    )
+            if len(data) < LENGTH:
+                continue
+            for lo, hi, place, anchor, sig in segments(data, hashes, chunk):
+                held.append([np.full(len(lo), len(ids)), lo, hi, place, anchor.view(np.int64), sig.view(np.int64)])
+                n += len(lo)
+            ids.append((row_id, key))
+            if n > most:
+                yield from sent()
+                held, ids, n = [], [], 0
+    if n:
+        yield from sent()
+
 
+STRIPS = ["row_id", "text_key", "lo", "hi", "place", "core", "core2", "before", "after", "key", "key2", "kind"]
 
-def _find_strips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The listed segments in strips: windows first to last, the place of the core (the last start
-    that the strip can have), two hashes of the core, and the bytes around it."""
+
+def _find_strips(batches: Iterator[pa.RecordBatch], most: int, chunk: int) -> Iterator[pa.RecordBatch]:
+    """The listed segments in strips: windows lo to hi, the place of the core (the last start that the
+    strip can have), two hashes of the core, and the bytes around it."""
     hashes = Polynomials()
+    held: list[list[np.ndarray]] = []
+    around: list[tuple[bytes, bytes]] = []
+    n = 0
     for batch in batches:
-        rows: list[list[np.ndarray]] = []
-        around: list[tuple[bytes, bytes]] = []
         columns = [batch[c].to_pylist() for c in ("row_id", "text_key", "text", "los", "his", "places")]
         for row_id, key, text, *lists in zip(*columns, strict=True):
             data = _bytes(text)
             lo, hi, place = (np.array(x, dtype=np.int64) for x in lists)
             low, high = (place - hi) // STRIP, (place - lo) // STRIP
-            n = high - low + 1
-            seg = np.repeat(np.arange(len(lo)), n)
-            strip = np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n) + low[seg]
+            size = high - low + 1
+            seg = np.repeat(np.arange(len(lo)), size)
+            strip = np.arange(len(seg)) - np.repeat(np.cumsum(size) - size, size) + low[seg]
             core = place[seg] - STRIP * strip
             first, last = np.maximum(lo[seg], core - STRIP + 1), np.minimum(hi[seg], core)
             end = core - STRIP + 1 + LENGTH
             two = np.zeros((2, len(seg)), dtype=np.uint64)
-            for at in range(0, len(data), CHUNK):
-                here = np.flatnonzero((core >= at) & (core < at + CHUNK))
+            for at in range(0, len(data), chunk):
+                here = np.flatnonzero((core >= at) & (core < at + chunk))
                 if len(here):
-                    part = data[at : at + CHUNK + LENGTH]
+                    part = data[at : at + chunk + LENGTH]
                     for k in range(2):
                         two[k, here] = hashes.between(k, hashes.sums(k, part), core[here] - at, end[here] - at)
-            rows.append([np.full(len(seg), row_id), np.full(len(seg), key), first, last, core, *two.view(np.int64)])
+            held.append([np.full(len(seg), row_id), np.full(len(seg), key), first, last, core, *two.view(np.int64)])
             raw = data.tobytes()
             around += [
                 (raw[f:c], raw[e : t + LENGTH])
                 for f, t, c, e in zip(first.tolist(), last.tolist(), core.tolist(), end.tolist(), strict=True)
             ]
-        if rows:
-            out = _batch(rows, ["row_id", "text_key", "lo", "hi", "place", "core", "core2"])
-            before, after = zip(*around, strict=True) if around else ((), ())
-            out = out.append_column("before", pa.array(before, pa.binary()))
-            out = out.append_column("after", pa.array(after, pa.binary()))
-            for i in range(0, out.num_rows, 50_000):
-                yield out.slice(i, 50_000)
+            n += len(seg)
+            if n > most:
+                yield from _sent_strips([np.concatenate(c) for c in zip(*held, strict=True)], around)
+                held, around, n = [], [], 0
+    if n:
+        yield from _sent_strips([np.concatenate(c) for c in zip(*held, strict=True)], around)
+
+
+def _sent_strips(columns: list[np.ndarray], around: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    """A task's strips. Where a core stands in several of them, their windows are compared here: equal
+    ones are done and the first stands for all; what is left is dealt by window, not by core."""
+    row_id, text_key, lo, hi, place, core, core2 = columns
+    order, group = _groups(core, core2)
+    often = np.bincount(group)[group] > 1
+    alone = np.sort(order[~often])
+    yield from _strip_rows(LONE, columns, around, alone, lo[alone], hi[alone], core[alone], core2[alone])
+    marked = order[np.flatnonzero(np.diff(group, prepend=-1))]
+    marked = marked[np.isin(marked, order[often])]
+    yield from _strip_rows(MARK, columns, around, marked, lo[marked], lo[marked] - 1, core[marked], core2[marked])
+    number = np.zeros(len(order), dtype=np.int64)
+    number[order] = group
+    seen: dict[tuple[int, bytes, bytes], list] = {}  # window: [its first (strip, start), how often]
+    listed = []
+    for i in np.sort(order[often]).tolist():
+        before, after = around[i]
+        first, last, at = int(lo[i]), int(hi[i]), int(place[i])
+        for start in range(first, last + 1):
+            window = (int(number[i]), before[start - first :], after[: start - (at - STRIP + 1)])
+            entry = seen.setdefault(window, [(i, start), 0])
+            entry[1] += 1
+            listed.append((i, start, entry))
+    for kind, some in (
+        (MIXED, [(i, start) for i, start, entry in listed if entry[0] == (i, start)]),
+        (DONE, [(i, start) for i, start, entry in listed if entry[1] > 1]),
+    ):
+        if some:
+            strip, start = (np.array(c, dtype=np.int64) for c in zip(*some, strict=True))
+            at, run_lo, run_hi = _merged(strip, start, start)
+            strip = strip[at]
+            keys = _spread(row_id[strip], text_key[strip], run_lo), np.zeros(len(strip), dtype=np.int64)
+            yield from _strip_rows(kind, columns, around, strip, run_lo, run_hi, *keys)
+
+
+def _strip_rows(kind, columns, around, strip, lo, hi, key, key2) -> Iterator[pa.RecordBatch]:
+    row_id, text_key, first, last, place, core, core2 = columns
+    for at in range(0, len(strip), 50_000):
+        s, a, z = strip[at : at + 50_000], lo[at : at + 50_000], hi[at : at + 50_000]
+        pieces = [(b"", b"")] * len(s)
+        if kind in (LONE, MIXED):
+            pieces = [
+                (around[i][0][x - f :], around[i][1][: max(0, y - (p - STRIP + 1))])
+                for i, x, y, f, p in zip(s.tolist(), a.tolist(), z.tolist(), first[s].tolist(), place[s].tolist(), strict=True)
+            ]
+        before, after = zip(*pieces, strict=True)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(row_id[s]), pa.array(text_key[s]), *[pa.array(c).cast(pa.int32()) for c in (a, z, place[s])],
+            pa.array(core[s]), pa.array(core2[s]), pa.array(before, pa.binary()), pa.array(after, pa.binary()),
+            pa.array(key[at : at + 50_000]), pa.array(key2[at : at + 50_000]), pa.array(np.full(len(s), kind, dtype=np.int8)),
+        ], names=STRIPS)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +326,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ], names=["doc_id", "n_bytes", "kept", "starts", "ends"])
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, held: int = HELD, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_bytes, kept (the bytes that stay) and the removed runs [starts, ends)."""
     # Null ids travel as -1: together with the text's hash they still name the rows. Both joins
     # below read the same columns of `keyed`, so its texts are shuffled once.
@@ -212,20 +335,20 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         F.xxhash64("text").alias("text_key"), "text",
     )
     found = keyed.select("row_id", "text_key", "text").mapInArrow(
-        _find_segments, "row_id long, text_key long, lo int, hi int, place int, anchor long, sig long"
+        partial(_find_segments, most=held, chunk=chunk), "row_id long, text_key long, lo int, hi int, place int, key long, sig long, kind byte"
     )
-    by_anchor, by_segment = Window.partitionBy("anchor"), Window.partitionBy("anchor", "sig")
+    by_key, by_segment = Window.partitionBy("key"), Window.partitionBy("key", "sig")
     repeated = materialise(
         found.withColumns({
-            "n": F.count(F.lit(1)).over(by_anchor),
-            "mixed": F.min("sig").over(by_anchor) != F.max("sig").over(by_anchor),
+            "n": F.count(F.lit(1)).over(by_key),
+            "mixed": (F.min("sig").over(by_key) != F.max("sig").over(by_key)) | (F.max("kind").over(by_key) == MARK),
         })
-        .filter("n > 1")
+        .filter(f"kind in ({DONE}, {MIXED}) or (kind = {LONE} and n > 1)")
         .withColumns({
-            "whole": F.count(F.lit(1)).over(by_segment) > 1,
+            "whole": (F.count(F.lit(1)).over(by_segment) > 1) | (F.col("kind") == DONE),
             "nth": F.row_number().over(by_segment.orderBy("row_id", "text_key", "lo")),
         })
-        .withColumn("open", F.col("mixed") & (F.col("nth") == 1))
+        .withColumn("open", ((F.col("kind") == MIXED) | ((F.col("kind") == LONE) & F.col("mixed"))) & (F.col("nth") == 1))
         .filter("whole or open")
         .select("row_id", "text_key", "lo", "hi", "place", "whole", "open")
     )
@@ -237,26 +360,30 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         keyed.join(unsettled.hint("merge"), same)
         .select("doc_id", "row_id", "text_key", "text", F.col("open_segments.lo").alias("los"),
                 F.col("open_segments.hi").alias("his"), F.col("open_segments.place").alias("places"))
-        .mapInArrow(_find_strips, "row_id long, text_key long, lo int, hi int, place int, "
-                                  "core long, core2 long, before binary, after binary")
+        .mapInArrow(partial(_find_strips, most=held, chunk=chunk),
+                    "row_id long, text_key long, lo int, hi int, place int, core long, core2 long, "
+                    "before binary, after binary, key long, key2 long, kind byte")
     )
-    # All windows below are partitioned by the core, so the strips are shuffled once. Of equal
-    # strips the first stands for all when single windows are compared; a null start is the
+    # Of equal strips the first stands for all when single windows are compared; a null start is the
     # strip as a whole, which is repeated if it has an equal.
-    by_core = Window.partitionBy("core", "core2")
-    by_strip = Window.partitionBy("core", "core2", "before", "after", F.expr("place - lo"), F.expr("place - hi"))
+    by_core = Window.partitionBy("key", "key2")
+    by_strip = Window.partitionBy("key", "key2", "before", "after", F.expr("place - lo"), F.expr("place - hi"))
     checked = (
-        strips.withColumn("n", F.count(F.lit(1)).over(by_core)).filter("n > 1")
+        strips.withColumn("n", F.count(F.lit(1)).over(by_core))
+        .filter(f"kind in ({DONE}, {MIXED}) or (kind = {LONE} and n > 1)")
         .withColumns({
-            "whole": F.count(F.lit(1)).over(by_strip) > 1,
+            "whole": (F.count(F.lit(1)).over(by_strip) > 1) & (F.col("kind") == LONE),
             "nth": F.row_number().over(by_strip.orderBy("row_id", "text_key", "lo")),
         })
     )
     by_window = Window.partitionBy("core", "core2", "back", "left_bytes", "right_bytes")
     windows = (
         checked.withColumn("start", F.explode(F.expr(
-            "if(nth = 1, if(whole, concat(array(null), sequence(lo, hi)), sequence(lo, hi)), array(null))")))
+            f"if(kind = {DONE}, array(null), if(nth > 1, array(null), "
+            "if(whole, concat(array(null), sequence(lo, hi)), sequence(lo, hi))))")))
         .withColumns({
+            # rows without a start are dealt by their place, the others by their window
+            "core": F.when(F.col("start").isNull(), F.xxhash64("row_id", "lo")).otherwise(F.col("core")),
             "back": F.expr("place - start"),
             "left_bytes": F.expr("substring(before, start - lo + 1)"),
             "right_bytes": F.expr(f"substring(after, 1, start - (place - {STRIP - 1}))"),

@@ -173,3 +173,59 @@ def test_repeats(spark, awkward, no_docs, clashing):
     assert kept == sorted((str(r["doc_id"]), k) for r, k in zip(rows, expected, strict=True))
     assert repeats.removal_digest(no_docs).count() == 0
     assert repeats.removal_digest(clashing).count() == awkward.count()
+
+
+def crowded_texts(rng) -> list[str]:
+    """One passage in most texts, another at the end of many, copies, periods, and long runs."""
+    noise = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    passage, tail, copied = noise(260), noise(207), noise(700)
+    texts = [noise(rng.randint(0, 90)) + passage + noise(rng.randint(0, 90)) for _ in range(40)]
+    texts += [noise(rng.randint(150, 250)) + tail for _ in range(20)]
+    texts += [copied] * 9 + [copied[:500] + noise(100), noise(30) + copied[30:]]
+    texts += ["c" * 900, "c" * 150 + noise(200), "ab" * 300 + noise(10), noise(137) * 6, (passage + "x") * 3, "c" * 199]
+    return texts
+
+
+@pytest.mark.parametrize("held, chunk", [(1, 300), (50, 301), (700, 1000), (300_000, 1 << 19)])
+def test_repeats_do_not_depend_on_parcels(spark, held, chunk):
+    """What a task combines and where it cuts long texts has no bearing on the result."""
+    import random
+
+    texts = crowded_texts(random.Random(11))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: bytes(r["kept"]) for r in repeats.without_repeats(df, held, chunk).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_repeats(texts)
+
+
+def test_repeats_in_very_long_texts(spark):
+    """Texts beyond a chunk: a repeated character, a period, and a passage over the seam of two chunks."""
+    import random
+
+    rng = random.Random(3)
+    noise = lambda n: "".join(rng.choices("abcdefghijklmnop", k=n))
+    long = noise(1_300_000)
+    seam = repeats.CHUNK
+    texts = ["x" * 1_200_000, "abcdefg" * 100_000, long, noise(50) + long[seam - 300 : seam + 260] + noise(50), noise(90)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["starts"], r["ends"]) for r in repeats.without_repeats(df).collect()}
+    assert got[0] == ([0], [1_200_000]) and got[1] == ([0], [700_000])
+    assert got[2] == ([seam - 300], [seam + 260]) and got[3] == ([50], [610]) and got[4] == ([], [])
+
+
+def test_no_anchor_gathers(spark):
+    """A passage in every text: no more rows of an anchor go out than there are parcels."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(4)
+    noise = lambda n: "".join(rng.choices("abcdefghij", k=n))
+    passage = noise(90)
+    hashes = repeats.Polynomials()
+    rows = [repeats.segments(np.frombuffer((noise(180) + passage + noise(180)).encode(), np.uint8), hashes) for _ in range(500)]
+    parts = [(i, *p) for i, r in enumerate(rows) for p in r]
+    columns = [np.concatenate([np.broadcast_to(p[k], p[1].shape) for p in parts]) for k in range(6)]
+    anchor, sig = (c.view(np.int64) for c in columns[4:])
+    most = np.unique(anchor, return_counts=True)[1].max()
+    sent = np.concatenate([key for *_, key, _ in repeats._combined(columns[0].astype(np.int64), *columns[1:4], anchor, sig)])
+    assert most >= 400 and np.unique(sent, return_counts=True)[1].max() <= 2
