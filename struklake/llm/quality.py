@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -37,8 +38,8 @@ TOKEN = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\sA-Za-z0-9\x80-\xff]")
 BUCKETS, DIM, SIGNS, WINDOW = 1 << 15, 32, 2, 2
 #: Rows of the matrix that travel in one record.
 ROWS = 32
-#: Tokens gathered before they are added to the matrix.
-TOKENS = 500_000
+#: Tokens gathered before they are added to the matrix, and words whose vectors are held at a time.
+TOKENS, POOL = 500_000, 1 << 16
 #: Most labelled documents that the network is fitted on.
 SAMPLE = 20_000
 HIDDEN, EPOCHS, RATE, DECAY, SEED = 48, 40, 2e-3, 1e-4, 17
@@ -71,11 +72,13 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
 
 
 def add_contexts(matrix: np.ndarray, words: np.ndarray, document: np.ndarray,
-                 places: np.ndarray, signs: np.ndarray) -> None:
-    """Add to each word's row the index vectors of its neighbours in the same document."""
+                 places: np.ndarray, signs: np.ndarray, seen: int = 0) -> None:
+    """Add to each word's row the index vectors of its neighbours in the same document. Of the first
+    `seen` words only pairs with later ones are added, as those among them were before."""
     for gap in range(1, WINDOW + 1):
-        left, right = words[:-gap], words[gap:]
-        same = document[:-gap] == document[gap:]
+        start = max(gap, seen)
+        left, right = words[start - gap : max(0, len(words) - gap)], words[start:]
+        same = document[start - gap : max(0, len(words) - gap)] == document[start:]
         left, right = left[same], right[same]
         for word, other in ((left, right), (right, left)):
             for s in range(SIGNS):
@@ -84,7 +87,7 @@ def add_contexts(matrix: np.ndarray, words: np.ndarray, document: np.ndarray,
                 ).astype(np.int64)
 
 
-def _count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_contexts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     bucket, (places, signs) = Buckets(), index_vectors()
     matrix = np.zeros(BUCKETS * DIM, dtype=np.int64)
     held: list[np.ndarray] = []
@@ -93,15 +96,15 @@ def _count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     def flush() -> None:
         words = np.concatenate(held)
         document = np.repeat(np.arange(len(held)), [len(h) for h in held])
-        for i in range(0, len(words), TOKENS):  # a long text is cut, with the window's overlap
-            j = i + TOKENS
-            add_contexts(matrix, words[i:j], document[i:j], places, signs)
+        for i in range(0, len(words), most):  # a long text is cut, with the window's overlap
+            first, end = max(0, i - WINDOW), i + most
+            add_contexts(matrix, words[first:end], document[first:end], places, signs, i - first)
 
     for batch in batches:
         for text in batch["text"]:
             held.append(bucket(text.as_py()))
             n += len(held[-1])
-            if n >= TOKENS:
+            if n >= most:
                 flush()
                 held, n = [], 0
     if n:
@@ -126,11 +129,11 @@ def _add_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """Unit context vectors of all buckets, counted over all documents."""
+def word_vectors(docs: DataFrame, most: int = TOKENS) -> np.ndarray:
+    """Unit context vectors of all buckets, counted over all documents, `most` tokens at a time."""
     schema = "part int, counts binary"
     parts = (
-        docs.select("text").mapInArrow(_count_contexts, schema)
+        docs.select("text").mapInArrow(partial(_count_contexts, most=most), schema)
         .repartition("part").mapInArrow(_add_parts, schema).collect()
     )
     matrix = np.zeros((BUCKETS, DIM))
@@ -145,12 +148,17 @@ def pooled(words: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     out = np.zeros(3 * DIM + 1, dtype=np.float32)
     n = len(words)
     if n:
-        v = vectors[words]
-        mean = v.mean(axis=0)
+        total, squares, steps = np.zeros((3, DIM))
+        for i in range(0, n, POOL):
+            v = vectors[words[max(0, i - 1) : i + POOL]]  # the word before, for the step to the first
+            steps += np.abs(v[1:] - v[:-1]).sum(axis=0, dtype=np.float64)
+            v = v[1:] if i else v
+            total += v.sum(axis=0, dtype=np.float64)
+            squares += np.square(v, dtype=np.float64).sum(axis=0)
+        mean = total / n
         out[:DIM] = mean
-        out[DIM : 2 * DIM] = np.sqrt(np.maximum((v * v).mean(axis=0) - mean * mean, 0))
-        if n > 1:
-            out[2 * DIM : 3 * DIM] = np.abs(v[1:] - v[:-1]).mean(axis=0)
+        out[DIM : 2 * DIM] = np.sqrt(np.maximum(squares / n - mean * mean, 0))
+        out[2 * DIM : 3 * DIM] = steps / max(1, n - 1)
     out[-1] = np.log1p(n)
     return out
 
@@ -215,7 +223,8 @@ class Network:
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         z = self.logits(x) / self.temperature if self.layers else np.full(len(x), self.prior)
-        return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+        # matrix products differ in their last bits with the number of rows in a batch
+        return np.round(1 / (1 + np.exp(-np.clip(z, -50, 50))), 9)
 
 
 def fold() -> Column:

@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -167,6 +168,48 @@ def test_quality_held_out(spark, sf_dir):
     assert again == {r["doc_id"]: r["score"] for r in rows}
 
 
+def brute_contexts(texts):
+    """Sums of index vectors of neighbours within the window, pair by pair."""
+    places, signs = quality.index_vectors()
+    matrix = np.zeros((quality.BUCKETS, quality.DIM), dtype=np.int64)
+    for text in texts:
+        words = quality.Buckets()(text)
+        for i, w in enumerate(words):
+            for j in range(max(0, i - quality.WINDOW), min(len(words), i + quality.WINDOW + 1)):
+                if i != j:
+                    np.add.at(matrix[w], places[words[j]], signs[words[j]])
+    return matrix
+
+
+@pytest.mark.parametrize("most", [1, 2, 7, 50, 10_000])
+def test_contexts_do_not_depend_on_cuts(most):
+    texts = ["one two three four five " * 9, None, "", "a", "a b", "b a c! 12 " * 6]
+    got = np.zeros((quality.BUCKETS, quality.DIM), dtype=np.int64)
+    for batch in quality._count_contexts(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]), most):
+        for part, counts in zip(batch["part"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+            got[part * quality.ROWS : (part + 1) * quality.ROWS] = np.frombuffer(counts, dtype=np.int64).reshape(quality.ROWS, quality.DIM)
+    assert (got == brute_contexts(texts)).all()
+
+
+def test_pooling_in_pieces(monkeypatch):
+    rng = np.random.default_rng(0)
+    words, vectors = rng.integers(0, 100, 1000), rng.normal(size=(100, quality.DIM)).astype(np.float32)
+    v = vectors[words].astype(np.float64)
+    expected = np.concatenate([v.mean(0), v.std(0), np.abs(np.diff(v, axis=0)).mean(0), [np.log1p(1000)]])
+    for size in (1, 3, 999, 1000, 1 << 16):
+        monkeypatch.setattr(quality, "POOL", size)
+        assert np.allclose(quality.pooled(words, vectors), expected, atol=1e-5)
+
+
+def test_quality_does_not_depend_on_partitions(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    long = spark.createDataFrame([(10_000, "word and other " * 250_000)], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").unionByName(long)
+    one, many = ({r["doc_id"]: r["score"] for r in quality.quality_scores(docs.repartition(n), labels).collect()} for n in (1, 8))
+    assert one == many and len(one) == docs.count()
+
+
 def test_quality_awkward(spark, awkward, no_docs, clashing):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     one_sided = spark.createDataFrame([(1, 1, 0), (4, 1, 0), (2, None, None), (None, 0, 0)], none.schema)
