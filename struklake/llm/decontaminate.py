@@ -1,17 +1,18 @@
 """Benchmark decontamination: find passages of benchmark items in documents.
 
 Windows of an item's own size slide over a document's words. SimHash codes of item and window
-are compared through multi-index blocks: codes of BITS bits are cut into BLOCKS blocks, and a code
-within RADIUS bits has a block within RADIUS // BLOCKS bits, so tables that list the items near
-every block value miss no fingerprint within the radius. Candidates are then verified exactly:
+are compared through multi-index blocks: codes of BITS bits are cut into BLOCKS blocks, and two codes
+within RADIUS bits have at least NEAR_BLOCKS blocks within REACH bits, so tables that list the items
+near every block value miss no fingerprint within the radius. What the tables find is verified exactly:
 weighted Jaccard similarity (weights are counts) of the five-word shingles, SIMILARITY or more.
 
-A window can only reach the similarity if it shares a shingle with the item, and the shared
-shingles say where it starts; so windows are built only where a document's shingle is one of the
-items', found in one pass with a hashed bitmap. That is an exact filter, not a sample.
+A window can only reach the similarity to an item of its size if it holds a shingle of one; windows
+that do not are left out before any code is computed, in one pass with a hashed bitmap. That is an
+exact filter, not a sample; it names sizes, not items.
 
 Items are a query set: they are broadcast in blocks of at most ITEMS items and WORDS_LIMIT words
-each, so what is broadcast has a fixed bound, and larger benchmarks take more passes.
+each (an item that is longer by itself has a block of its own), one after the other, and larger
+benchmarks take more passes.
 
 Words are lower-cased (A-Z) runs without ASCII white space. Defined results: items of fewer than
 five words have their whole word sequence as the one shingle; null or wordless items and documents
@@ -31,10 +32,18 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from struklake.llm.common import materialise
+
 WORDS, SIMILARITY = 5, 0.8
 #: Code length and blocks; a code at SIMILARITY differs in 39 bits on average, sd 6.
 BITS, BLOCKS = 256, 32
-RADIUS = 70
+RADIUS = 74
+#: Bits of a block that may differ in a table, and the blocks that then must be near: of RADIUS
+#: differing bits no more than RADIUS // (REACH + 1) blocks can have over REACH.
+REACH = RADIUS // BLOCKS
+NEAR_BLOCKS = BLOCKS - RADIUS // (REACH + 1)
+#: Pairs of a code and an item that are counted at a time, and windows that share running sums.
+LOOKUP, SPAN = 1_000_000, 2048
 #: Bounds of one broadcast block of items.
 ITEMS, WORDS_LIMIT = 5_000, 1_000_000
 #: log2 of the bits of the shingle bitmap.
@@ -96,65 +105,91 @@ class ItemIndex:
     def __init__(self, items: list[tuple[int, str]], similarity: float):
         self.memo: dict[bytes, int] = {}
         self.similarity = similarity
-        self.ids, self.shingles, self.sizes = [], [], []
+        self.ids, self.shingles, widths = [], [], []
         for item_id, text in items:
             hashes = word_hashes(split_words(text), self.memo)
             if len(hashes):
                 self.ids.append(item_id)
                 self.shingles.append(shingle_hashes(hashes))
-                self.sizes.append(len(hashes))
+                widths.append(min(WORDS, len(hashes)))
         self.counts = [Counter(s.tolist()) for s in self.shingles]
-        self.where = defaultdict(list)  # shingle -> (item, place)
-        for i, s in enumerate(self.shingles):
-            for place, h in enumerate(s.tolist()):
-                self.where[h].append((i, place))
+        self.kinds = [(w, len(s)) for w, s in zip(widths, self.shingles, strict=True)]
+        # a window without any shingle of an item of its size has similarity 0 to all of them
+        self.sizes = defaultdict(set)  # (words, shingle) -> sizes of the items that hold it
         self.bitmap = np.zeros(1 << BITMAP, dtype=bool)
-        for s in self.shingles:
+        for (width, size), s in zip(self.kinds, self.shingles, strict=True):
+            for h in s.tolist():
+                self.sizes[width, h].add(size)
             self.bitmap[s >> np.uint64(64 - BITMAP)] = True
         self.codes = simhash_codes(np.array([stretch(s).sum(0) for s in self.shingles]).reshape(-1, BITS))
         values = np.arange(256, dtype=np.uint8)
-        reach = RADIUS // BLOCKS
-        # near[block][value]: the items whose block is within reach of the value
-        self.near = [np.bitwise_count(values[:, None] ^ self.codes[:, b]) <= reach for b in range(BLOCKS)]
-
-    def within(self, code: np.ndarray, item: int) -> bool:
-        """Multi-index test, then the whole distance."""
-        if not any(self.near[b][code[b], item] for b in range(BLOCKS)):
-            return False
-        return int(np.bitwise_count(code ^ self.codes[item]).sum()) <= RADIUS
+        # near[block][value]: the items whose block is within REACH bits of the value
+        self.near = [np.bitwise_count(values[:, None] ^ self.codes[:, b]) <= REACH for b in range(BLOCKS)]
+
+    def lookup(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, item) of all codes and items within RADIUS bits: such a pair has at least NEAR_BLOCKS
+        blocks within REACH bits, which the tables count; then the whole distance decides."""
+        rows, items = [], []
+        step = max(1, LOOKUP // max(1, len(self.ids)))
+        for at in range(0, len(codes), step):
+            part = codes[at : at + step]
+            count = np.zeros((len(part), len(self.ids)), dtype=np.uint8)
+            for b in range(BLOCKS):
+                count += self.near[b][part[:, b]]
+            row, item = np.nonzero(count >= NEAR_BLOCKS)
+            close = np.bitwise_count(part[row] ^ self.codes[item]).sum(axis=1) <= RADIUS
+            rows.append(row[close] + at)
+            items.append(item[close])
+        return np.concatenate(rows), np.concatenate(items)
+
+    def windows(self, shingles: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(size, first, end): windows of the sizes of items, cut at the text's ends, that hold a
+        shingle of an item of their size."""
+        hits = defaultdict(list)
+        for i in np.flatnonzero(self.bitmap[shingles >> np.uint64(64 - BITMAP)]).tolist():
+            for size in self.sizes.get((width, int(shingles[i])), ()):
+                hits[size].append(i)
+        for size, places in hits.items():
+            ends = np.array(places)
+            new = np.diff(ends, prepend=-1)
+            back = np.minimum(size, new)  # starts that no hit before has given
+            start = np.repeat(ends, back) - (np.arange(back.sum()) - np.repeat(np.cumsum(back) - back, back))
+            start = np.sort(np.concatenate([start, np.arange(min(0, places[0] - size + 1), 0)]))
+            yield size, np.maximum(start, 0), np.minimum(start + size, len(shingles))
 
     def matches(self, text: str | None) -> list[tuple[int, int, int, float]]:
         """(item, first word, words, similarity): the best window of every item in the text."""
         hashes = word_hashes(split_words(text), self.memo)
         found: dict[int, tuple] = {}
-        if not len(hashes) or not self.ids:
-            return []
-        by_size: dict[int, np.ndarray] = {}
-        starts: Counter = Counter()
-        for size in (WORDS, *{s for s in self.sizes if s < WORDS}):
-            if len(hashes) < size:
-                continue
-            by_size[size] = shingles = shingle_hashes(hashes, size)
-            for i in np.flatnonzero(self.bitmap[shingles >> np.uint64(64 - BITMAP)]).tolist():
-                for item, place in self.where.get(int(shingles[i]), ()):
-                    if min(self.sizes[item], WORDS) == size:
-                        starts[item, i - place] += 1
-        for (item, start), shared in starts.items():
-            need = len(self.shingles[item])
-            size = self.sizes[item]
-            shingles = by_size[min(size, WORDS)]
-            low = max(0, start)
-            window = shingles[low : max(low, start + need)]
-            if not len(window):
+        for width in {w for w, _ in self.kinds} if len(hashes) else ():
+            if len(hashes) < width:
                 continue
-            code = simhash_codes(stretch(window).sum(0, dtype=np.int64)[None])[0]
-            if not self.within(code, item):
-                continue
-            score = weighted_jaccard(self.counts[item], Counter(window.tolist()))
-            if score >= self.similarity and (item not in found or (-score, low) < found[item][:2]):
-                found[item] = (-score, low, len(window) + min(size, WORDS) - 1)
+            shingles = shingle_hashes(hashes, width)
+            for size, first, end in self.windows(shingles, width):
+                for row, item in self._near(shingles, first, end):
+                    if self.kinds[item] != (width, size):
+                        continue
+                    low, high = int(first[row]), int(end[row])
+                    score = weighted_jaccard(self.counts[item], Counter(shingles[low:high].tolist()))
+                    if score >= self.similarity and (item not in found or (-score, low) < found[item][:2]):
+                        found[item] = (-score, low, high - low + width - 1)
         return [(self.ids[i], low, n, -score) for i, (score, low, n) in sorted(found.items())]
 
+    def _near(self, shingles: np.ndarray, first: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(window, item) pairs whose codes are within the radius, for windows in ascending order."""
+        at = 0
+        while at < len(first):
+            # windows that overlap, SPAN at most, from running sums of their shingles' signs
+            stop = at + 1
+            while stop < len(first) and first[stop] < end[stop - 1] and stop - at < SPAN:
+                stop += 1
+            low, high = int(first[at]), int(end[stop - 1])
+            sums = np.zeros((high - low + 1, BITS), dtype=np.int32)
+            np.cumsum(stretch(shingles[low:high]), axis=0, out=sums[1:])
+            rows, items = self.lookup(simhash_codes(sums[end[at:stop] - low] - sums[first[at:stop] - low]))
+            yield from zip((rows + at).tolist(), items.tolist(), strict=True)
+            at = stop
+
 
 def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """Items in blocks of bounded size, read block by block in the order of item_id and text."""
@@ -171,7 +206,8 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per document and item found in it, with the place of the best window."""
+    """One row per document and item found in it, with the place of the best window; items that are
+    listed twice give their rows twice."""
     sc = docs.sparkSession.sparkContext
     found = None
     for block in item_blocks(benchmark):
@@ -192,7 +228,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
                     pa.array(columns[4], pa.float64()),
                 ], names=["doc_id", "item_id", "first_word", "n_words", "similarity"])
 
-        part = docs.select("doc_id", "text").mapInArrow(scan, MATCH)
+        part = materialise(docs.select("doc_id", "text").mapInArrow(scan, MATCH))
+        items.destroy()
         found = part if found is None else found.unionByName(part)
     return found
 

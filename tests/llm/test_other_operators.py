@@ -144,6 +144,69 @@ def test_decontamination(spark, sf_dir):
     assert clean == {r["doc_id"] for r in docs.collect()} - {i for i, _ in expected}
 
 
+def test_windows_that_hold_a_shingle():
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        index = decontaminate.ItemIndex([], 0.8)
+        n, sizes = int(rng.integers(1, 40)), set(rng.integers(1, 12, 2).tolist())
+        shingles, hit = rng.integers(0, 2**64, n, dtype=np.uint64), rng.random(n) < 0.2
+        for h in shingles[hit]:
+            index.bitmap[h >> np.uint64(64 - decontaminate.BITMAP)] = True
+            index.sizes[5, int(h)] = sizes
+        got = {size: list(zip(a.tolist(), b.tolist(), strict=True)) for size, a, b in index.windows(shingles, 5)}
+        for size in sizes if hit.any() else ():
+            windows = {(max(0, k), min(n, k + size)) for k in range(-size + 1, n)}
+            assert set(got[size]) == {(a, b) for a, b in windows if hit[a:b].any()} and got[size] == sorted(got[size])
+
+
+def test_multi_index_finds_all_codes_within_the_radius(monkeypatch):
+    rng = np.random.default_rng(2)
+    index = decontaminate.ItemIndex([(i, " ".join(f"w{i}x{k}" for k in range(30))) for i in range(50)], 0.8)
+    codes = np.concatenate([index.codes[rng.integers(0, 50, 400)], rng.integers(0, 256, (400, 32)).astype(np.uint8)])
+    for row in codes[:400]:  # up to 90 bits changed, near and beyond the radius
+        bits = rng.choice(decontaminate.BITS, int(rng.integers(0, 90)), replace=False)
+        np.bitwise_xor.at(row, bits // 8, (1 << (bits % 8)).astype(np.uint8))
+    far = np.bitwise_count(codes[:, None] ^ index.codes[None]).sum(2)
+    expected = set(map(tuple, np.argwhere(far <= decontaminate.RADIUS).tolist()))
+    assert set(zip(*(x.tolist() for x in index.lookup(codes)), strict=True)) == expected and len(expected) > 300
+    monkeypatch.setattr(decontaminate, "LOOKUP", 60)
+    assert set(zip(*(x.tolist() for x in index.lookup(codes)), strict=True)) == expected
+
+
+def test_fingerprints_find_the_candidates(monkeypatch):
+    """Nothing but the index of fingerprints proposes an item: without it there is no match."""
+    words = [f"w{i}" for i in range(40)]
+    index = decontaminate.ItemIndex([(7, " ".join(words)), (8, " ".join(words[:25]))], 0.8)
+    text = " ".join(["before"] * 30 + words + ["after"] * 9)
+    assert [(i, first, n) for i, first, n, _ in index.matches(text)] == [(7, 30, 40), (8, 30, 25)]
+    monkeypatch.setattr(index, "lookup", lambda codes: (np.zeros(0, dtype=int), np.zeros(0, dtype=int)))
+    assert index.matches(text) == []
+
+
+def test_recall_at_the_threshold():
+    """Windows with words changed here and there: all that reach the similarity are found."""
+    rng = np.random.default_rng(7)
+    reach = found = 0
+    for k in range(400):
+        words = [f"w{k}x{i}" for i in range(int(rng.integers(15, 60)))]
+        changed = list(words)
+        for i in rng.choice(len(words), int(rng.integers(0, 3)), replace=False):
+            changed[i] = "other"
+        cut = int(rng.integers(0, 4))
+        text = " ".join(["a"] * int(rng.integers(0, 9)) + changed[cut:] + ["b"] * int(rng.integers(0, 9)))
+        if brute_windows(text, [(1, [w.encode() for w in words])]):
+            reach += 1
+            found += bool(decontaminate.ItemIndex([(1, " ".join(words))], 0.8).matches(text))
+    assert reach > 100 and found == reach
+
+
+def test_decontamination_of_a_very_long_text():
+    words = [f"w{i}" for i in range(30)]
+    text = " ".join([f"x{i % 997}" for i in range(300_000)] + words * 500)
+    got = decontaminate.ItemIndex([(1, " ".join(words)), (2, "x1 x2 x3")], 0.8).matches(text)
+    assert [(i, s) for i, _, _, s in got] == [(1, 1.0), (2, 1.0)]
+
+
 def test_decontamination_awkward(spark, awkward, no_docs, clashing, monkeypatch):
     bench = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, None), (3, ""), (None, "x y z")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(awkward, bench).collect()}
