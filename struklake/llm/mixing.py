@@ -2,11 +2,15 @@
 
 Each source's documents, in the order of a digest, form one stream of words that is cut into
 blocks of BLOCK words. The number of slots of a source follows from its target, so taken words
-stay within one block of it; given these totals, the source counts of the output shards are a
-multinomial draw: every slot falls into a shard by a seeded hash. Slot t of a source takes block
-perm(t mod n) of its n blocks, where perm is a pseudorandom affine permutation of the block
+stay within one block of it. The source counts of the output shards are a multinomial draw given
+these totals: every slot falls into one of the shards with equal chances, by a seeded hash, and a
+shard's counts are those of the slots that fell into it (`shard_counts`). Slot t of a source takes
+block perm(t mod n) of its n blocks, where perm is a pseudorandom affine permutation of the block
 numbers that changes with every round t div n. Slots and blocks are joined by block number.
 
+`mixed_blocks` gives the mix as it is trained on, blocks of words in output shards; `mix_documents`
+the same words gathered by document; `mix_digest` the numbers of words, in all and by output shard.
+
 Weights go 1, 2, 3, repeating, over the sources in code point order, null last. Shares of all
 words are capped at CAP times the source's size; the excess is dealt anew by weight. With
 sources in the order of cap / weight, the level below which none is cut has a closed form.
@@ -15,7 +19,8 @@ Hot sources: the stream position of a document comes from sizes per (source, cel
 is ever ordered in one task. Only the table of sources (names and sums) is ordered as a whole.
 
 Defined results: null or wordless texts have size 0 and are never taken; null sources form one
-source; repeated rows are documents of their own; empty tables give empty results.
+source; repeated rows are documents of their own, and rows that share a doc_id are ordered by size and
+text, so reruns agree; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -104,7 +109,7 @@ def located(docs: DataFrame, cells: DataFrame, sources: DataFrame) -> DataFrame:
     """Documents with size, their source's rank, target and size, and at: the place of their
     first word in the source's stream. (rank, at) identifies a document that has words."""
     docs = drop_clashing(docs, "size", "rank", "target", "source_size", "at")
-    before = Window.partitionBy("rank", "cell").orderBy(F.col("doc_id").asc_nulls_first(), "size")
+    before = Window.partitionBy("rank", "cell").orderBy(F.col("doc_id").asc_nulls_first(), "size", "__text")
     facts = sources.select(
         _name(F.col("source")).alias("__name"), "rank", "target", F.col("size").alias("source_size")
     )
@@ -117,13 +122,14 @@ def located(docs: DataFrame, cells: DataFrame, sources: DataFrame) -> DataFrame:
             ), F.lit(0)).alias("__first"))
     )
     return (
-        docs.withColumns({"size": n_words(F.col("text")), "cell": _cell(), "__name": _name(F.col("source"))})
+        docs.withColumns({"size": n_words(F.col("text")), "cell": _cell(), "__name": _name(F.col("source")),
+                          "__text": F.md5(F.coalesce("text", F.lit("")))})
         .join(facts, "__name")
         .withColumn("__at", F.coalesce(
             F.sum("size").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .join(first, ["rank", "cell"])
         .withColumn("at", F.col("__first") + F.col("__at"))
-        .drop("cell", "__name", "__first", "__at")
+        .drop("cell", "__name", "__first", "__at", "__text")
     )
 
 
@@ -207,6 +213,36 @@ def mixed_pieces(placed: DataFrame, sources: DataFrame, **options) -> DataFrame:
     )
 
 
+def shard_counts(sources: DataFrame, **options) -> DataFrame:
+    """(out_shard, rank, n): the multinomial draw, how many blocks of a source each output shard takes."""
+    return block_slots(sources, **options).groupBy("out_shard", "rank").agg(F.count(F.lit(1)).alias("n"))
+
+
+def mixed_blocks(docs: DataFrame, **options) -> DataFrame:
+    """The mixed corpus in blocks: out_shard, source, slot, block, n_words and text, the block's words
+    joined by single spaces. A source's last block may be shorter than the others."""
+    block = options.get("block", BLOCK)
+    packed = docs.select("doc_id", "text", "source")
+    cells, sources = source_table(packed, options.get("cap", CAP))
+    placed = located(packed, cells, sources).filter("size > 0")
+    words = F.regexp_extract_all("text", F.lit(WORD_CLASS), F.lit(0))
+    # the words between two block bounds of the source's stream, for all blocks a document reaches into
+    cut = F.transform(F.array(words), lambda w: F.transform(
+        F.sequence(F.expr(f"at div {block}"), F.expr(f"(at + size - 1) div {block}")),
+        lambda k: F.struct(k.alias("block"), F.slice(
+            w, (F.greatest(k * block - F.col("at"), F.lit(0)) + 1).cast("int"),
+            (F.least((k + 1) * block, F.col("at") + F.col("size")) - F.greatest(k * block, F.col("at"))).cast("int"),
+        ).alias("words"))))[0]
+    pieces = placed.select("rank", "at", F.explode(cut).alias("p")).select("rank", "at", "p.block", "p.words")
+    blocks = pieces.groupBy("rank", "block").agg(F.sort_array(F.collect_list(F.struct("at", "words"))).alias("parts")).select(
+        "rank", "block", F.flatten("parts.words").alias("words"))
+    named = sources.select("rank", "source")
+    return (
+        block_slots(sources, **options).hint("merge").join(blocks, ["rank", "block"]).join(named, "rank")
+        .select("out_shard", "source", "slot", "block", F.size("words").alias("n_words"), F.array_join("words", " ").alias("text"))
+    )
+
+
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus with the columns of `docs`: per document and turn one row, whose text is
     what the mix takes of it in that turn: the text itself where all of it is taken, else the
@@ -235,27 +271,33 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix_digest(docs: DataFrame, **options) -> DataFrame:
-    """One row per document: size, its source's size and target, and the words taken of it."""
+    """One row per document: size, its source's size and target, the words taken of it, and
+    shard_words, how many of these each output shard takes, as numbers with commas between."""
     docs = docs.select("doc_id", "text", "source")
+    shards = options.get("shards", SHARDS)
     cells, sources = source_table(docs, options.get("cap", CAP))
     placed = materialise(located(docs, cells, sources).drop("text", "source"))
-    taken = (
-        mixed_pieces(placed, sources, **options).groupBy("rank", "at").agg(F.sum("n").alias("__taken"))
-    )
+    by_shard = [F.coalesce(F.sum(F.when(F.col("out_shard") == k, F.col("n"))), F.lit(0)) for k in range(shards)]
+    taken = mixed_pieces(placed, sources, **options).groupBy("rank", "at").agg(
+        F.sum("n").alias("__taken"), F.concat_ws(",", *[c.cast("string") for c in by_shard]).alias("__shards"))
     worded = placed.filter("size > 0").join(taken, ["rank", "at"], "left")
-    none = placed.filter("size = 0").withColumn("__taken", F.lit(0).cast("long"))
+    none = placed.filter("size = 0").withColumns({"__taken": F.lit(None).cast("long"), "__shards": F.lit(None).cast("string")})
     return worded.unionByName(none).select(
-        "doc_id", "size", "source_size", "target", F.coalesce("__taken", F.lit(0)).alias("taken")
+        "doc_id", "size", "source_size", "target", F.coalesce("__taken", F.lit(0)).alias("taken"),
+        F.coalesce("__shards", F.lit(",".join(["0"] * shards))).alias("shard_words"),
     )
 
 
 _DRAW = "('0x' || substr(md5({}), 1, 8))::BIGINT"
 _PERM = _DRAW.format("concat_ws('|', 'perm', 0, rank, turn)")
+_SHARD = _DRAW.format("concat_ws('|', 'shard', 0, rank, slot)")
+_WORDS = "times * (least(pos + size, (block + 1) * %d) - greatest(pos, block * %d))" % (BLOCK, BLOCK)
+_BY_SHARD = ", ".join(f"coalesce(sum({_WORDS}) FILTER (WHERE shard = {k}), 0)::BIGINT" for k in range(SHARDS))
 
 ORACLE = f"""
 WITH d AS (
     SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-           substr(md5(coalesce(doc_id::VARCHAR, '')), 1, {CELL_DIGITS}) AS cell
+           substr(md5(coalesce(doc_id::VARCHAR, '')), 1, {CELL_DIGITS}) AS cell, md5(coalesce(text, '')) AS digest
     FROM documents),
 s AS (
     SELECT source, sum(size)::BIGINT AS size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank
@@ -286,19 +328,20 @@ u AS (
     SELECT *, {_PERM} AS draw, list_filter({PRIMES}, lambda p: n_blocks % p != 0) AS usable FROM k),
 taken_blocks AS (
     SELECT rank, (((slot % n_blocks)::HUGEINT * usable[(draw % len(usable))::INT + 1] + draw) % n_blocks)::BIGINT AS block,
-           count(*) AS times
+           {_SHARD} % {SHARDS} AS shard, count(*) AS times
     FROM u GROUP BY ALL),
 p AS (
     SELECT d.*, t.source_size, t.target, t.rank,
-           (sum(d.size) OVER (PARTITION BY t.rank ORDER BY cell, doc_id NULLS FIRST, d.size
+           (sum(d.size) OVER (PARTITION BY t.rank ORDER BY cell, doc_id NULLS FIRST, d.size, digest
                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size)::BIGINT AS pos
     FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 b AS (
     SELECT rank, pos, size, unnest(range(pos // {BLOCK}, (pos + size - 1) // {BLOCK} + 1)) AS block
     FROM p WHERE size > 0),
 x AS (
-    SELECT rank, pos, sum(times * (least(pos + size, (block + 1) * {BLOCK}) - greatest(pos, block * {BLOCK})))::BIGINT AS taken
+    SELECT rank, pos, sum({_WORDS})::BIGINT AS taken, concat_ws(',', {_BY_SHARD}) AS shard_words
     FROM b JOIN taken_blocks USING (rank, block) GROUP BY rank, pos)
 SELECT doc_id, p.size, source_size, target,
-       CASE WHEN p.size > 0 THEN coalesce(taken, 0) ELSE 0 END::BIGINT AS taken
+       CASE WHEN p.size > 0 THEN coalesce(taken, 0) ELSE 0 END::BIGINT AS taken,
+       coalesce(shard_words, '{','.join(['0'] * SHARDS)}') AS shard_words
 FROM p LEFT JOIN x ON p.rank = x.rank AND p.pos = x.pos AND p.size > 0"""

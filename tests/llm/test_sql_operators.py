@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,6 +87,53 @@ def test_mix(spark, sf_dir, awkward, no_docs, clashing):
     assert mixing.mix_documents(clashing).columns == clashing.columns
 
 
+def test_mixed_blocks_and_the_draw(spark, awkward, no_docs):
+    """Blocks of every slot are slices of the source's stream; shard counts are those of the blocks, near
+    their expectation; the digest counts the same words."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(int(rng.integers(0, 90)))), "en", f"s{i % 5}", 0) for i in range(400)]
+    rows += [(900, "long " * 200_000, "en", "s1", 0)]
+    docs = spark.createDataFrame(rows, awkward.schema)
+    blocks = mixing.mixed_blocks(docs).collect()
+    digest = {r["doc_id"]: r for r in mixing.mix_digest(docs).collect()}
+    streams = {}
+    for name in {r[3] for r in rows}:  # the stream's documents in the order of the digest of doc_id
+        of_source = sorted((r for r in rows if r[3] == name), key=lambda r: (hashlib.md5(str(r[0]).encode()).hexdigest()[:3], r[0]))
+        streams[name] = [w for r in of_source for w in r[1].split()]
+    by_shard, taken = {}, {}
+    for b in blocks:
+        words = streams[b["source"]][b["block"] * mixing.BLOCK : (b["block"] + 1) * mixing.BLOCK]
+        assert b["text"].split(" ") == words and b["n_words"] == len(words)
+        by_shard[b["out_shard"], b["source"]] = by_shard.get((b["out_shard"], b["source"]), 0) + 1
+        for w in words:
+            key = (900 if w == "long" else int(w[1 : w.index("w")]), b["out_shard"])
+            taken[key] = taken.get(key, 0) + 1
+    for i, r in digest.items():
+        assert r["shard_words"] == ",".join(str(taken.get((i, k), 0)) for k in range(16))
+        assert r["taken"] == sum(map(int, r["shard_words"].split(",")))
+    sources = mixing.source_table(docs)[1]
+    rank = {r["rank"]: r["source"] for r in sources.collect()}
+    drawn = {(r["out_shard"], rank[r["rank"]]): r["n"] for r in mixing.shard_counts(sources).collect()}
+    assert drawn == by_shard
+    for name in streams:  # multinomial: 15 degrees of freedom, 60 has a chance below one in a million
+        counts = np.array([by_shard.get((k, name), 0) for k in range(16)])
+        assert ((counts - counts.mean()) ** 2 / counts.mean()).sum() < 60
+        places = sorted(b["slot"] for b in blocks if b["source"] == name)
+        assert places == list(range(len(places)))
+    assert mixing.mixed_blocks(no_docs).count() == 0 and mixing.mixed_blocks(awkward).count() > 0
+
+
+def test_mix_settles_ties(spark, awkward):
+    """Rows that share a doc_id and a size: the order of the input has no bearing."""
+    rows = [(i % 3, " ".join(f"t{i}w{k}" for k in range(70)), "en", "s", 0) for i in range(30)]
+    runs = []
+    for part, some in ((1, rows), (4, rows[::-1]), (2, rows[7:] + rows[:7])):
+        df = spark.createDataFrame(some, awkward.schema).repartition(part)
+        runs.append(sorted(map(tuple, mixing.mix_documents(df, cap=1).collect())))
+        assert sorted(map(tuple, mixing.mix_digest(df).collect())) == sorted(map(tuple, mixing.mix_digest(spark.createDataFrame(rows, awkward.schema)).collect()))
+    assert runs[0] == runs[1] == runs[2]
+
+
 #: url, host, path, rule, verdict of the rule.
 JUDGED = [
     ("http://A.Example.ORG/es/1?x", "a.example.org", "/es/1", "example.org/es/", "block"),
@@ -216,8 +264,6 @@ def test_no_anchor_gathers(spark):
     """A passage in every text: no more rows of an anchor go out than there are parcels."""
     import random
 
-    import numpy as np
-
     rng = random.Random(4)
     noise = lambda n: "".join(rng.choices("abcdefghij", k=n))
     passage = noise(90)
