@@ -21,8 +21,8 @@ dealt by window. So of any anchor, core or window a task receives no more rows t
 parcels of HELD, and runs of one repeated character or phrase are one row.
 
 Hashes are two independent 64-bit polynomials. Two segments count as equal if their anchors' 64 bits
-and the 64 bits of all their bytes are; strips and windows if the core's 128 bits and the bytes around
-it are.
+and the 64 bits of all their bytes are; strips if the core's 128 bits and the bytes around it are;
+windows if two hashes of these are.
 
 External induced sorting with disk-backed queues, the method named for this operator, is not what is
 built; the README gives the figures.
@@ -369,32 +369,38 @@ def without_repeats(docs: DataFrame, held: int = HELD, chunk: int = CHUNK) -> Da
     by_core = Window.partitionBy("key", "key2")
     by_strip = Window.partitionBy("key", "key2", "before", "after", F.expr("place - lo"), F.expr("place - hi"))
     checked = (
-        strips.withColumn("n", F.count(F.lit(1)).over(by_core))
+        strips.withColumns({
+            "n": F.count(F.lit(1)).over(by_core), "marked": F.max("kind").over(by_core) == MARK})
         .filter(f"kind in ({DONE}, {MIXED}) or (kind = {LONE} and n > 1)")
         .withColumns({
             "whole": (F.count(F.lit(1)).over(by_strip) > 1) & (F.col("kind") == LONE),
             "nth": F.row_number().over(by_strip.orderBy("row_id", "text_key", "lo")),
         })
     )
-    by_window = Window.partitionBy("core", "core2", "back", "left_bytes", "right_bytes")
+    back, left = F.expr("place - start"), F.expr("substring(before, start - lo + 1)")
+    right = F.expr(f"substring(after, 1, start - (place - {STRIP - 1}))")
+    single = F.col("start").isNotNull()
     windows = (
         checked.withColumn("start", F.explode(F.expr(
             f"if(kind = {DONE}, array(null), if(nth > 1, array(null), "
             "if(whole, concat(array(null), sequence(lo, hi)), sequence(lo, hi))))")))
-        .withColumns({
-            # rows without a start are dealt by their place, the others by their window
-            "core": F.when(F.col("start").isNull(), F.xxhash64("row_id", "lo")).otherwise(F.col("core")),
-            "back": F.expr("place - start"),
-            "left_bytes": F.expr("substring(before, start - lo + 1)"),
-            "right_bytes": F.expr(f"substring(after, 1, start - (place - {STRIP - 1}))"),
-        })
-        .withColumn("n", F.count("start").over(by_window))
-        .filter("start is null or n > 1")
+        .select(
+            "row_id", "text_key", "key", "key2", "start", ((F.col("kind") == MIXED) | F.col("marked")).alias("elsewhere"),
+            F.coalesce("start", "lo").alias("lo"), F.coalesce("start", "hi").alias("hi"),
+            # 128 bits of the window; rows without a start are dealt by their place
+            F.when(single, F.xxhash64("core", back, left, right)).otherwise(F.xxhash64("row_id", "lo")).alias("w"),
+            F.when(single, F.xxhash64("core2", right, left, back)).alias("w2"),
+        )
+        .withColumn("n", F.count("start").over(Window.partitionBy("key", "key2", "w", "w2")))
+        # only windows whose core stands in several strips of a task can have equals under another key
+        .filter("start is null or n > 1 or elsewhere")
+        .select("row_id", "text_key", "start", "lo", "hi", "w", "w2", "n")
+        .withColumn("all", F.count("start").over(Window.partitionBy("w", "w2")))
+        .filter('start is null or n > 1 or `all` > 1')
     )
     runs = (
         repeated.filter("whole").select("row_id", "text_key", "lo", "hi")
-        .unionByName(windows.select(
-            "row_id", "text_key", F.coalesce("start", "lo").alias("lo"), F.coalesce("start", "hi").alias("hi")))
+        .unionByName(windows.select("row_id", "text_key", "lo", "hi"))
         .groupBy("row_id", "text_key")
         .agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
         .withColumnsRenamed({"row_id": "__row", "text_key": "__key"})
