@@ -15,6 +15,9 @@ _NAMES = (
     "line_features", "char_codes", "position_features", "line_labels", "line_labels_hook", "expense_categories",
     "cer", "label_confusion", "label_recall", "detection_summary", "best_epoch", "history_rows",
     "stream_totals",
+    "scanned_tokens", "result_records", "audit_classes", "default_labels", "label_map", "class_names", "metric_log",
+    "receipt_split", "top_classes",
+    "phrase_repairs", "phrase_dates", "phrase_amounts", "phrase_features", "phrase_roles",
 )
 
 QUERIES = {name: getattr(queries, name) for name in _NAMES}

@@ -5,9 +5,14 @@ in every engine."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from struklake.sources.scratch import new_path
+
+_built: dict[tuple[str, str], str] = {}
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,7 +32,19 @@ def _line(index, text, label, yi, xi, present=None) -> Column:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """receipt_id, line_index, text, predicted_class, x_min, x_max, y_min, y_max, height."""
+    """receipt_id, line_index, text, predicted_class, x_min, x_max, y_min, y_max, height. Built once per
+    application and kept in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    try:
+        return spark.read.parquet(_built[key])
+    except (KeyError, AnalysisException):  # not built yet, or the folder was cleared
+        path = new_path(spark)
+        build_lines(spark, sf_dir).write.parquet(path)
+        _built[key] = path
+        return spark.read.parquet(path)
+
+
+def build_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     item_order = Window.partitionBy("l_orderkey").orderBy(
         "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate"
     )
@@ -110,6 +127,45 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Texts that the receipts above do not hold: currencies, decimal and English amounts, units, dates and
+#: times as printers write them. SQL over the columns of `_PHRASE_PARTS`, the same in both engines.
+PHRASES = (
+    "'Rp' || m", "'RP ' || m", "'Rp  ' || replace(m, '0', 'O')", "'harga Rp.' || replace(p, '5', 'S') || ' pas'",
+    "'Rp ' || m || ' Rp' || p", "'$ ' || e || '.' || c", "'TOTAL $' || p || ',' || c || ' $ 1O'", "'$O' || c", "'Rp'",
+    "e", "m || ',' || c", "p || '.' || c", "'RM ' || e || '.' || c", "p || ',5'", "'1.' || p", "'.' || c", "m || ',' || e", "p || '.' || c || '56'",
+    "'Date. ' || dmy || ' 10.32.15'", "'time 1.05.' || c", "'DATE' || iso || ' 10,32,15'", "'Tanggal ' || dmy || ' 9:05 PM'",
+    "word", "'on ' || word || ' 23:59:01'", "idn", "'printed ' || iso || ' 10:32'", "'32/13/1994 ' || m", "'99-01-02'", "short",
+    "'12 pcs @'", "'KG'", "'rm'", "p || ' box'", "c || ' x ' || m", "'@ ' || p || '.' || c", "'kopi susu ' || c", "'a'", "'N0. ' || c", "'[teh] manis!'", "'---'",
+)
+
+
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """receipt_id and text: one of PHRASES for every order, with its price, key and day."""
+    months = "Januari Februari Maret April Mei Juni Juli Agustus September Oktober November Desember".split()
+    day, price = F.col("o_orderdate"), F.floor("o_totalprice").cast("long")
+    parts = read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("long").alias("receipt_id"), price.cast("string").alias("p"), money(price).alias("m"),
+        F.format_number(price, 0).alias("e"), F.lpad((F.col("o_orderkey") % 100).cast("string"), 2, "0").alias("c"),
+        F.date_format(day, "yyyy-MM-dd").alias("iso"), F.date_format(day, "dd/MM/yyyy").alias("dmy"),
+        F.date_format(day, "MMMM d, yyyy").alias("word"), F.date_format(day, "d.MMM.yyyy").alias("short"),
+        F.concat(F.dayofmonth(day).cast("string"), F.lit(" "), F.element_at(F.array(*map(F.lit, months)), F.month(day)),
+                 F.lit(" "), F.year(day).cast("string")).alias("idn"),
+    )
+    chosen = F.expr(f"element_at(array({', '.join(PHRASES)}), cast(receipt_id % {len(PHRASES)} as int) + 1)")
+    return parts.select("receipt_id", chosen.alias("text"))
+
+
+PHRASES_SQL = f"""
+parts AS (
+    SELECT o_orderkey::BIGINT AS receipt_id, floor(o_totalprice)::BIGINT::VARCHAR AS p,
+           replace(format('{{:,}}', floor(o_totalprice)::BIGINT), ',', '.') AS m, format('{{:,}}', floor(o_totalprice)::BIGINT) AS e,
+           lpad((o_orderkey % 100)::VARCHAR, 2, '0') AS c, strftime(o_orderdate, '%Y-%m-%d') AS iso, strftime(o_orderdate, '%d/%m/%Y') AS dmy,
+           strftime(o_orderdate, '%B %-d, %Y') AS word, strftime(o_orderdate, '%-d.%b.%Y') AS short,
+           day(o_orderdate) || ' ' || ['Januari', 'Februari', 'Maret', 'April', 'Mei', 'Juni', 'Juli', 'Agustus', 'September', 'Oktober',
+           'November', 'Desember'][month(o_orderdate)] || ' ' || year(o_orderdate) AS idn
+    FROM orders),
+phrases AS (SELECT receipt_id, [{', '.join(PHRASES)}][receipt_id % {len(PHRASES)} + 1] AS text FROM parts)"""
+
 #: The same lines in DuckDB, as a WITH list that ends in `lines`.
 LINES_SQL = """
 items AS (

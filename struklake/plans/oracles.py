@@ -1,4 +1,6 @@
-"""DuckDB counterparts of the receipt queries, written apart from the Spark plans."""
+"""DuckDB counterparts of the receipt queries. The rules are written apart from the Spark plans; word
+lists and patterns are fixed values and taken from `functions/`, so a wrong word there shows only in
+the tests of texts with known results."""
 
 from __future__ import annotations
 
@@ -6,7 +8,7 @@ import re
 
 from struklake.functions import dates, features, text
 from struklake.functions import keywords as k
-from struklake.plans.fixtures import LINES_SQL, TOKENS_SQL
+from struklake.plans.fixtures import LINES_SQL, PHRASES_SQL, TOKENS_SQL
 
 
 def money(n: str) -> str:
@@ -214,9 +216,10 @@ CLEAN_ADDRESS = _over_lines(address_words("text"))
 CLEAN_ITEM = _over_lines(item_words("text"))
 CLEAN_NUMBER = _over_lines(squeeze(corrected(
     r"regexp_replace(regexp_replace(translate(text, 'OoIlSsBZz', '001155822'), '(\d+),\.(\d+)', '\1.\2', 'g'), '[^\d.,/\-]', '', 'g')")))
-CLEAN_DATE = _over_lines(
+CLEANED_DATE = (
     r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(\d{1,2})\.(\d{2})\.(\d{2})', '\1:\2:\3', 'g'), "
     r"'(\d{1,2}),(\d{2}),(\d{2})', '\1:\2:\3', 'g'), '(?i)^Date\.?\s*', ''), '(?i)^Time\.?\s*', ''))")
+CLEAN_DATE = _over_lines(CLEANED_DATE)
 CLEAN_CONVERSATIONS = f"""
 SELECT conv_id, turn, {corrected("regexp_replace(trim(text), '[^\\x00-\\x7F]+', '', 'g')")} AS cleaned FROM conversations"""
 
@@ -454,3 +457,73 @@ HISTORY_ROWS = """
 SELECT row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, o_totalprice)::INTEGER AS epoch, o_orderkey AS orderkey,
        o_totalprice AS price FROM orders"""
 STREAM_TOTALS = RECEIPT_TOTALS
+
+SCANNED_TOKENS = FIXTURE_TOKENS
+RESULT_RECORDS = f"""WITH RECURSIVE {FALLBACKS}{_TAIL(STORES)}{_TAIL(DATES)}, {_ROLES}, {_PAIRS}
+SELECT receipt_id, true AS success, store, date, grand AS total,
+       (row_number() OVER (PARTITION BY receipt_id ORDER BY price_line) - 1 + CASE WHEN price_line IS NULL THEN NULL ELSE 0 END)::INTEGER AS pos,
+       name, CASE WHEN price_line IS NULL THEN NULL ELSE 1 END::INTEGER AS qty, price
+FROM totals JOIN stores USING (receipt_id) JOIN receipt_dates USING (receipt_id) LEFT JOIN items_out USING (receipt_id)"""
+AUDIT_CLASSES = f"WITH {RELABELLED} SELECT predicted_class AS class, count(*) AS n, count(DISTINCT receipt_id) AS receipts FROM labelled GROUP BY 1"
+DEFAULT_LABELS = f"""WITH {LINES_SQL}
+SELECT receipt_id, line_index, CASE WHEN receipt_id % 3 = 0 THEN 'OTHER' ELSE predicted_class END AS predicted_class,
+       CASE WHEN receipt_id % 3 = 0 THEN 0.5 WHEN receipt_id % 5 = 0 THEN 0.0 ELSE 0.75 END::DOUBLE AS class_confidence FROM lines"""
+LABEL_MAP = "SELECT n_nationkey::INTEGER AS id, n_name AS label FROM nation"
+CLASS_NAMES = f"""WITH {LINES_SQL}
+SELECT receipt_id, line_index, ['STORE', 'ADDRESS_CONTACT', 'DATE', 'ITEM_DESC', 'ITEM_PRICE/QTY', 'SUBTOTAL', 'TAX', 'DISCOUNT',
+       'SERVICE_CHARGE', 'GRAND_TOTAL', 'CASH_PAYMENT', 'OTHER'][line_index % 13 + 1] AS label FROM lines"""
+METRIC_LOG = """SELECT (year(o_orderdate) * 12 + month(o_orderdate))::BIGINT AS epoch, count(*) AS samples,
+       count(*) FILTER (o_orderstatus = 'F') / count(*) AS val_accuracy FROM orders GROUP BY 1"""
+RECEIPT_SPLIT = """WITH placed AS (
+    SELECT o_orderkey AS receipt_id, ('0x' || substr(md5(concat_ws('|', o_orderkey::VARCHAR, '42')), 1, 8))::BIGINT % 1000 AS place FROM orders)
+SELECT receipt_id, CASE WHEN place < 800 THEN 'train' WHEN place < 900 THEN 'valid' ELSE 'test' END AS part FROM placed"""
+_SHARES = f"""shares AS (
+    SELECT *, [d / n, l / n, u / greatest(l, 1), s / n, (n - d - l - s) / n] AS scores
+    FROM (SELECT *, length(text) AS n, {_DIGITS} AS d, {_LETTERS} AS l, {_UPPERS} AS u, {_SPACES} AS s FROM lines))"""
+TOP_CLASSES = f"""WITH {LINES_SQL}, {_SHARES}
+SELECT receipt_id, line_index, ['STORE', 'ADDRESS_CONTACT', 'DATE', 'ITEM_DESC', 'ITEM_PRICE/QTY'][list_position(scores, list_max(scores))] AS label,
+       list_max(scores) AS confidence FROM shares"""
+LINE_LABELS_HOOK = f"""WITH {LINES_SQL}, {_SHARES}
+SELECT receipt_id, line_index, CASE WHEN d / n > 0.5 THEN 'ITEM_PRICE/QTY' ELSE 'OTHER' END AS predicted_class,
+       greatest(d / n, 1 - d / n) AS class_confidence FROM shares"""
+
+
+def _runs_of(x: str) -> str:
+    for pattern in text.DIGIT_RUNS:
+        x = _in_runs(x, pattern)
+    return x
+
+
+def _with_currency(x: str, sign: str, spaced: str) -> str:
+    """The amounts after a sign in a plain column, repaired and spaced."""
+    pattern = sign + r"\s*([OoIlSZB\d.,]+)"
+    return (f"array_to_string(list_transform(list_zip(string_split_regex({x}, '{pattern}'), list_append(list_transform("
+            f"regexp_extract_all({x}, '{pattern}', 1), lambda g: '{spaced}' || {_runs_of('g')}), '')), lambda y: y[1] || y[2]), '')")
+
+
+PHRASE_REPAIRS = f"""WITH {PHRASES_SQL},
+r1 AS (SELECT receipt_id, 0 AS line_index, text, {_with_currency('text', 'Rp', 'Rp ')} AS t FROM phrases),
+r2 AS (SELECT receipt_id, {_with_currency('t', chr(92) + '$', '$')} AS currency FROM r1),
+n0 AS (SELECT receipt_id, 0 AS line_index, {fixed_words('text')} AS t FROM phrases), {_fixed_numbers('n0')},
+r3 AS (SELECT receipt_id, {_with_currency('t', 'Rp', 'Rp ')} AS t FROM n3),
+r4 AS (SELECT receipt_id, {_with_currency('t', chr(92) + '$', '$')} AS t FROM r3)
+SELECT receipt_id, currency, {squeeze('t')} AS repaired FROM r2 JOIN r4 USING (receipt_id)"""
+PHRASE_DATES = f"""WITH {PHRASES_SQL}
+SELECT receipt_id, {date_in('text')} AS date, cleaned
+FROM phrases JOIN (SELECT receipt_id, {CLEANED_DATE} AS cleaned FROM phrases) USING (receipt_id)"""
+PHRASE_AMOUNTS = f"""WITH {PHRASES_SQL},
+bare AS (SELECT receipt_id, trim(regexp_replace(text, '[RMrpRPIDRidrSRsr$€£¥₹]\\s*', '', 'g')) AS b FROM phrases),
+forms AS (
+    SELECT receipt_id, 'item' AS form, {item_numbers('text')} AS v FROM phrases
+    UNION ALL SELECT receipt_id, 'total', {total_numbers('text')} FROM phrases
+    UNION ALL SELECT receipt_id, 'whole', [{money('b')}] FROM bare)
+SELECT receipt_id, form, pos::INTEGER AS pos, v[pos + 1] AS value FROM (SELECT *, unnest(range(len(v))) AS pos FROM forms)"""
+PHRASE_FEATURES = f"""WITH {PHRASES_SQL}
+SELECT receipt_id, regexp_matches(text, '(?i){features.CURRENCY}')::INTEGER::DOUBLE AS currency,
+       (regexp_matches(text, '(?i){features.DATE}') OR regexp_matches(text, '{features.TIME}'))::INTEGER::DOUBLE AS date_or_time,
+       regexp_matches(text, '{features.QUANTITY}')::INTEGER::DOUBLE AS quantity FROM phrases"""
+PHRASE_ROLES = f"""WITH {PHRASES_SQL},
+lines AS (
+    SELECT receipt_id, i::INTEGER AS line_index, text, CASE i WHEN 0 THEN 0.125 ELSE 0.75 END AS x_min, 0.5 AS y_min, 0.53125 AS y_max, 0.03125 AS height
+    FROM (SELECT *, unnest(range(2)) AS i FROM phrases)), {_ROLES}
+SELECT receipt_id, line_index, role, price FROM roles WHERE role IS NOT NULL"""

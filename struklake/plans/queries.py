@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from struklake.functions import amounts, dates, features, text
 from struklake.operators import evaluation, items, layout, learning, parties, result, totals
 from struklake.plans import fixtures
+from struklake.sources import receipts
+from struklake.sources.scratch import new_path
 from struklake.streaming import continuous
 
 
@@ -268,7 +268,7 @@ def expense_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals by the continuous job: receipts land as files, the job drains them."""
-    folder = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    folder = new_path(spark)
     continuous.nested(fixtures.lines(spark, sf_dir)).write.parquet(f"{folder}/in")
     job = continuous.continuous_scan(
         continuous.read_receipts(spark, f"{folder}/in"), f"{folder}/out", f"{folder}/state",
@@ -277,6 +277,115 @@ def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out").drop("batch")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the session names; a local one only where it names none."""
-    return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+def scanned_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens as the reader gives them, from a written token table."""
+    path = new_path(spark)
+    fixtures.tokens(spark, sf_dir).write.parquet(path)
+    box = F.col("bbox")
+    return receipts.read_tokens(spark, path).select(
+        "receipt_id", "token_id", "text", box[0][0].alias("x0"), box[0][1].alias("y0"),
+        box[2][0].alias("x1"), box[2][1].alias("y1"), "confidence")
+
+
+def result_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The response records as written and read back, one row per item."""
+    path = new_path(spark)
+    receipts.write_results(result.receipt_result(fixtures.lines(spark, sf_dir)), path)
+    return spark.read.parquet(path).select(
+        "receipt_id", "success", "store", "date", "total", F.posexplode_outer("items").alias("pos", "item")
+    ).select("receipt_id", "success", "store", "date", "total", "pos", "item.name", "item.qty", "item.price")
+
+
+def audit_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines per class folder of the written audit table."""
+    path = new_path(spark)
+    receipts.write_audit(result.audit(fixtures.lines(spark, sf_dir)), path)
+    return spark.read.parquet(path).groupBy("class").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("receipt_id").alias("receipts"))
+
+
+def default_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels attached by position; two receipts of three have predictions, one of five of these without
+    a confidence."""
+    rid = F.col("receipt_id")
+    predictions = fixtures.lines(spark, sf_dir).filter(rid % 3 != 0).select(
+        rid, "line_index", "predicted_class", F.when(rid % 5 != 0, F.lit(0.75)).alias("class_confidence"))
+    bare = fixtures.lines(spark, sf_dir).select("receipt_id", "line_index")
+    return result.default_labels(bare, predictions).select("receipt_id", "line_index", "predicted_class", "class_confidence")
+
+
+def label_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A label dictionary, nations by number, written as one JSON document and read back."""
+    path = new_path(spark)
+    pairs = F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("n_nationkey").cast("string"), "n_name"))))
+    fixtures.read(spark, sf_dir, "nation").agg(pairs.alias("idx2label")).write.json(path)
+    return receipts.read_label_map(spark, path)
+
+
+def class_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of model output numbers, among them one that no class has."""
+    number = (F.col("line_index") % 13).cast("int")
+    return fixtures.lines(spark, sf_dir).select("receipt_id", "line_index", receipts.label_name(number).alias("label"))
+
+
+def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A training log, months as epochs, written as one JSON array and read back."""
+    path = new_path(spark)
+    epochs = fixtures.read(spark, sf_dir, "orders").groupBy(
+        (F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("epoch")
+    ).agg(F.count(F.lit(1)).alias("samples"), (F.count_if(F.col("o_orderstatus") == "F") / F.count(F.lit(1))).alias("val_accuracy"))
+    row = F.to_json(F.struct("epoch", "samples", "val_accuracy"))
+    # one epoch a month: the document is as small as a log
+    epochs.agg(F.concat(F.lit("["), F.array_join(F.collect_list(row), ","), F.lit("]")).alias("value")).write.text(path)
+    return receipts.read_log(spark, path).select("epoch", "samples", "val_accuracy")
+
+
+def receipt_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of every order: train, valid or test."""
+    return fixtures.read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("receipt_id"), learning.split_of(F.col("o_orderkey")).alias("part"))
+
+
+def top_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of five scores of every line: shares of digits, letters, upper case, spaces and signs."""
+    scores = F.slice(features.text_features(F.col("text")), 1, 5)
+    label, best = learning.top_class(scores)
+    return fixtures.lines(spark, sf_dir).select("receipt_id", "line_index", label.alias("label"), best.alias("confidence"))
+
+
+def phrase_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Currency repair alone, and all repairs, of phrases with currencies."""
+    return fixtures.phrases(spark, sf_dir).select(
+        "receipt_id", text.fix_currency(F.col("text")).alias("currency"), text.post_process(F.col("text")).alias("repaired"))
+
+
+def phrase_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates found in phrases, and phrases cleaned as dates."""
+    return fixtures.phrases(spark, sf_dir).select(
+        "receipt_id", dates.find_date(F.col("text")).alias("date"), text.clean_date(F.col("text")).alias("cleaned"))
+
+
+def phrase_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts in phrases in the three ways of reading them."""
+    rows = fixtures.phrases(spark, sf_dir).select("receipt_id", F.explode(F.array(
+        F.struct(F.lit("item").alias("form"), amounts.item_numbers(F.col("text")).alias("v")),
+        F.struct(F.lit("total").alias("form"), amounts.total_numbers(F.col("text")).alias("v")),
+        F.struct(F.lit("whole").alias("form"), F.array(amounts.parse_money(F.col("text"))).alias("v")),
+    )).alias("f"))
+    return rows.select("receipt_id", "f.form", F.posexplode("f.v").alias("pos", "value"))
+
+
+def phrase_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether phrases hold a currency, a date or time, and a quantity."""
+    f = features.text_features(F.col("text"))
+    return fixtures.phrases(spark, sf_dir).select(
+        "receipt_id", f[7].alias("currency"), f[8].alias("date_or_time"), f[9].alias("quantity"))
+
+
+def phrase_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles of phrases that stand in the item zone, in both columns."""
+    rows = fixtures.phrases(spark, sf_dir).select(
+        "receipt_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("line_index"), "text", F.lit(0.5).alias("y_min"),
+        F.lit(0.53125).alias("y_max"), F.lit(0.03125).alias("height"))
+    placed = rows.withColumn("x_min", F.when(F.col("line_index") == 0, 0.125).otherwise(0.75))
+    return items.role_lines(placed).select("receipt_id", "line_index", "role", "price")

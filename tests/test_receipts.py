@@ -165,3 +165,94 @@ def test_large_receipts_are_whole(spark):
     found = items.receipt_items(spark.createDataFrame(zone, LINE))
     assert found.count() == n
     assert result.receipt_result(spark.createDataFrame(zone, LINE)).select(F.size("items")).first()[0] == n
+
+
+def brute_rows(ys, limit):
+    groups, rows, anchor, group, firsts = [], [], None, 0, []
+    for y in ys:
+        if anchor is None:
+            anchor = y
+            group += abs(y - anchor) >= limit
+        elif abs(y - anchor) >= limit:
+            anchor, group = y, group + 1
+        groups.append(group)
+    for y in ys:
+        near = [k for k, f in enumerate(firsts) if abs(y - f) < limit]
+        rows.append(near[0] if near else len(firsts))
+        if not near:
+            firsts.append(y)
+    return groups, rows
+
+
+@pytest.mark.parametrize("limit", [0.0, 0.5, 2.5, 1000.0])
+def test_row_folds_against_loops(spark, limit):
+    import random
+
+    rng = random.Random(1)
+    cases = [[], [3.0], [3.0, 3.0, 3.0]] + [[float(rng.randint(0, 40)) for _ in range(rng.randint(2, 60))] for _ in range(20)]
+    df = spark.createDataFrame([(sorted(c), c, limit) for c in cases], "sorted array<double>, ys array<double>, most double")
+    got = df.select(layout.anchored_groups(F.col("sorted"), F.col("most")), layout.first_fit_rows(F.col("ys"), F.col("most"))).collect()
+    for c, (groups, rows) in zip(cases, got, strict=True):
+        own = brute_rows(sorted(c), limit)[0]
+        # a group number only tells tokens apart and in order
+        assert [sorted(set(own)).index(g) for g in own] == [sorted(set(groups)).index(g) for g in groups]
+        assert rows == brute_rows(c, limit)[1]
+
+
+def test_very_large_receipt(spark):
+    """12,000 tokens in 3,000 rows."""
+    n = 3000
+    tokens = [token(4 * i + k, f"w{k}", 200 * k, 40 * i, 200 * k + 60, 40 * i + 20) for i in range(n) for k in range(4)]
+    df = spark.createDataFrame(tokens, "receipt_id long, token_id int, text string, bbox array<array<int>>, confidence double")
+    df = df.withColumn("bbox", F.col("bbox").cast("array<array<double>>"))
+    assert {r["token_id"]: r["row"] for r in layout.layout_rows(df).collect()} == {4 * i + k: i for i in range(n) for k in range(4)}
+
+
+def test_labels_are_those_of_the_model(spark, sf_dir):
+    """Class and probability of every line, from the fitted coefficients in plain numpy."""
+    import numpy as np
+
+    from struklake.plans import queries
+
+    source = queries._placed_lines(spark, sf_dir)
+    model = learning.train_labels(source)
+    regression = model.stages[-1]
+    weights, offset = regression.coefficientMatrix.toArray(), regression.interceptVector.toArray()
+    vectors = model.transform(learning._numbers(source)).select("receipt_id", "line_index", "features").limit(500).collect()
+    got = {(r["receipt_id"], r["line_index"]): r for r in learning.predict_labels(model, source).collect()}
+    for r in vectors:
+        scores = weights @ r["features"].toArray() + offset
+        share = np.exp(scores - scores.max())
+        share /= share.sum()
+        mine = got[r["receipt_id"], r["line_index"]]
+        assert mine["predicted_class"] == learning.LINE_CLASSES[int(share.argmax())]
+        assert mine["class_confidence"] == pytest.approx(share.max())
+
+
+def test_categories_are_those_of_the_counts(spark, sf_dir):
+    """Naive Bayes predictions of the test part, from word counts of the training part in plain Python."""
+    from collections import Counter
+    from math import log
+
+    from struklake.plans import queries
+
+    parts = [(r["p_partkey"], r["p_name"].lower().split(), r["p_type"]) for r in spark.read.parquet(f"{sf_dir}/part.parquet").collect()]
+    keys = spark.createDataFrame([(k,) for k, _, _ in parts], "k long")
+    part = {r["k"]: r["part"] for r in keys.select("k", learning.split_of(F.col("k")).alias("part")).collect()}
+    train = [(w, t) for k, w, t in parts if part[k] == "train"]
+    types = [t for t, _ in sorted(Counter(t for _, t in train).items(), key=lambda x: (-x[1], x[0]))]
+    words = {w for ws, _ in train for w in ws}
+    documents, counts = Counter(t for _, t in train), {t: Counter() for t in types}
+    for ws, t in train:
+        counts[t].update(ws)
+
+    def score(ws, t):
+        total = counts[t].total() + len(words)
+        return log((documents[t] + 1) / (len(train) + len(types))) + sum(log((counts[t][w] + 1) / total) for w in ws if w in words)
+
+    got = queries.expense_categories(spark, sf_dir).collect()
+    assert {r["p_partkey"] for r in got} == {k for k, p in part.items() if p == "test"} and got
+    by_key = {k: ws for k, ws, _ in parts}
+    for r in got:
+        scores = [score(by_key[r["p_partkey"]], t) for t in types]
+        assert scores[int(r["prediction"])] == pytest.approx(max(scores), abs=1e-9)
