@@ -55,7 +55,8 @@ def spread_lines(lines: DataFrame, sites: int = SITES) -> DataFrame:
 
 
 def without_boilerplate(docs: DataFrame, sites: int = SITES, site: str = "source") -> DataFrame:
-    """`docs` with the boilerplate lines taken out of `text`, and n_lines and n_removed."""
+    """`docs` with the boilerplate lines taken out of `text`, and n_lines and n_removed, which replace
+    columns of these names."""
     docs = drop_clashing(docs, "n_lines", "n_removed")
     lines = materialise(line_table(docs, site))
     marked = (
@@ -67,7 +68,9 @@ def without_boilerplate(docs: DataFrame, sites: int = SITES, site: str = "source
         "__row_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "__text_key": F.xxhash64("text"),
     })
     all_lines = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(all_lines, lambda _, i: ~F.array_contains("__places", i)), "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("__places"))
+    # the lines are bound once, so that a text of many lines takes no more than one step for each
+    kept = F.transform(F.array(all_lines), lambda lines: F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))[0]
     text = F.when(F.col("__places").isNull(), F.col("text")).otherwise(kept)
     return keyed.join(
         marked, (F.col("__row_id") == F.col("__row")) & (F.col("__text_key") == F.col("__key")), "left"

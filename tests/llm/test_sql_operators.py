@@ -185,6 +185,23 @@ def test_line_spread(spark, awkward, no_docs, clashing):
     assert linededup.without_boilerplate(clashing).count() == awkward.count()
 
 
+def test_lines_of_a_very_long_text(spark):
+    """Half of 100,000 lines stand on ten sites."""
+    own = "\n".join(f"shared {i}" if i % 2 else f"own {i}" for i in range(100_000))
+    other = "\n".join(f"shared {i}" for i in range(1, 100_000, 2))
+    rows = [(0, own, "s0"), *[(k, other, f"s{k}") for k in range(1, 10)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in linededup.without_boilerplate(df).collect()}
+    assert (got[0]["n_lines"], got[0]["n_removed"]) == (100_000, 50_000)
+    assert got[0]["text"] == "\n".join(f"own {i}" for i in range(0, 100_000, 2)) and got[3]["text"] == ""
+
+
+def test_urls_replace_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "http://a.org/x", "own"), (2, None, None)], "page_id long, url string, host string")
+    got = urls.judged(df.withColumns({n: F.lit("own") for n in ("path", "rule", "score", "named", "fold", "s", "ratio")}))
+    assert {r["host"] for r in got.collect()} == {"a.org", ""} and got.columns.count("host") == 1
+
+
 def brute_repeats(texts: list[str | None]) -> list[bytes]:
     data = [(t or "").encode() for t in texts]
     seen = {}
