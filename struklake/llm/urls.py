@@ -157,7 +157,7 @@ def calibrated(scored: DataFrame) -> float:
 
 def judged(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     """`pages` with host, path, rule, verdict and score (log-likelihood difference per character,
-    less the threshold)."""
+    less the threshold), which replace columns of these names."""
     pages = drop_clashing(pages, "host", "path", "rule", "verdict", "score")
     host, path = split_url(F.col(url))
     split = pages.withColumns({"host": host, "path": path})
