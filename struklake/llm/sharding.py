@@ -22,6 +22,8 @@ from struklake.llm.common import drop_clashing
 
 #: Cells a shard is cut into, as hexadecimal digits of the digest.
 CELL_DIGITS = 3
+#: Most shards whose cells are broadcast.
+BROADCAST_SHARDS = 256
 CELLS = 16**CELL_DIGITS
 #: Multiplier of the 64-bit linear congruential generator in the paper.
 LCG = 2862933555777941757
@@ -73,10 +75,12 @@ def shard_by_key(
     first = cells.select(
         "shard", "__cell", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first")
     )
+    # 16 ** CELL_DIGITS rows a shard: few shards are broadcast, for many Spark chooses by size
+    first = F.broadcast(first) if n_shards <= BROADCAST_SHARDS else first
     within = Window.partitionBy("shard", "__cell").orderBy(F.col(key).asc_nulls_first(), "__sum")
     return (
         placed.withColumn("__row", F.row_number().over(within))
-        .join(F.broadcast(first), ["shard", "__cell"])
+        .join(first, ["shard", "__cell"])
         .withColumn("slot", (F.col("__first") + F.col("__row") - 1).cast("long"))
         .drop("__cell", "__first", "__row", "__sum")
     )
