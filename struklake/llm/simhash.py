@@ -7,13 +7,14 @@ task, and gives a spanning forest of its links instead of all pairs. Components
 large-star and small-star rounds (Kiveris et al., 2014), which are joins and minima in Spark.
 
 Near-duplicate documents for the pipeline follow the house rule of five words and a similarity of
-0.8. At 0.8, 64 bits differ in ten places on average, far beyond a radius that blocks can carry, and
-no code decides at the threshold, so `near_copies` is exact and uses no code. Two sets of
-similarity 0.8 share one of the first shingles of both, a fifth of each set in any fixed order
-(prefix filter; Chaudhuri et al., 2006), and from the first one that they share enough must be left
-on both sides (positional filter; Xiao et al., 2008). The order is rare shingles first, so members
-of a large family of lesser similarity spend their first shingles on what is their own. Every pair
-that passes is decided by the sets themselves, unless links already connect it.
+0.8, and are decided by the shingle sets themselves. `near_copies` first takes what the codes and
+their BK-trees link and keeps the links whose sets have the similarity; that joins most near copies
+cheaply. At 0.8, though, 64 bits differ in ten places on average, far beyond a radius that blocks can
+carry, so a set join finds the rest. Two sets of similarity 0.8 share one of the first shingles of
+both, a fifth of each set in any fixed order (prefix filter; Chaudhuri et al., 2006), and from the
+first one that they share enough must be left on both sides (positional filter; Xiao et al., 2008).
+The order is rare shingles first, so members of a large family of lesser similarity spend their first
+shingles on what is their own. Every pair that passes is decided, unless links already connect it.
 
 Defined results: null and empty texts have no shingle and fingerprint zero, linked like any other;
 repeated rows share a fingerprint and so a group; an empty table gives an empty result.
@@ -75,16 +76,24 @@ def column_sums(rows: np.ndarray) -> np.ndarray:
     return total
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
+def simhash(digests: bytes) -> int:
     """64-bit fingerprint as a signed number: a bit is 1 if set in over half the shingle hashes."""
-    rows = np.frombuffer(shingle_digests(text, words), dtype=np.uint8).reshape(-1, 8)
+    rows = np.frombuffer(digests, dtype=np.uint8).reshape(-1, 8)
     bits = column_sums(rows) * 2 > len(rows)
     return int.from_bytes(np.packbits(bits).tobytes(), "big", signed=True)
 
 
+def fingerprint(text: str | None, words: int = 3) -> int:
+    return simhash(shingle_digests(text, words))
+
+
 def shingle_set(text: str | None, words: int) -> np.ndarray:
     """The distinct shingle hashes, ascending."""
-    return np.unique(np.frombuffer(shingle_digests(text, words), dtype=">u8").astype(np.uint64))
+    return distinct_hashes(shingle_digests(text, words))
+
+
+def distinct_hashes(digests: bytes) -> np.ndarray:
+    return np.unique(np.frombuffer(digests, dtype=">u8").astype(np.uint64))
 
 
 def set_code(hashes: np.ndarray) -> int:
@@ -210,24 +219,30 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = RADIUS, blocks: i
 
 
 def set_codes(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, code) of every document, and the shingles of the table counted in BUCKETS."""
+    """(doc_id, code, print) of every document, the code of its shingle set and its fingerprint, and the
+    shingles of the table counted in BUCKETS."""
     size = BUCKETS // PIECES
+    schema = "doc_id long, code long, print long, piece int, counts binary"
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, dtype=np.int64)
-        names = ["doc_id", "code", "piece", "counts"]
+        names = ["doc_id", "code", "print", "piece", "counts"]
         for batch in batches:
-            codes = []
+            codes, prints = [], []
             for text in batch["text"].to_pylist():
-                hashes = shingle_set(text, words)
+                digests = shingle_digests(text, words)
+                hashes = distinct_hashes(digests)
                 np.add.at(counts, _bucket(hashes), 1)
                 codes.append(set_code(hashes))
+                prints.append(simhash(digests))
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(codes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+                [batch["doc_id"], pa.array(codes, pa.int64()), pa.array(prints, pa.int64()),
+                 pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         if counts.any():
+            none = pa.nulls(PIECES, pa.int64())
             yield pa.RecordBatch.from_arrays([
-                pa.nulls(PIECES, pa.int64()), pa.nulls(PIECES, pa.int64()), pa.array(range(PIECES), pa.int32()),
+                none, none, none, pa.array(range(PIECES), pa.int32()),
                 pa.array([c.tobytes() for c in counts.reshape(PIECES, size)], pa.binary()),
             ], names=names)
 
@@ -241,12 +256,12 @@ def set_codes(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
         ], names=["piece", "counts"])
 
     rows = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        code, "doc_id long, code long, piece int, counts binary"))
+        code, schema))
     total = np.zeros((PIECES, size), dtype=np.int64)
     summed = rows.filter("piece is not null").select("piece", "counts").repartition("piece")
     for piece, counts in summed.mapInArrow(add, "piece int, counts binary").collect():  # BUCKETS numbers in all
         total[piece] = np.frombuffer(counts, dtype=np.int64)
-    return rows.filter("piece is null").select("doc_id", "code"), total.ravel()
+    return rows.filter("piece is null").select("doc_id", "code", "print"), total.ravel()
 
 
 def _bucket(hashes: np.ndarray) -> np.ndarray:
@@ -293,30 +308,51 @@ def _dealt(sets: list[tuple[np.ndarray, int, int]]) -> pa.RecordBatch:
 
 
 def partners(
-    run: np.ndarray, n: np.ndarray, at: np.ndarray, similarity: float, low: int = 0, high: int = 1 << 62
+    run: np.ndarray, n: np.ndarray, at: np.ndarray, similarity: float, low: int = 0, high: int = 1 << 62,
+    root: np.ndarray | None = None,
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows and partners, `low` < row - partner <= `high`, of runs sorted by n, that sizes and
-    places leave a chance of the similarity."""
+    places leave a chance of the similarity, and that have different roots if these are given."""
     share = similarity / (1 + similarity)
     starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]]) if len(run) else np.zeros(0, np.int64)
-    depth = np.arange(len(run)) - np.repeat(starts, np.diff(np.r_[starts, len(run)]))
+    number = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(run)]))
+    depth = np.arange(len(run)) - starts[number]
     row = np.flatnonzero(depth > low)
+    first_other = None if root is None else _first_other(run, root)
     step = low + 1
     while len(row) and step <= high:
         row = row[(depth[row] >= step) & (n[row - step] >= similarity * n[row] - 1e-6)]  # all before are smaller
+        if root is not None:  # a row goes on only while some row further before has another root
+            row = row[first_other[row] <= row - step]
         other = row - step
         left = np.minimum(n[row] - at[row], n[other] - at[other])
         good = left >= share * (n[row] + n[other]) - 1e-6
+        if root is not None:
+            good &= root[row] != root[other]
         if good.any():
             yield row[good], other[good]
         step += 1
 
 
+def _first_other(run: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """For every row the first row of its run that has another root; its own place if there is none before."""
+    if not len(run):
+        return np.zeros(0, dtype=np.int64)
+    place = np.arange(len(run))
+    start = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+    first = np.repeat(start, np.diff(np.r_[start, len(run)]))
+    change = np.where(root != root[first], place, len(run))
+    # the run's first row serves all of another root; rows of its root have the first change
+    later = np.minimum.reduceat(change, start)
+    later = np.repeat(later, np.diff(np.r_[start, len(run)]))
+    return np.where(root != root[first], first, np.minimum(later, place))
+
+
 def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, group_id) of every document: groups of texts linked by a Jaccard similarity of at
     least `similarity` of their sets of word shingles."""
     coded, counts = set_codes(docs, words)
-    first = materialise(coded.groupBy("code").agg(F.min("doc_id").alias("first_id")))
+    first = materialise(coded.groupBy("code").agg(F.min("doc_id").alias("first_id"), F.min("print").alias("print")))
 
     def with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_shards(batches):
@@ -334,23 +370,38 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
         .mapInArrow(with_partner, kind)
     )
     sets = materialise(_sets(docs, first.join(shards.select("code").distinct(), "code"), words))
-    links = tested = roots = None
+    tested = materialise(_decided(_print_pairs(first), sets, similarity))
+    roots = _roots(tested)
     for low, high in zip((0, *REACHES), REACHES, strict=False):
-        found = shards.withColumn("root", F.col("code")) if roots is None else shards.join(
-            roots, shards["code"] == roots["node"], "left").select(*shards.columns, F.coalesce("root", "code").alias("root"))
-        pairs = _apart(found, similarity, low, high)
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        checked = materialise(_decided(pairs, sets, similarity))
-        tested = checked if tested is None else tested.unionByName(checked)
-        links = tested.filter("near").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-        roots = materialise(components(links))
+        found = shards.join(roots, shards["code"] == roots["node"], "left").select(
+            *shards.columns, F.coalesce("root", "code").alias("root"))
+        # nothing is left to decide where one root holds all
+        mixed = found.groupBy("part", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
+        pairs = _apart(found.join(mixed, ["part", "key"], "left_semi"), similarity, low, high)
+        checked = materialise(_decided(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets, similarity))
+        tested = tested.unionByName(checked)
+        roots = _roots(tested)
     rooted = materialise(first.join(roots, first["code"] == roots["node"], "left").select(
         "code", "first_id", F.coalesce("root", "code").alias("root")))
     owner = rooted.groupBy("root").agg(F.min("first_id").alias("group_id"))
     return coded.join(rooted.join(owner, "root").select("code", "group_id"), "code").select("doc_id", "group_id")
 
 
+def _print_pairs(first: DataFrame) -> DataFrame:
+    """(a, b) codes whose fingerprints are equal or linked by the BK-trees."""
+    by_print = first.groupBy("print").agg(F.min("code").alias("one"))
+    links = code_links(by_print.select(F.col("print").alias("code")))
+    linked = (
+        links.join(by_print.toDF("src", "x"), "src").join(by_print.toDF("dst", "y"), "dst").select("x", "y")
+        .unionByName(first.join(by_print, "print").select(F.col("code").alias("x"), F.col("one").alias("y")))
+    )
+    return linked.filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _roots(tested: DataFrame) -> DataFrame:
+    return materialise(components(tested.filter("near").select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(code, hashes) of the wanted (code, first_id), one row each."""
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,12 +421,10 @@ def _apart(shards: DataFrame, similarity: float, low: int, high: int) -> DataFra
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_shards(batches):
             run, root, code = shard_numbers(group["part"], group["key"]), group["root"], group["code"]
-            for a, b in partners(run, group["n"], group["at"], similarity, low, high):
-                open_ = root[a] != root[b]
-                if open_.any():
-                    x, y = code[a[open_]], code[b[open_]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+            for a, b in partners(run, group["n"], group["at"], similarity, low, high, root):
+                x, y = code[a], code[b]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     return (
         shards.repartition("part", "key").sortWithinPartitions("part", "key", "n", "code")

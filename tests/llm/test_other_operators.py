@@ -585,6 +585,30 @@ def test_near_copies_in_a_large_family(spark):
     assert got == expected and 100 < len(set(expected.values())) < 2000
 
 
+def test_partners_of_other_roots():
+    """With roots given, exactly the partners of different roots come."""
+    rng = np.random.default_rng(4)
+    run = np.sort(rng.integers(0, 6, 200))
+    n = np.concatenate([np.sort(rng.integers(20, 30, (run == r).sum())) for r in range(6)])
+    at, root = rng.integers(0, 8, 200), np.where(rng.random(200) < 0.8, run, rng.integers(10, 13, 200))
+    for low, high in ((0, 1), (1, 16), (16, 1 << 62), (0, 1 << 62)):
+        every = {(int(x), int(y)) for a, b in simhash.partners(run, n, at, 0.8, low, high) for x, y in zip(a, b, strict=True)}
+        got = [(int(x), int(y)) for a, b in simhash.partners(run, n, at, 0.8, low, high, root) for x, y in zip(a, b, strict=True)]
+        assert set(got) == {(x, y) for x, y in every if root[x] != root[y]} and len(set(got)) == len(got) > 0
+
+
+def test_simhash_links_are_verified(spark):
+    """The BK-trees alone join near copies that differ in few bits; the sets decide what they link."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join(words[:-1]), " ".join(words[::-1])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    first = simhash.set_codes(df, 5)[0].select("code", "print", F.col("doc_id").alias("first_id"))
+    names = {r["code"]: r["first_id"] for r in first.collect()}
+    pairs = {frozenset((names[r["a"]], names[r["b"]])) for r in simhash._print_pairs(first).collect()}
+    assert pairs == {frozenset((0, 1))}
+    assert {r["doc_id"]: r["group_id"] for r in simhash.near_copies(df).collect()} == {0: 0, 1: 0, 2: 2}
+
+
 def test_near_copies_at_the_threshold(spark):
     """Exactly 0.8 links, a little less does not, for long and short texts."""
     def pair(k, n, changed):  # a text of n shingles, and one without its last `changed` shingles
