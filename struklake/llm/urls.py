@@ -17,7 +17,7 @@ calibration the threshold is 0; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from struklake.llm.common import drop_clashing, lower_ascii, materialise
@@ -87,11 +87,12 @@ def log_ratios(counts: DataFrame) -> DataFrame:
         level = counts.groupBy(at.alias("context"), "c").agg(
             F.sum("good").alias("good"), F.sum("bad").alias("bad")
         )
-        totals = level.groupBy("context").agg(*[
-            f for k in ("good", "bad") for f in (
-                F.sum(k).alias(f"{k}_n"), F.sum((F.col(k) > 0).cast("long")).alias(f"{k}_kinds"))
-        ])
-        level = level.join(totals, "context")
+        # a context has no more rows than there are characters
+        here = Window.partitionBy("context")
+        level = level.withColumns({
+            name: column for k in ("good", "bad") for name, column in (
+                (f"{k}_n", F.sum(k).over(here)), (f"{k}_kinds", F.sum((F.col(k) > 0).cast("long")).over(here)))
+        })
         if below is None:
             level = level.withColumns({"low_good": F.lit(1 / ALPHABET), "low_bad": F.lit(1 / ALPHABET)})
         else:
