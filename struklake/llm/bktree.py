@@ -90,12 +90,3 @@ def spanning(shard: np.ndarray, code: np.ndarray, radius: int) -> tuple[np.ndarr
                 break
             label = flat
     return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
-
-
-def nearest(shard: np.ndarray, code: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs (row, nearest earlier row of its shard within the radius), if there is any."""
-    best = np.full(len(code), STRIDE * (len(code) + 1), dtype=np.int64)
-    for a, b, far in links(shard, code, radius):
-        np.minimum.at(best, a, far * (len(code) + 1) + b)
-    rows = np.flatnonzero(best < STRIDE * (len(code) + 1))
-    return rows, best[rows] % (len(code) + 1)
