@@ -82,4 +82,5 @@ ORACLES = {
     "op7_mixing": mixing.ORACLE,
     "op8_line_dedup": linededup.ORACLE,
     "op9_suffix_dedup": repeats.ORACLE,
+    "op10_decontamination": decontaminate.ORACLE,
 }

@@ -252,3 +252,37 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for block in item_blocks(benchmark):
         docs = docs.filter(~_leaks(sc.broadcast(block))(F.col("text")))
     return docs
+
+
+_WORD_LIST = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+)
+
+#: All windows that share a shingle with an item of their size, counted shingle by shingle.
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORD_LIST} AS w FROM documents),
+i AS (
+    SELECT row_number() OVER () AS q, item_id, w, least(len(w), {WORDS}) AS k, len(w) - least(len(w), {WORDS}) + 1 AS size
+    FROM (SELECT item_id, {_WORD_LIST} AS w FROM benchmark) WHERE len(w) > 0),
+item_shingles AS (
+    SELECT q, k, size, array_to_string(w[p + 1:p + k], ' ') AS s, count(*) AS item_n
+    FROM (SELECT *, unnest(range(size)) AS p FROM i) GROUP BY ALL),
+doc_shingles AS (
+    SELECT r, k, n, p, array_to_string(w[p + 1:p + k], ' ') AS s
+    FROM (SELECT r, w, k, len(w) - k + 1 AS n, unnest(range(len(w) - k + 1)) AS p FROM d, (SELECT DISTINCT k FROM i))),
+starts AS (
+    SELECT DISTINCT r, q, k, size, n, unnest(range(p - size + 1, p + 1)) AS start
+    FROM doc_shingles JOIN item_shingles USING (k, s)),
+windows AS (SELECT DISTINCT r, q, k, size, greatest(start, 0) AS low, least(start + size, n) AS high FROM starts),
+counted AS (
+    SELECT v.r, q, v.k, size, low, high, s, count(*) AS n
+    FROM windows v JOIN doc_shingles g ON g.r = v.r AND g.k = v.k AND g.p >= low AND g.p < high GROUP BY ALL),
+scored AS (
+    SELECT r, q, c.k, c.size, low, high, sum(least(n, coalesce(item_n, 0))) AS common
+    FROM counted c LEFT JOIN item_shingles x USING (q, s) GROUP BY ALL),
+best AS (
+    SELECT *, common / (size + high - low - common) AS similarity,
+           row_number() OVER (PARTITION BY r, q ORDER BY common / (size + high - low - common) DESC, low, high) AS nth
+    FROM scored)
+SELECT doc_id, item_id, low::INTEGER AS first_word, (high - low + best.k - 1)::INTEGER AS n_words, similarity::DOUBLE AS similarity
+FROM best JOIN d USING (r) JOIN i USING (q) WHERE nth = 1 AND similarity >= {SIMILARITY}"""
