@@ -79,6 +79,7 @@ QUERIES = {
 ORACLES = {
     "op2_url_filter": urls.ORACLE,
     "op3_sharding": sharding.ORACLE,
+    "op4_simhash": simhash.ORACLE,
     "op6_html": html.ORACLE,
     "op7_mixing": mixing.ORACLE,
     "op8_line_dedup": linededup.ORACLE,

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from struklake.llm import bktree
 from struklake.llm.common import materialise
+from struklake.llm.xxh64_sql import xxh64
 
 #: Seed of the shingle hash.
 SEED = 42
@@ -457,3 +458,30 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     kept = groups.filter("doc_id = group_id").select("doc_id")
     one = docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return one.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+
+
+_WORDS_OF = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+)
+_BITS = " + ".join(
+    f"CASE WHEN 2 * count(*) FILTER (h // {1 << b}::UBIGINT % 2 = 1) > count(*) THEN {1 << b}::UHUGEINT ELSE 0::UHUGEINT END" for b in range(64)
+)
+
+ORACLE = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS_OF} AS w FROM documents),
+shingles AS (
+    SELECT r, hex(encode(array_to_string(w[p + 1:p + 3], ' '))) AS x
+    FROM (SELECT r, w, unnest(range(greatest(len(w) - 2, 1))) AS p FROM d WHERE len(w) > 0)),
+apart AS MATERIALIZED (SELECT DISTINCT x FROM shingles),
+{xxh64('apart', SEED)},
+known AS MATERIALIZED (SELECT x, h FROM hashed),
+codes AS (SELECT r, ({_BITS})::UBIGINT AS code FROM shingles JOIN known USING (x) GROUP BY r),
+coded AS (SELECT doc_id, coalesce(code, 0::UBIGINT) AS code FROM d LEFT JOIN codes USING (r)),
+kinds AS (SELECT code, min(doc_id) AS first_id FROM coded GROUP BY code),
+links AS (SELECT a.code AS a, b.code AS b, b.first_id FROM kinds a JOIN kinds b ON bit_count(xor(a.code, b.code)::HUGEINT) <= {RADIUS}),
+reached AS (
+    SELECT a, b, first_id FROM links
+    UNION
+    SELECT r.a, l.b, l.first_id FROM reached r JOIN links l ON r.b = l.a),
+groups AS (SELECT a AS code, min(first_id) AS component_id FROM reached GROUP BY a)
+SELECT doc_id, lower(lpad(hex(code), 16, '0')) AS fingerprint, component_id FROM coded JOIN groups USING (code)"""
