@@ -39,7 +39,8 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         return spark.read.parquet(_built[key])
     except (KeyError, AnalysisException):  # not built yet, or the folder was cleared
         path = new_path(spark)
-        build_lines(spark, sf_dir).write.parquet(path)
+        # even files, one for each core, as the rules over lines cost far more than reading them
+        build_lines(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism).write.parquet(path)
         _built[key] = path
         return spark.read.parquet(path)
 
