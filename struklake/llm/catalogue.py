@@ -8,8 +8,11 @@ from struklake.llm import (
     decontaminate,
     fingerprints,
     html,
+    lexical,
     linededup,
     mixing,
+    negatives,
+    personal,
     quality,
     repeats,
     sharding,
@@ -63,6 +66,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.personal_digest(read_table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_url_filter": op2_url_filter,
@@ -74,6 +89,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_decontamination": op10_decontamination,
+    "op11_pii": op11_pii,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLES = {
@@ -85,4 +103,6 @@ ORACLES = {
     "op8_line_dedup": linededup.ORACLE,
     "op9_suffix_dedup": repeats.ORACLE,
     "op10_decontamination": decontaminate.ORACLE,
+    "op12_hard_negatives": negatives.ORACLE,
+    "op13_lexical_search": lexical.ORACLE,
 }
