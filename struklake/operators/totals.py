@@ -1,8 +1,8 @@
 """Totals of a receipt: keyword-first routing of amounts, then one aggregation per receipt.
 
-All numbers of a receipt travel as (bucket, priority, value) entries of one exploded stream, so
-the totals take a single exchange on receipt_id and no join. Numbers in text are found once for
-each use. Defined results: a null text has no numbers; a null class is OTHER; a null y_min is 0;
+A line's numbers have one bucket and priority, so each line gives its largest value of a bucket, and its item sum,
+and the totals are one aggregation on receipt_id that combines before its exchange. Numbers in text
+are found once for each use. Defined results: a null text has no numbers; a null class is OTHER; a null y_min is 0;
 receipts without numbers get zeros; an empty table gives an empty result."""
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from struklake.functions import keywords as k
+from struklake.functions import text as t
 from struklake.functions.amounts import band_numbers, integer_digits, item_numbers, total_numbers
 
 # Plausible amounts, rates and ratios.
@@ -72,52 +73,40 @@ def line_bucket(text: Column, label: Column) -> Column:
     )
 
 
-def amount_entries(lines: DataFrame) -> DataFrame:
-    """(receipt_id, bucket, priority, value) of relabelled lines; a receipt without any number
-    keeps one row of nulls."""
+def line_amounts() -> Column:
+    """What a relabelled line adds to its receipt: (bucket, priority, values, item_sum, item_n, band)."""
     text, label = F.coalesce("text", F.lit("")), F.col("predicted_class")
     skipped = label.isin(*k.NO_TOTAL_CLASSES) | k.has_term(text, k.NO_TOTAL_TERMS)
     in_band = (F.coalesce("y_min", F.lit(0.0)) >= BAND_TOP) & ~k.has_term(text, k.BAND_TERMS)
-    none = F.array().cast("array<double>")
-
-    def entries(bucket: str, values: str, low: float, high: float) -> Column:
-        return F.transform(
-            F.filter(values, lambda v: v.between(low, high)),
-            lambda v: F.struct(F.lit(bucket).alias("bucket"), F.lit(0).alias("priority"), v.alias("value")),
-        )
-
-    prepared = lines.select(
-        "receipt_id",
-        F.when(~skipped, line_bucket(text, label)).alias("to"),
-        F.when(~skipped, total_numbers(text)).otherwise(none).alias("totals"),
-        F.when(label == "ITEM_PRICE/QTY", item_numbers(text)).otherwise(none).alias("items"),
-        F.when(in_band, band_numbers(text)).otherwise(none).alias("band"),
+    within = lambda values, low, high: F.filter(values, lambda v: v.between(low, high))
+    values = F.when(~skipped, t.once(line_bucket(text, label), lambda to: F.when(to.isNotNull(), F.struct(
+        to["bucket"].alias("bucket"), to["priority"].alias("priority"),
+        F.filter(total_numbers(text), lambda v: (v > 0) & (v <= TOTAL_LIMIT) & ~(to["rate"] & (v < RATE_LIMIT))).alias("values")))))
+    prices = F.when(label == "ITEM_PRICE/QTY", within(item_numbers(text), *ITEM_RANGE))
+    return F.struct(
+        values.alias("to"), prices.alias("prices"),
+        F.when(in_band, F.array_max(within(band_numbers(text), *BAND_RANGE))).alias("band"),
     )
-    routed = F.transform(
-        F.filter("totals", lambda v: (v > 0) & (v <= TOTAL_LIMIT) & F.col("to").isNotNull()
-                 & ~(F.col("to.rate") & (v < RATE_LIMIT))),
-        lambda v: F.struct(F.col("to.bucket").alias("bucket"), F.col("to.priority").alias("priority"), v.alias("value")),
-    )
-    return prepared.select("receipt_id", F.explode_outer(F.concat(
-        routed, entries("item", "items", *ITEM_RANGE), entries("band", "band", *BAND_RANGE)
-    )).alias("e")).select("receipt_id", "e.*")
-
-
-def gather(entries: DataFrame) -> DataFrame:
-    """One row per receipt: the largest of each bucket, item sum and count, grand candidates in
-    the order of priority and value."""
-    value = F.col("value")
-    bucket = lambda b: F.when(F.col("bucket") == b, value)
-    candidates = F.collect_list(F.when(F.col("bucket") == "grand", F.struct("priority", "value")))
-    sums = entries.groupBy("receipt_id").agg(
-        *[F.coalesce(F.max(bucket(b)), F.lit(0.0)).alias(b)
-          for b in ("subtotal", "discount", "service_charge", "cash", "change")],
-        F.max(bucket("tax")).alias("tax_found"),
-        F.coalesce(F.sum(bucket("item")), F.lit(0.0)).alias("items_sum"),
-        F.count(bucket("item")).alias("items_n"),
-        F.max(bucket("band")).alias("band_max"),
+
+
+def total_aggregates() -> list[Column]:
+    """The largest of each bucket, item sum and count, grand candidates in the order of priority and
+    value, of lines with their `line_amounts` as `a`."""
+    bucket, values = F.col("a.to.bucket"), F.col("a.to.values")
+    largest = lambda b: F.max(F.when(bucket == b, F.array_max(values)))
+    candidates = F.flatten(F.collect_list(F.when(bucket == "grand", F.transform(values, lambda v: F.struct(
+        F.col("a.to.priority").alias("priority"), v.alias("value"))))))
+    item_sum = F.aggregate(F.coalesce("a.prices", F.array().cast("array<double>")), F.lit(0.0), lambda s, v: s + v)
+    return [
+        *[F.coalesce(largest(b), F.lit(0.0)).alias(b) for b in ("subtotal", "discount", "service_charge", "cash", "change")],
+        largest("tax").alias("tax_found"), F.sum(item_sum).alias("items_sum"),
+        F.sum(F.size(F.coalesce("a.prices", F.array().cast("array<double>")))).alias("items_n"), F.max("a.band").alias("band_max"),
         F.transform(F.sort_array(candidates, asc=False), lambda c: c["value"]).alias("grand"),
-    )
+    ]
+
+
+def checked_tax(sums: DataFrame) -> DataFrame:
+    """The largest tax if it is a plausible share of the subtotal."""
     within = F.when(F.col("subtotal") > 0, F.col("tax_found") <= F.col("subtotal") * TAX_SHARE).otherwise(
         F.col("tax_found") < TAX_LIMIT)
     return sums.withColumn("tax", F.coalesce(F.when(within, F.col("tax_found")), F.lit(0.0)))
@@ -159,5 +148,11 @@ def with_fallbacks(gathered: DataFrame) -> DataFrame:
 
 def receipt_totals(lines: DataFrame, fallbacks: bool = True) -> DataFrame:
     """One row per receipt with the seven totals."""
-    gathered = gather(amount_entries(relabel(lines))).withColumn("grand_total", pick_grand())
-    return (with_fallbacks(gathered) if fallbacks else gathered).select("receipt_id", *TOTALS)
+    sums = relabel(lines).select("receipt_id", line_amounts().alias("a")).groupBy("receipt_id").agg(*total_aggregates())
+    return with_totals(sums, fallbacks).select("receipt_id", *TOTALS)
+
+
+def with_totals(sums: DataFrame, fallbacks: bool = True) -> DataFrame:
+    """The seven totals from the columns of `total_aggregates`."""
+    gathered = checked_tax(sums).withColumn("grand_total", pick_grand())
+    return with_fallbacks(gathered) if fallbacks else gathered
