@@ -142,20 +142,22 @@ def post_process(text: Column) -> Column:
     return squeeze(fix_currency(fix_numbers(fix_words(text))))
 
 
+def restore_case(word: Column, fix: Column) -> Column:
+    """The correction in the word's case: all upper, first letter upper, or as it is."""
+    is_upper = (F.upper(word) == word) & F.rlike(word, F.lit(r"\p{L}"))
+    return (
+        F.when(is_upper, F.upper(fix))
+        .when(F.rlike(F.substring(word, 1, 1), F.lit(r"\p{Lu}")), F.concat(F.upper(F.substring(fix, 1, 1)), F.substr(fix, F.lit(2))))
+        .otherwise(fix)
+    )
+
+
 def correct_words(text: Column) -> Column:
     """Dictionary corrections of whole words, with the word's case restored."""
     table = F.create_map(*[F.lit(x) for pair in CORRECTIONS.items() for x in pair])
 
     def corrected(word: Column) -> Column:
-        fix = F.try_element_at(table, F.lower(word))
-        first = F.substring(word, 1, 1)
-        is_upper = (F.upper(word) == word) & F.rlike(word, F.lit(r"\p{L}"))
-        cased = (
-            F.when(is_upper, F.upper(fix))
-            .when(F.rlike(first, F.lit(r"\p{Lu}")), F.concat(F.upper(F.substring(fix, 1, 1)), F.substr(fix, F.lit(2))))
-            .otherwise(fix)
-        )
-        return F.coalesce(cased, word)
+        return F.coalesce(restore_case(word, F.try_element_at(table, F.lower(word))), word)
 
     return F.array_join(F.transform(F.split(squeeze(text), " "), corrected), " ")
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from struklake.functions import keywords as k
 from struklake.functions import text as t
 from struklake.functions.amounts import band_numbers, integer_digits, item_numbers, total_numbers
+from struklake.sources.receipts import complete
 
 # Plausible amounts, rates and ratios.
 ITEM_RANGE = (100.0, 10_000_000.0)
@@ -148,7 +149,7 @@ def with_fallbacks(gathered: DataFrame) -> DataFrame:
 
 def receipt_totals(lines: DataFrame, fallbacks: bool = True) -> DataFrame:
     """One row per receipt with the seven totals."""
-    sums = relabel(lines).select("receipt_id", line_amounts().alias("a")).groupBy("receipt_id").agg(*total_aggregates())
+    sums = relabel(complete(lines)).select("receipt_id", line_amounts().alias("a")).groupBy("receipt_id").agg(*total_aggregates())
     return with_totals(sums, fallbacks).select("receipt_id", *TOTALS)
 
 

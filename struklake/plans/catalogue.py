@@ -17,6 +17,7 @@ _NAMES = (
     "stream_totals",
     "scanned_tokens", "result_records", "audit_classes", "default_labels", "label_map", "class_names", "metric_log",
     "receipt_split", "top_classes",
+    "corrupt_scans", "bare_lines_result", "dictionary_conversations", "joined_class_names",
     "phrase_repairs", "phrase_dates", "phrase_amounts", "phrase_features", "phrase_roles",
 )
 

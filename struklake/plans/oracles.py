@@ -403,6 +403,20 @@ SELECT receipt_id, content_type FROM manifest WHERE receipt_id NOT IN (SELECT re
 SCAN_ADMISSION = f"""WITH {LINES_SQL}, {_MANIFEST}, counts AS (SELECT receipt_id, count(*) AS n FROM lines GROUP BY receipt_id)
 SELECT receipt_id, CASE WHEN NOT contains(content_type, 'image/') THEN 400 WHEN n IS NULL THEN 422 ELSE 200 END AS status,
        coalesce(n, 0) AS total_lines FROM manifest LEFT JOIN counts USING (receipt_id)"""
+_JSON = """'{"receipt_id":' || o_orderkey || ',"content_type":"' || content_type || '","img_w":1024,"img_h":1024}'"""
+CORRUPT_SCANS = f"""WITH {LINES_SQL}, {_MANIFEST.replace('receipt_id,', 'receipt_id, o_orderkey,')},
+counts AS (SELECT receipt_id, count(*) AS n FROM lines GROUP BY receipt_id)
+SELECT CASE WHEN o_orderkey % 97 <> 0 THEN o_orderkey END AS receipt_id,
+       CASE WHEN o_orderkey % 97 = 0 OR NOT contains(content_type, 'image/') THEN 400 WHEN n IS NULL THEN 422 ELSE 200 END AS status,
+       CASE WHEN o_orderkey % 97 = 0 THEN 0 ELSE coalesce(n, 0) END AS total_lines,
+       CASE WHEN o_orderkey % 97 = 0 THEN substr({_JSON}, 1, length({_JSON}) - 9) END AS raw
+FROM manifest LEFT JOIN counts USING (receipt_id)"""
+DICTIONARY_CONVERSATIONS = CLEAN_CONVERSATIONS
+_PLACES = LINES_SQL[LINES_SQL.index("xi / 128.0"):LINES_SQL.rindex("\n    FROM raw)")]
+BARE_LINES_RESULT = f"""WITH RECURSIVE {FALLBACKS}{_TAIL(STORES)}, {_ADDRESSES}
+SELECT receipt_id, store, address, grand AS total, subtotal, tax, 0 AS n_items
+FROM totals JOIN stores USING (receipt_id) JOIN addresses USING (receipt_id)""".replace(
+    _PLACES, "0.0::DOUBLE AS x_min, 0.0::DOUBLE AS x_max, 0.0::DOUBLE AS y_min, 0.0::DOUBLE AS y_max, 0.02::DOUBLE AS height")
 AUDIT_LINES = f"""WITH {RELABELLED}
 SELECT receipt_id, line_index, text, predicted_class AS class, 0.0::DOUBLE AS confidence, x_min, y_min, 0.0::DOUBLE AS width, height FROM labelled"""
 
@@ -472,6 +486,7 @@ LABEL_MAP = "SELECT n_nationkey::INTEGER AS id, n_name AS label FROM nation"
 CLASS_NAMES = f"""WITH {LINES_SQL}
 SELECT receipt_id, line_index, ['STORE', 'ADDRESS_CONTACT', 'DATE', 'ITEM_DESC', 'ITEM_PRICE/QTY', 'SUBTOTAL', 'TAX', 'DISCOUNT',
        'SERVICE_CHARGE', 'GRAND_TOTAL', 'CASH_PAYMENT', 'OTHER'][line_index % 13 + 1] AS label FROM lines"""
+JOINED_CLASS_NAMES = CLASS_NAMES
 METRIC_LOG = """SELECT (year(o_orderdate) * 12 + month(o_orderdate))::BIGINT AS epoch, count(*) AS samples,
        count(*) FILTER (o_orderstatus = 'F') / count(*) AS val_accuracy FROM orders GROUP BY 1"""
 RECEIPT_SPLIT = """WITH placed AS (

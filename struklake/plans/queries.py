@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from struklake import schemas
 from struklake.functions import amounts, dates, features, text
-from struklake.operators import evaluation, items, layout, learning, parties, result, totals
+from struklake.operators import dictionary, evaluation, items, layout, learning, parties, result, totals
 from struklake.plans import fixtures
 from struklake.sources import receipts
 from struklake.sources.scratch import new_path
@@ -140,6 +141,41 @@ def scan_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
         "receipt_id", "status", "total_lines")
 
 
+def corrupt_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Admission of a manifest of JSON rows of which every 97th is cut off: status 400 with the raw text."""
+    path = new_path(spark)
+    row = F.to_json(F.struct("receipt_id", "content_type", "img_w", "img_h"))
+    fixtures.manifest(spark, sf_dir).select(
+        F.when(F.col("receipt_id") % 97 == 0, F.left(row, F.length(row) - 9)).otherwise(row).alias("value")).write.text(path)
+    read = receipts.read_permissive(spark, path, schemas.MANIFEST)
+    return result.admission(read, fixtures.lines(spark, sf_dir)).select("receipt_id", "status", "total_lines", "raw")
+
+
+def bare_lines_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record of lines that hold text and class only, with every default filled in."""
+    bare = fixtures.lines(spark, sf_dir).select("receipt_id", "line_index", "text", "predicted_class")
+    return result.receipt_result(bare).select(
+        "receipt_id", "store", "address", "total", "totals.subtotal", "totals.tax", F.size("items").alias("n_items"))
+
+
+def dictionary_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ASCII cleaning of chat texts with the corrections as a table that is joined."""
+    words = spark.createDataFrame(list(text.CORRECTIONS.items()), "word string, correction string")
+    ascii_only = F.regexp_replace(text.strip(F.col("text")), r"[^\x00-\x7F]+", "")
+    chats = fixtures.read(spark, sf_dir, "conversations").select("conv_id", "turn", ascii_only.alias("cleaned"))
+    return dictionary.correct_words(chats, "cleaned", words).withColumn("cleaned", text.squeeze(F.col("cleaned")))
+
+
+def joined_class_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of model output numbers by a label dictionary that is written, read and joined."""
+    path = new_path(spark)
+    pairs = F.create_map(*[F.lit(x) for i, c in enumerate(schemas.LINE_CLASSES) for x in (str(i), c)])
+    spark.range(1).select(pairs.alias("idx2label")).write.json(path)
+    numbered = fixtures.lines(spark, sf_dir).select("receipt_id", "line_index", (F.col("line_index") % 13).alias("number"))
+    named = dictionary.label_names(numbered, F.col("number"), receipts.read_label_map(spark, path))
+    return named.select("receipt_id", "line_index", "label")
+
+
 def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result.audit(fixtures.lines(spark, sf_dir)).drop("bbox")
 

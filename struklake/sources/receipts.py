@@ -21,6 +21,19 @@ def read_lines(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return spark.read.schema(schemas.LINES).format(fmt).load(path)
 
 
+def read_permissive(spark: SparkSession, path: str, schema: str, raw: str = "raw") -> DataFrame:
+    """JSON rows of the schema; of rows that cannot be read all columns are null but `raw`, which keeps the text."""
+    rows = spark.read.schema(f"{schema}, {raw} string").option("mode", "PERMISSIVE").option(
+        "columnNameOfCorruptRecord", raw).json(path)
+    return rows.select(*[F.when(F.col(raw).isNull(), F.col(c)).alias(c) for c in rows.columns if c != raw], raw)
+
+
+def complete(lines: DataFrame) -> DataFrame:
+    """Lines with all columns of the table: those that are absent are null, and each use fills in its own default."""
+    kinds = dict(part.strip().split(" ") for part in schemas.LINES.split(","))
+    return lines.withColumns({c: F.lit(None).cast(kind) for c, kind in kinds.items() if c not in lines.columns})
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """A metric log: one JSON document, an array of epochs or an object of arrays."""
     return spark.read.option("multiLine", True).json(path)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from struklake.operators import evaluation, items, layout, learning, parties, result, totals
+from struklake.operators import dictionary, evaluation, items, layout, learning, parties, result, totals
+from struklake.schemas import MANIFEST, TOKENS
 from struklake.sources import receipts
 from struklake.streaming import continuous
 
@@ -141,6 +142,75 @@ def test_failing_model_gives_default_labels(spark):
     assert (labelled["predicted_class"], labelled["class_confidence"]) == ("OTHER", 0.5)
 
 
+def test_model_that_fails_on_one_receipt(spark):
+    """Receipts run over many small batches; only the one on which the model fails goes without labels."""
+    def load():
+        def predict(frame):
+            if (frame["text"] == "bad").any():
+                raise ValueError("bad line")
+            return ["TAX"] * len(frame), [0.75] * len(frame)
+        return predict
+
+    rows = [(r, i, "bad" if (r, i) == (5, 3) else f"line {i}", None, 0.1, 0.1, 0.1, 0.02) for r in range(12) for i in range(9)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        df = spark.createDataFrame(rows, LINE)
+        got = result.default_labels(df, learning.with_model(df, load)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(rows)
+    assert all((r["predicted_class"], r["class_confidence"]) == (("OTHER", 0.5) if r["receipt_id"] == 5 else ("TAX", 0.75)) for r in got)
+
+
+def brute_pairs(prices, names, distance):
+    free, out = dict(enumerate(names)), []
+    for p, y in enumerate(prices):
+        near = [(abs(n - y), i) for i, n in free.items() if n <= y + distance * 0.3 and abs(n - y) <= distance]
+        if near:
+            del free[min(near)[1]]
+            out.append((p, min(near)[1]))
+    return out
+
+
+def test_pairing_against_loops():
+    import random
+
+    from struklake.operators import pairing
+
+    rng = random.Random(7)
+    for _ in range(400):
+        scale = rng.choice([4, 40, 400])
+        prices = sorted(rng.randint(0, scale) / 128 for _ in range(rng.randint(0, 40)))
+        names = [rng.randint(0, scale) / 128 for _ in range(rng.randint(0, 40))]
+        distance = rng.randint(0, 12) / 128
+        assert list(pairing.pairs(prices, names, distance, 0.3)) == brute_pairs(prices, names, distance)
+    # all names at one height, and a hundred thousand lines that want the same ones
+    assert list(pairing.pairs([0.5] * 3, [0.5] * 5, 0.1, 0.3)) == [(0, 0), (1, 1), (2, 2)]
+    many = [i / 1e6 for i in range(50_000)]
+    assert len(list(pairing.pairs(many, many, 1.0, 0.3))) == 50_000
+
+
+def test_dictionaries_as_tables(spark, monkeypatch):
+    words = spark.createDataFrame([("Teh", "tea"), ("teh", "tee"), (None, "x"), ("susu", "milk")], "word string, correction string")
+    rows = spark.createDataFrame(
+        [(1, "TEH  manis Susu", 7), (2, None, 7), (3, "", 7), (4, "teh", 7), (4, "teh", 7)], "id long, t string, value int")
+    labels = spark.createDataFrame([(0, "b"), (0, "a"), (1, "c"), (None, "d")], "id int, label string")
+    for bound in (100, -1):  # broadcast, sorted
+        monkeypatch.setattr(dictionary, "BROADCAST_ROWS", bound)
+        got = sorted((tuple(r) for r in dictionary.correct_words(rows, "t", words).collect()), key=repr)
+        assert got == [(1, "TEA manis Milk", 7), (2, None, 7), (3, "", 7), (4, "tea", 7), (4, "tea", 7)]
+        named = dictionary.label_names(spark.createDataFrame([(0,), (1,), (2,), (None,)], "n int"), F.col("n"), labels)
+        assert sorted((tuple(r) for r in named.collect()), key=repr) == [(0, "a"), (1, "c"), (2, None), (None, None)]
+
+
+def test_rows_that_cannot_be_read(spark, tmp_path):
+    (tmp_path / "scans.json").write_text('{"receipt_id": 1, "content_type": "image/png", "img_w": 9, "img_h": 9}\n{"receipt_id": 2, "cont\n[]\n')
+    read = receipts.read_permissive(spark, str(tmp_path / "scans.json"), MANIFEST)
+    got = result.admission(read, spark.createDataFrame([(1, 0)], "receipt_id long, line_index int")).collect()
+    assert sorted((r["status"], r["raw"] or "") for r in got)[:1] == [(200, "")]
+    assert all(r["status"] == 400 for r in got if r["raw"]) and any('"cont' in (r["raw"] or "") for r in got)
+
+
 def test_label_model_learns_the_fixture(spark, sf_dir):
     from struklake.plans import queries
 
@@ -167,36 +237,45 @@ def test_large_receipts_are_whole(spark):
     assert result.receipt_result(spark.createDataFrame(zone, LINE)).select(F.size("items")).first()[0] == n
 
 
-def brute_rows(ys, limit):
-    groups, rows, anchor, group, firsts = [], [], None, 0, []
-    for y in ys:
-        if anchor is None:
-            anchor = y
-            group += abs(y - anchor) >= limit
-        elif abs(y - anchor) >= limit:
+def brute_rows(tokens, mean):
+    """{token_id: (row, seq)} of one receipt's (token_id, x, y), by the rules as they are told."""
+    limit, anchor, group, grouped, firsts = mean * 0.6, None, -1, [], []
+    for i, x, y in sorted(tokens, key=lambda t: (t[2], t[0])):
+        if anchor is None or not abs(y - anchor) < limit:
             anchor, group = y, group + 1
-        groups.append(group)
-    for y in ys:
+        grouped.append((group, x, y, i))
+    out = {}
+    for seq, (_, _, y, i) in enumerate(sorted(grouped)):
         near = [k for k, f in enumerate(firsts) if abs(y - f) < limit]
-        rows.append(near[0] if near else len(firsts))
+        out[i] = (near[0] if near else len(firsts), seq)
         if not near:
             firsts.append(y)
-    return groups, rows
+    return out
 
 
-@pytest.mark.parametrize("limit", [0.0, 0.5, 2.5, 1000.0])
-def test_row_folds_against_loops(spark, limit):
+@pytest.mark.parametrize("height", [0, 2, 7, 40])
+def test_rows_against_loops(spark, height):
+    """Random receipts with ties, dealt over partitions in any order: the rows of one loop over each receipt."""
     import random
 
-    rng = random.Random(1)
-    cases = [[], [3.0], [3.0, 3.0, 3.0]] + [[float(rng.randint(0, 40)) for _ in range(rng.randint(2, 60))] for _ in range(20)]
-    df = spark.createDataFrame([(sorted(c), c, limit) for c in cases], "sorted array<double>, ys array<double>, most double")
-    got = df.select(layout.anchored_groups(F.col("sorted"), F.col("most")), layout.first_fit_rows(F.col("ys"), F.col("most"))).collect()
-    for c, (groups, rows) in zip(cases, got, strict=True):
-        own = brute_rows(sorted(c), limit)[0]
-        # a group number only tells tokens apart and in order
-        assert [sorted(set(own)).index(g) for g in own] == [sorted(set(groups)).index(g) for g in groups]
-        assert rows == brute_rows(c, limit)[1]
+    rng = random.Random(height)
+    receipts_of = {
+        r: [(i, rng.randint(0, 9), rng.randint(0, 60)) for i in range(rng.randint(1, 80))] for r in range(30)}
+    receipts_of[99] = [(i, rng.randint(0, 300), rng.randint(0, 20_000)) for i in range(3000)]  # a third of all and more
+    rows = [(r, i, "w", [[x, y - height / 2], [x + 3, y + height / 2]], 0.9) for r, ts in receipts_of.items() for i, x, y in ts]
+    df = spark.createDataFrame(
+        [(r, i, t, [[float(v) for v in p] for p in b], c) for r, i, t, b, c in rows], TOKENS).repartition(7)
+    got = layout.layout_rows(df).collect()
+    assert len(got) == len(rows)
+    for r, ts in receipts_of.items():
+        assert {g["token_id"]: (g["row"], g["seq"]) for g in got if g["receipt_id"] == r} == brute_rows(ts, height)
+
+
+def test_no_receipt_is_gathered(spark):
+    """Tokens are joined to their height and dealt by row; no plan gathers a receipt's tokens in an array."""
+    df = spark.createDataFrame([(1, 0, "a", [[0.0, 0.0], [9.0, 9.0]], 0.9)], TOKENS)
+    plan = layout.layout_rows(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "collect_set" not in plan
 
 
 def test_very_large_receipt(spark):
