@@ -11,7 +11,7 @@ Everything is counts of distinct strings: hosts and paths are scored once each,
 a host has, and shorter orders are rolled up from the table of the longest.
 
 Defined results: null urls and urls without `://` have empty host and path and are judged by the
-models; repeated rows are judged alike; without examples of both verdicts in training or
+models; repeated rows are judged alike; urls of any length are judged whole, in time that grows with it; without examples of both verdicts in training or
 calibration the threshold is 0; an empty table gives an empty result.
 """
 
@@ -34,6 +34,10 @@ RULES = (
 ORDER = 4
 #: Characters of the uniform distribution below order 0.
 ALPHABET = 256
+#: Characters of a string that are handled together.
+PIECE = 256
+#: Rows of the models (three short columns) up to which they are broadcast.
+BROADCAST_RATIOS = 200_000
 #: Examples with digest mod FOLDS = 0 calibrate the threshold, the others train.
 FOLDS = 5
 #: Thresholds are tried in steps of 1 / STEPS.
@@ -72,11 +76,15 @@ def strings(df: DataFrame) -> Column:
 
 
 def grams(texts: DataFrame, *keep: str) -> DataFrame:
-    """Every character of `s` with the ORDER characters before it."""
-    at = F.explode(F.expr(f"sequence({ORDER + 1}, length(s))")).alias("i")
-    return texts.select("s", *keep, at).select(
-        "s", *keep, F.expr(f"substr(s, i - {ORDER}, {ORDER})").alias("context"), F.expr("substr(s, i, 1)").alias("c")
-    )
+    """Every character of `s` with the ORDER characters before it, and the columns `keep`. Strings are cut into pieces
+    first and travel with none of their characters, so time and rows grow with their length."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length("s") - ORDER, F.lit(1)), F.lit(PIECE))
+    pieces = texts.select(*keep, F.explode(F.transform(
+        starts, lambda i: F.substr(F.col("s"), i, F.lit(PIECE + ORDER)))).alias("piece"))
+    places = F.sequence(F.lit(1), F.length("piece") - ORDER)
+    return pieces.select(*keep, F.explode(F.transform(places, lambda i: F.struct(
+        F.substr(F.col("piece"), i, F.lit(ORDER)).alias("context"), F.substr(F.col("piece"), i + ORDER, F.lit(1)).alias("c")))).alias("g")
+    ).select(*keep, "g.context", "g.c")
 
 
 def log_ratios(counts: DataFrame) -> DataFrame:
@@ -118,17 +126,20 @@ def string_scores(urls: DataFrame) -> DataFrame:
         urls.select(F.explode(strings(urls)).alias("s"), trains.alias("label")).groupBy("s").agg(
             F.sum((F.col("label") == "allow").cast("long")).alias("good"),
             F.sum((F.col("label") == "block").cast("long")).alias("bad"),
-        ).na.fill(0)
+        ).na.fill(0).withColumn("number", F.monotonically_increasing_id())
     )
     counts = materialise(
         grams(texts, "good", "bad").groupBy("context", "c").agg(
             F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     )
     ratios = materialise(log_ratios(counts))
-    return (
-        grams(texts).join(ratios, ["context", "c"]).groupBy("s")
+    # the small side is told, as sizes of exploded rows are only guessed: models of few contexts are broadcast
+    ratios = F.broadcast(ratios) if ratios.count() <= BROADCAST_RATIOS else ratios.hint("merge")
+    scores = (
+        grams(texts, "number").join(ratios, ["context", "c"]).groupBy("number")
         .agg(F.sum("ratio").alias("ratio"), F.count(F.lit(1)).alias("n"))
     )
+    return texts.select("number", "s").join(scores.hint("merge"), "number").select("s", "ratio", "n")
 
 
 def calibrated(scored: DataFrame) -> float:

@@ -159,6 +159,25 @@ def test_rules(spark):
             assert r["verdict"] == verdict if verdict else r["verdict"] in ("allow", "block")
 
 
+def test_very_long_urls(spark):
+    """A url of a million characters costs no more than as many characters in short ones."""
+    rows = [(1, "https://a.org/" + "x" * 1_000_000), (2, "https://b.com/de/" + "yz" * 40_000), (3, "q" * 300_000), (4, None), (5, "https://c.org/s/ö🙂" * 50)]
+    rows += [(i, f"https://h{i % 7}.{'org' if i % 2 else 'com/de'}/{i}") for i in range(6, 200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r["page_id"]: r for r in urls.verdict_digest(pages).collect()}
+    assert len(got) == len(rows) and got[1]["verdict"] == "allow" and got[2]["verdict"] == "block"
+    assert len(got[1]["path"]) == 1_000_001 and {got[3]["host"], got[4]["path"]} == {""}
+
+
+def test_pieces_of_strings(spark):
+    """Every character comes once with what is before it, at the edges of pieces too."""
+    text = "\x01" * urls.ORDER + "".join(chr(97 + i % 26) + ("é" if i % 7 == 0 else "") for i in range(3 * urls.PIECE)) + "\x03"
+    for n in (urls.ORDER + 1, urls.ORDER + urls.PIECE, urls.ORDER + urls.PIECE + 1, len(text)):
+        s = text[:n]
+        got = urls.grams(spark.createDataFrame([(s, 1)], "s string, k int"), "k").collect()
+        assert [(r["context"], r["c"]) for r in got] == [(s[i - urls.ORDER : i], s[i]) for i in range(urls.ORDER, n)]
+
+
 def test_url_models_learn(spark):
     """Examples of the rules decide urls without a rule: spam words stand in blocked ones only."""
     rows = [(i, f"http://good{i % 7}.org/news/{i}") for i in range(200)]
