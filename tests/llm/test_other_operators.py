@@ -627,3 +627,35 @@ def test_html_keeps_marked_text_of_an_article():
 <h2 id="social-history">c</h2><h3 id="related-work">d</h3><div class="responses">e</div><p id="comments">f</p>
 <div id="menu-engineering">g</div><div class="x share-buttons">no</div><ul class="comments"><li>no</ul><div class="ad">no</div></article>"""
     assert "\n".join(html.candidates(page)[1]) == "a\nb\nc\nd\ne\nf\ng"
+
+
+BLOG = """<html><body><header><h1>Site</h1></header><nav><a>Home</a></nav>
+<main><article><h1>Title</h1><p>First.</p>{inside}<p>Last.</p></article></main>
+{outside}<footer><article>Imprint</article></footer></body></html>"""
+
+
+@pytest.mark.parametrize("extra", [
+    '<section id="comments"><article class="comment-body"><p>I say</p></article></section>',
+    '<aside><article class="card">Read on</article></aside>', '<footer><article>Legal</article></footer>',
+    '<div class="ad"><article>Buy</article></div>', '<div class="sidebar"><main>Links</main></div>',
+    '<div id="disqus_thread"></div><ol class="commentlist"><li class="comment"><article>No</article></li></ol>',
+])
+def test_html_articles_that_are_no_main_text(extra):
+    """Comments, sidebars, footers and adverts stay out, though they are marked as articles."""
+    assert html.candidates(BLOG.format(inside="", outside=extra)) == (True, ["Title", "First.", "Last."])
+    assert html.candidates(f"<p>Own text, and a lot of it here</p>{extra}") == (False, ["Own text, and a lot of it here"])
+
+
+@pytest.mark.parametrize("extra", [
+    '<ul><li class="comment">I say</li></ul>', '<div class="ad-slot">Buy</div>', '<div id="comment-42">I say</div>',
+    '<div class="post-comments"><p>I say</p></div>', '<div class="user-comments">I say</div>',
+    '<section class="comments"><article class="comment-body">I say</article></section>', '<div class="comment-author">Me</div>',
+])
+def test_html_comments_inside_an_article(extra):
+    assert html.candidates(BLOG.format(inside=extra, outside="")) == (True, ["Title", "First.", "Last."])
+
+
+@pytest.mark.parametrize("before", ["<nav><ul><li>menu", '<div class="menu">menu', "<aside>side", '<div class="sidebar">side'])
+def test_html_forgotten_end_tags(before):
+    """A region that is never closed does not swallow the article."""
+    assert html.candidates(f"<body>{before}<article><p>The text of the page.</p></article>") == (True, ["The text of the page."])
