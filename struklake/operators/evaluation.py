@@ -52,3 +52,13 @@ def history_rows(history: DataFrame) -> DataFrame:
     zipped = F.arrays_zip(*history.columns)
     return history.select(F.posexplode(zipped).alias("i", "m")).select(
         (F.col("i") + 1).alias("epoch"), *[F.col(f"m.{c}").alias(c) for c in history.columns])
+
+
+def reliability(predictions: DataFrame, bins: int = 10) -> DataFrame:
+    """Per bin of the confidence (from 0): rows, hits, mean confidence and share of hits. A null confidence counts as 0."""
+    confidence = F.coalesce("confidence", F.lit(0.0))
+    at = F.least(F.greatest(F.floor(confidence * bins), F.lit(0)), F.lit(bins - 1)).cast("int")
+    return predictions.groupBy(at.alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("label").eqNullSafe(F.col("predicted"))).alias("hits"),
+        F.avg(confidence).alias("mean_confidence"),
+    ).withColumn("hit_rate", F.col("hits") / F.col("n"))

@@ -30,16 +30,15 @@ LONG_DIGITS = 7
 TOTALS = ("grand_total", "subtotal", "discount", "tax", "service_charge", "cash", "change")
 
 
-def relabel(lines: DataFrame) -> DataFrame:
+def final_class(text: Column, label: Column) -> Column:
     """Lines with a totals keyword become TOTAL_PAYMENT, unless they name staff; others without a
     class become OTHER."""
-    total = (
-        k.has_term(F.col("text"), k.TOTAL_TERMS) | k.has_word(F.col("text"), k.TOTAL_WORDS)
-    ) & ~k.has_word(F.col("text"), k.STAFF_WORDS)
-    return lines.withColumn(
-        "predicted_class",
-        F.when(total, "TOTAL_PAYMENT").otherwise(F.coalesce("predicted_class", F.lit("OTHER"))),
-    )
+    total = (k.has_term(text, k.TOTAL_TERMS) | k.has_word(text, k.TOTAL_WORDS)) & ~k.has_word(text, k.STAFF_WORDS)
+    return F.when(total, "TOTAL_PAYMENT").otherwise(F.coalesce(label, F.lit("OTHER")))
+
+
+def relabel(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("predicted_class", final_class(F.col("text"), F.col("predicted_class")))
 
 
 def line_bucket(text: Column, label: Column) -> Column:
@@ -75,10 +74,15 @@ def line_bucket(text: Column, label: Column) -> Column:
 
 
 def line_amounts() -> Column:
-    """What a relabelled line adds to its receipt: (bucket, priority, values, item_sum, item_n, band)."""
-    text, label = F.coalesce("text", F.lit("")), F.col("predicted_class")
+    """What a relabelled line adds to its receipt."""
+    return amounts_of(F.col("text"), F.col("predicted_class"), F.col("y_min"))
+
+
+def amounts_of(text: Column, label: Column, y_min: Column) -> Column:
+    """(to: (bucket, priority, values), prices, band) of a line with its final class."""
+    text = F.coalesce(text, F.lit(""))
     skipped = label.isin(*k.NO_TOTAL_CLASSES) | k.has_term(text, k.NO_TOTAL_TERMS)
-    in_band = (F.coalesce("y_min", F.lit(0.0)) >= BAND_TOP) & ~k.has_term(text, k.BAND_TERMS)
+    in_band = (F.coalesce(y_min, F.lit(0.0)) >= BAND_TOP) & ~k.has_term(text, k.BAND_TERMS)
     within = lambda values, low, high: F.filter(values, lambda v: v.between(low, high))
     values = F.when(~skipped, t.once(line_bucket(text, label), lambda to: F.when(to.isNotNull(), F.struct(
         to["bucket"].alias("bucket"), to["priority"].alias("priority"),
@@ -106,6 +110,27 @@ def total_aggregates() -> list[Column]:
     ]
 
 
+def nested_totals(receipts: DataFrame, fallbacks: bool = True) -> DataFrame:
+    """`receipt_totals` of receipts that hold their lines in an array, as a projection of each row: it keeps no state, so it
+    runs on a stream as it stands."""
+    def amounts(line: Column) -> Column:
+        return t.once(F.struct(line.alias("l"), final_class(line["text"], line["predicted_class"]).alias("c")), lambda x: amounts_of(
+            x["l"]["text"], x["c"], x["l"]["y_min"]))
+
+    to = F.filter(F.transform("a", lambda x: x["to"]), lambda x: x.isNotNull())
+    of = lambda b: F.flatten(F.transform(F.filter(to, lambda x: x["bucket"] == b), lambda x: x["values"]))
+    prices = F.flatten(F.filter(F.transform("a", lambda x: x["prices"]), lambda p: p.isNotNull()))
+    grand = F.flatten(F.transform(F.filter(to, lambda x: x["bucket"] == "grand"), lambda x: F.transform(
+        x["values"], lambda v: F.struct(x["priority"].alias("priority"), v.alias("value")))))
+    sums = receipts.withColumn("a", F.transform(F.coalesce("lines", F.array().cast(receipts.schema["lines"].dataType)), amounts)).select(
+        "receipt_id",
+        *[F.coalesce(F.array_max(of(b)), F.lit(0.0)).alias(b) for b in ("subtotal", "discount", "service_charge", "cash", "change")],
+        F.array_max(of("tax")).alias("tax_found"), F.aggregate(prices, F.lit(0.0), lambda s, v: s + v).alias("items_sum"),
+        F.size(prices).alias("items_n"), F.array_max(F.transform("a", lambda x: x["band"])).alias("band_max"),
+        F.transform(F.sort_array(grand, asc=False), lambda c: c["value"]).alias("grand"))
+    return with_totals(sums, fallbacks).select("receipt_id", *TOTALS)
+
+
 def checked_tax(sums: DataFrame) -> DataFrame:
     """The largest tax if it is a plausible share of the subtotal."""
     within = F.when(F.col("subtotal") > 0, F.col("tax_found") <= F.col("subtotal") * TAX_SHARE).otherwise(

@@ -14,7 +14,7 @@ _NAMES = (
     "receipt_result", "no_text_receipts", "scan_admission", "audit_lines",
     "line_features", "char_codes", "position_features", "line_labels", "line_labels_hook", "expense_categories",
     "cer", "label_confusion", "label_recall", "detection_summary", "best_epoch", "history_rows",
-    "stream_totals",
+    "stream_totals", "stream_direct_totals", "stream_results", "held_out_recall", "held_out_reliability",
     "scanned_tokens", "result_records", "audit_classes", "default_labels", "label_map", "class_names", "metric_log",
     "receipt_split", "top_classes",
     "corrupt_scans", "bare_lines_result", "dictionary_conversations", "joined_class_names",

@@ -470,7 +470,10 @@ FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1"""
 HISTORY_ROWS = """
 SELECT row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, o_totalprice)::INTEGER AS epoch, o_orderkey AS orderkey,
        o_totalprice AS price FROM orders"""
-STREAM_TOTALS = RECEIPT_TOTALS
+STREAM_TOTALS = STREAM_DIRECT_TOTALS = RECEIPT_TOTALS
+STREAM_RESULTS = f"""
+SELECT receipt_id, 200 AS status, any_value(store) AS store, any_value(date) AS date, any_value(total) AS total, count(name)::INTEGER AS n_items
+FROM ({RECEIPT_RESULT}) GROUP BY receipt_id"""
 
 SCANNED_TOKENS = FIXTURE_TOKENS
 RESULT_RECORDS = f"""WITH RECURSIVE {FALLBACKS}{_TAIL(STORES)}{_TAIL(DATES)}, {_ROLES}, {_PAIRS}

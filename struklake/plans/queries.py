@@ -313,6 +313,49 @@ def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out").drop("batch")
 
 
+def stream_direct_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a query that runs on the stream without batch code."""
+    folder = new_path(spark)
+    continuous.nested(fixtures.lines(spark, sf_dir)).write.parquet(f"{folder}/in")
+    job = continuous.continuous_totals(
+        continuous.read_receipts(spark, f"{folder}/in"), f"{folder}/out", f"{folder}/state", fallbacks=False)
+    job.awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+def stream_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status and record of every receipt by the continuous job."""
+    folder = new_path(spark)
+    continuous.nested(fixtures.lines(spark, sf_dir)).write.parquet(f"{folder}/in")
+    job = continuous.continuous_scan(
+        continuous.read_receipts(spark, f"{folder}/in"), f"{folder}/out", f"{folder}/state", continuous.scan_results, whole=True)
+    job.awaitTermination()
+    return spark.read.parquet(f"{folder}/out").drop("batch")
+
+
+_models: dict[tuple[str, str], str] = {}
+
+
+def _held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test lines as scored by a model that was stored and read back; trained once per application."""
+    key, lines = (spark.sparkContext.applicationId, sf_dir), _placed_lines(spark, sf_dir)
+    if key not in _models:
+        path = new_path(spark)
+        learning.store_model(learning.train_labels(lines), path)
+        _models[key] = path
+    return learning.held_out(learning.stored_model(_models[key]), lines)
+
+
+def held_out_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of the line model by class on receipts that it was not trained on."""
+    return evaluation.label_recall(_held_out(spark, sf_dir))
+
+
+def held_out_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confidence against hits on these receipts."""
+    return evaluation.reliability(_held_out(spark, sf_dir))
+
+
 def scanned_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens as the reader gives them, from a written token table."""
     path = new_path(spark)
