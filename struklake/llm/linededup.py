@@ -90,10 +90,10 @@ def line_digest(docs: DataFrame) -> DataFrame:
 
 ORACLE = f"""
 WITH l AS (
-    SELECT r, doc_id, source, i, lines[i] AS line, trim(lines[i]) AS bare
-    FROM (SELECT row_number() OVER () AS r, doc_id, source, string_split(coalesce(text, ''), chr(10)) AS lines,
+    SELECT r, doc_id, source, absent, i, lines[i] AS line, trim(lines[i]) AS bare
+    FROM (SELECT row_number() OVER () AS r, doc_id, source, text IS NULL AS absent, string_split(coalesce(text, ''), chr(10)) AS lines,
                  unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents)),
 b AS (SELECT bare FROM l WHERE bare <> '' GROUP BY bare HAVING count(DISTINCT source) >= {SITES})
-SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(b.bare) AS n_removed,
+SELECT any_value(doc_id) AS doc_id, count(*) FILTER (NOT absent) AS n_lines, count(b.bare) AS n_removed,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (b.bare IS NULL), '')) AS kept_sha256
 FROM l LEFT JOIN b USING (bare) GROUP BY r"""
