@@ -14,7 +14,9 @@ carry, so a set join finds the rest. Two sets of similarity 0.8 share one of the
 both, a fifth of each set in any fixed order (prefix filter; Chaudhuri et al., 2006), and from the
 first one that they share enough must be left on both sides (positional filter; Xiao et al., 2008).
 The order is rare shingles first, so members of a large family of lesser similarity spend their first
-shingles on what is their own. Every pair that passes is decided, unless links already connect it.
+shingles on what is their own. Every pair that passes is decided, unless links already connect it: first
+by sketches of the sets, which bound what the two have in common and rule out most pairs of a family of
+lesser similarity, then by the sets themselves.
 
 Defined results: null and empty texts have no shingle and fingerprint zero, linked like any other;
 repeated rows share a fingerprint and so a group; an empty table gives an empty result.
@@ -403,18 +405,37 @@ def _roots(tested: DataFrame) -> DataFrame:
     return materialise(components(tested.filter("near").select(F.col("a").alias("src"), F.col("b").alias("dst"))))
 
 
+def count_sketch(hashes: np.ndarray) -> bytes | None:
+    """Counts of a set's hashes by their low bits, a byte for each of about as many buckets as there are hashes; None if one
+    does not fit."""
+    buckets = 1 << max(4, (len(hashes) - 1).bit_length() if len(hashes) else 0)
+    counts = np.bincount((hashes & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
+def most_common(x: bytes, y: bytes) -> tuple[int, int]:
+    """What two sets can have in common at most, and their sizes together, from their sketches: no bucket has more in
+    common than the smaller of its counts. The finer sketch is folded to the coarser one."""
+    a, b = (np.frombuffer(v, dtype=np.uint8).astype(np.int64) for v in (x, y))
+    sizes = int(a.sum() + b.sum())
+    if len(a) < len(b):
+        a, b = b, a
+    a = a.reshape(-1, len(b)).sum(axis=0)
+    return int(np.minimum(a, b).sum()), sizes
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(code, hashes) of the wanted (code, first_id), one row each."""
+    """(code, hashes, sketch) of the wanted (code, first_id), one row each."""
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(c, shingle_set(t, words)) for c, t in zip(batch["code"].to_pylist(), batch["text"].to_pylist(), strict=True)]
-            rows = [(c, s.tobytes()) for c, s in rows if set_code(s) == c]  # rows may share a doc_id
+            rows = [(c, s) for c, s in rows if set_code(s) == c]  # rows may share a doc_id
             yield pa.RecordBatch.from_arrays(
-                [pa.array([c for c, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.binary())],
-                names=["code", "hashes"])
+                [pa.array([c for c, _ in rows], pa.int64()), pa.array([s.tobytes() for _, s in rows], pa.binary()),
+                 pa.array([count_sketch(s) for _, s in rows], pa.binary())], names=["code", "hashes", "sketch"])
 
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("first_id")).select("code", "text")
-    return texts.mapInArrow(hashed, "code long, hashes binary").dropDuplicates(["code"])
+    return texts.mapInArrow(hashed, "code long, hashes binary, sketch binary").dropDuplicates(["code"])
 
 
 def _apart(shards: DataFrame, similarity: float, low: int, high: int) -> DataFrame:
@@ -433,8 +454,29 @@ def _apart(shards: DataFrame, similarity: float, low: int, high: int) -> DataFra
     )
 
 
+def tried_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, possible): whether the sketches of both sets leave a chance of the similarity."""
+    def try_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            possible = []
+            for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True):
+                if x is None or y is None:
+                    possible.append(True)
+                else:
+                    common, sizes = most_common(x, y)
+                    possible.append(common * (1 + similarity) >= similarity * sizes - 1e-6)
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(possible, pa.bool_())], names=["a", "b", "possible"])
+
+    sketches = sets.select("code", "sketch")
+    return (
+        pairs.join(sketches.toDF("a", "x"), "a").join(sketches.toDF("b", "y"), "b")
+        .select("a", "b", "x", "y").mapInArrow(try_all, "a long, b long, possible boolean")
+    )
+
+
 def _decided(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, near): whether the sets of both codes have at least the similarity."""
+    """(a, b, near): whether the sets of both codes have at least the similarity. Sets travel only for pairs that their
+    sketches do not rule out."""
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = []
@@ -445,10 +487,13 @@ def _decided(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 near.append(common / (len(both) - common) >= similarity)
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(near, pa.bool_())], names=["a", "b", "near"])
 
-    return (
-        pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    tried = materialise(tried_pairs(pairs, sets, similarity))
+    hashes = sets.select("code", "hashes")
+    decided = (
+        tried.filter("possible").join(hashes.toDF("a", "x"), "a").join(hashes.toDF("b", "y"), "b")
         .select("a", "b", "x", "y").mapInArrow(decide, "a long, b long, near boolean")
     )
+    return decided.unionByName(tried.filter("not possible").select("a", "b", F.lit(False).alias("near")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

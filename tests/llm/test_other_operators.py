@@ -659,3 +659,31 @@ def test_html_comments_inside_an_article(extra):
 def test_html_forgotten_end_tags(before):
     """A region that is never closed does not swallow the article."""
     assert html.candidates(f"<body>{before}<article><p>The text of the page.</p></article>") == (True, ["The text of the page."])
+
+
+def test_sketches_rule_out_no_near_pair(spark):
+    """A family at similarity about 0.7: no pair of 0.8 is ruled out, and few others are left to the sets."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(400)]
+    texts = []
+    for i in range(160):
+        words = list(base)
+        for at in rng.choice(400, 7 if i % 4 else 4, replace=False):
+            words[at] = f"v{rng.integers(10**9)}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    arrays = [simhash.shingle_set(t, 5) for t in texts]
+    codes = [simhash.set_code(a) for a in arrays]
+    first = spark.createDataFrame(list(zip(codes, range(160))), "code long, first_id long")
+    pairs = [(min(codes[i], codes[j]), max(codes[i], codes[j])) for i in range(160) for j in range(i)]
+    sets = simhash._sets(docs, first, 5)
+    tried = {(r["a"], r["b"]): r["possible"] for r in simhash.tried_pairs(spark.createDataFrame(pairs, "a long, b long"), sets, 0.8).collect()}
+    by_code = {c: set(a.tolist()) for c, a in zip(codes, arrays)}
+    near = {p for p in pairs if len(by_code[p[0]] & by_code[p[1]]) / len(by_code[p[0]] | by_code[p[1]]) >= 0.8}
+    assert near and all(tried[p] for p in near) and len(tried) == len(pairs)
+    assert sum(tried.values()) <= 20 * len(near) and sum(tried.values()) < 0.5 * len(pairs)
+    crowded = np.arange(400, dtype=np.uint64) << np.uint64(32)  # all in one bucket
+    assert simhash.count_sketch(crowded) is None
+    x, y = rng.integers(0, 2**64, 100, dtype=np.uint64), rng.integers(0, 2**64, 900, dtype=np.uint64)
+    common, sizes = simhash.most_common(simhash.count_sketch(x), simhash.count_sketch(np.concatenate([x, y])))
+    assert common == 100 and sizes == 1100
