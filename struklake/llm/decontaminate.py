@@ -3,8 +3,14 @@
 Windows of an item's own size slide over a document's words. SimHash codes of item and window
 are compared through multi-index blocks: codes of BITS bits are cut into BLOCKS blocks, and two codes
 within RADIUS bits have at least NEAR_BLOCKS blocks within REACH bits, so tables that list the items
-near every block value miss no fingerprint within the radius. What the tables find is verified exactly:
-weighted Jaccard similarity (weights are counts) of the five-word shingles, SIMILARITY or more.
+near every block value miss no fingerprint within the radius. A window has the size of the items that it
+can match, so items of each size have tables of their own and a code is held against those of its size
+only. What the tables find is verified exactly: weighted Jaccard similarity (weights are counts) of the
+five-word shingles, SIMILARITY or more, counted on from window to window.
+
+Texts and items may be of any length: the signs of their shingles are summed in pieces of PIECE, and sums of
+overlapping windows follow from one another, so work is linear in a text and memory does not grow with an item
+but for its shingles and their counts.
 
 A window can only reach the similarity to an item of its size if it holds a shingle of one; windows
 that do not are left out before any code is computed, in one pass with a hashed bitmap. That is an
@@ -42,8 +48,9 @@ RADIUS = 74
 #: differing bits no more than RADIUS // (REACH + 1) blocks can have over REACH.
 REACH = RADIUS // BLOCKS
 NEAR_BLOCKS = BLOCKS - RADIUS // (REACH + 1)
-#: Pairs of a code and an item that are counted at a time, and windows that share running sums.
-LOOKUP, SPAN = 1_000_000, 2048
+#: Pairs of a code and an item that are counted at a time, windows that share running sums, and shingles
+#: whose signs are held at a time.
+LOOKUP, SPAN, PIECE = 1_000_000, 2048, 8192
 #: Bounds of one broadcast block of items.
 ITEMS, WORDS_LIMIT = 5_000, 1_000_000
 #: log2 of the bits of the shingle bitmap.
@@ -90,13 +97,90 @@ def stretch(shingles: np.ndarray) -> np.ndarray:
     return bits.astype(np.int8) * np.int8(2) - np.int8(1)
 
 
+def running_sums(shingles: np.ndarray, start: int, places: np.ndarray) -> np.ndarray:
+    """Sums of the shingles' signs from `start` up to every place, in pieces."""
+    out = np.zeros((len(places), BITS), dtype=np.int32)
+    total = np.zeros(BITS, dtype=np.int32)
+    last = int(places.max(initial=start))
+    for low in range(start, last, PIECE):
+        high = min(low + PIECE, last)
+        sums = np.cumsum(stretch(shingles[low:high]), axis=0, dtype=np.int32)
+        here = (places > low) & (places <= high)
+        out[here] = total + sums[places[here] - low - 1]
+        total = total + sums[-1]
+    return out
+
+
+def window_sums(shingles: np.ndarray, first: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(number of the first window, sums of signs of it and those after it), SPAN windows at most that overlap.
+    `first` and `end` ascend; sums go on from the window before as long as windows overlap."""
+    at = low = high = 0
+    while at < len(first):
+        stop = at + 1
+        while stop < len(first) and first[stop] < end[stop - 1] and stop - at < SPAN:
+            stop += 1
+        if first[at] >= high:
+            both = running_sums(shingles, int(first[at]), np.concatenate([end[at:stop], first[at:stop]]))
+            sums = both[: stop - at] - both[stop - at :]
+        else:
+            sums = sums[-1] + running_sums(shingles, high, end[at:stop]) - running_sums(shingles, low, first[at:stop])
+        yield at, sums
+        low, high, at = int(first[stop - 1]), int(end[stop - 1]), stop
+
+
 def simhash_codes(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1)
 
 
-def weighted_jaccard(a: Counter, b: Counter) -> float:
-    common = sum(min(n, b[k]) for k, n in a.items() if k in b)
-    return common / (a.total() + b.total() - common)
+class Overlap:
+    """Weighted Jaccard similarity of an item and windows of a text, whose places must ascend: shingles that
+    leave and enter are counted, so windows that overlap cost what they do not share."""
+
+    def __init__(self, item: Counter, shingles: np.ndarray):
+        self.item, self.size, self.shingles = item, item.total(), shingles
+        self.low = self.high = self.common = 0
+        self.window = Counter()
+
+    def similarity(self, low: int, high: int) -> float:
+        if low >= self.high:
+            self.window.clear()
+            self.low = self.high = low
+            self.common = 0
+        for h in self.shingles[self.high : high].tolist():
+            self.common += self.window[h] < self.item.get(h, 0)
+            self.window[h] += 1
+        for h in self.shingles[self.low : low].tolist():
+            self.window[h] -= 1
+            self.common -= self.window[h] < self.item.get(h, 0)
+            if not self.window[h]:
+                del self.window[h]
+        self.low, self.high = low, high
+        return self.common / (self.size + high - low - self.common)
+
+
+class CodeTables:
+    """Codes of the items of one size, and for every block and value the items whose block is near it."""
+
+    def __init__(self, items: np.ndarray, codes: np.ndarray):
+        self.items, self.codes = items, codes
+        values = np.arange(256, dtype=np.uint8)
+        self.near = [np.bitwise_count(values[:, None] ^ codes[:, b]) <= REACH for b in range(BLOCKS)]
+
+    def lookup(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, item) of all codes and items within RADIUS bits: such a pair has at least NEAR_BLOCKS
+        blocks within REACH bits, which the tables count; then the whole distance decides."""
+        rows, items = [], []
+        step = max(1, LOOKUP // len(self.items))
+        for at in range(0, len(codes), step):
+            part = codes[at : at + step]
+            count = np.zeros((len(part), len(self.items)), dtype=np.uint8)
+            for b in range(BLOCKS):
+                count += self.near[b][part[:, b]]
+            row, item = np.nonzero(count >= NEAR_BLOCKS)
+            close = np.bitwise_count(part[row] ^ self.codes[item]).sum(axis=1) <= RADIUS
+            rows.append(row[close] + at)
+            items.append(self.items[item[close]])
+        return np.concatenate(rows), np.concatenate(items)
 
 
 class ItemIndex:
@@ -121,26 +205,16 @@ class ItemIndex:
             for h in s.tolist():
                 self.sizes[width, h].add(size)
             self.bitmap[s >> np.uint64(64 - BITMAP)] = True
-        self.codes = simhash_codes(np.array([stretch(s).sum(0) for s in self.shingles]).reshape(-1, BITS))
-        values = np.arange(256, dtype=np.uint8)
-        # near[block][value]: the items whose block is within REACH bits of the value
-        self.near = [np.bitwise_count(values[:, None] ^ self.codes[:, b]) <= REACH for b in range(BLOCKS)]
+        sums = [running_sums(s, 0, np.array([len(s)]))[0] for s in self.shingles]
+        self.codes = simhash_codes(np.array(sums).reshape(-1, BITS))
+        members = defaultdict(list)  # (width, size) -> its items
+        for item, kind in enumerate(self.kinds):
+            members[kind].append(item)
+        self.tables = {kind: CodeTables(np.array(at), self.codes[at]) for kind, at in members.items()}
 
-    def lookup(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, item) of all codes and items within RADIUS bits: such a pair has at least NEAR_BLOCKS
-        blocks within REACH bits, which the tables count; then the whole distance decides."""
-        rows, items = [], []
-        step = max(1, LOOKUP // max(1, len(self.ids)))
-        for at in range(0, len(codes), step):
-            part = codes[at : at + step]
-            count = np.zeros((len(part), len(self.ids)), dtype=np.uint8)
-            for b in range(BLOCKS):
-                count += self.near[b][part[:, b]]
-            row, item = np.nonzero(count >= NEAR_BLOCKS)
-            close = np.bitwise_count(part[row] ^ self.codes[item]).sum(axis=1) <= RADIUS
-            rows.append(row[close] + at)
-            items.append(item[close])
-        return np.concatenate(rows), np.concatenate(items)
+    def lookup(self, codes: np.ndarray, kind: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """(row, item) of codes of windows of a kind and all items of that kind within RADIUS bits."""
+        return self.tables[kind].lookup(codes)
 
     def windows(self, shingles: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(size, first, end): windows of the sizes of items, cut at the text's ends, that hold a
@@ -166,29 +240,23 @@ class ItemIndex:
                 continue
             shingles = shingle_hashes(hashes, width)
             for size, first, end in self.windows(shingles, width):
-                for row, item in self._near(shingles, first, end):
-                    if self.kinds[item] != (width, size):
-                        continue
+                overlaps: dict[int, Overlap] = {}
+                for row, item in self._near(shingles, first, end, (width, size)):
+                    if item not in overlaps:
+                        overlaps[item] = Overlap(self.counts[item], shingles)
                     low, high = int(first[row]), int(end[row])
-                    score = weighted_jaccard(self.counts[item], Counter(shingles[low:high].tolist()))
+                    score = overlaps[item].similarity(low, high)
                     if score >= self.similarity and (item not in found or (-score, low) < found[item][:2]):
                         found[item] = (-score, low, high - low + width - 1)
         return [(self.ids[i], low, n, -score) for i, (score, low, n) in sorted(found.items())]
 
-    def _near(self, shingles: np.ndarray, first: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int]]:
+    def _near(
+        self, shingles: np.ndarray, first: np.ndarray, end: np.ndarray, kind: tuple[int, int]
+    ) -> Iterator[tuple[int, int]]:
         """(window, item) pairs whose codes are within the radius, for windows in ascending order."""
-        at = 0
-        while at < len(first):
-            # windows that overlap, SPAN at most, from running sums of their shingles' signs
-            stop = at + 1
-            while stop < len(first) and first[stop] < end[stop - 1] and stop - at < SPAN:
-                stop += 1
-            low, high = int(first[at]), int(end[stop - 1])
-            sums = np.zeros((high - low + 1, BITS), dtype=np.int32)
-            np.cumsum(stretch(shingles[low:high]), axis=0, out=sums[1:])
-            rows, items = self.lookup(simhash_codes(sums[end[at:stop] - low] - sums[first[at:stop] - low]))
+        for at, sums in window_sums(shingles, first, end):
+            rows, items = self.lookup(simhash_codes(sums), kind)
             yield from zip((rows + at).tolist(), items.tolist(), strict=True)
-            at = stop
 
 
 def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:

@@ -168,9 +168,9 @@ def test_multi_index_finds_all_codes_within_the_radius(monkeypatch):
         np.bitwise_xor.at(row, bits // 8, (1 << (bits % 8)).astype(np.uint8))
     far = np.bitwise_count(codes[:, None] ^ index.codes[None]).sum(2)
     expected = set(map(tuple, np.argwhere(far <= decontaminate.RADIUS).tolist()))
-    assert set(zip(*(x.tolist() for x in index.lookup(codes)), strict=True)) == expected and len(expected) > 300
+    assert set(zip(*(x.tolist() for x in index.lookup(codes, (5, 26))), strict=True)) == expected and len(expected) > 300
     monkeypatch.setattr(decontaminate, "LOOKUP", 60)
-    assert set(zip(*(x.tolist() for x in index.lookup(codes)), strict=True)) == expected
+    assert set(zip(*(x.tolist() for x in index.lookup(codes, (5, 26))), strict=True)) == expected
 
 
 def test_fingerprints_find_the_candidates(monkeypatch):
@@ -179,10 +179,58 @@ def test_fingerprints_find_the_candidates(monkeypatch):
     index = decontaminate.ItemIndex([(7, " ".join(words)), (8, " ".join(words[:25]))], 0.8)
     text = " ".join(["before"] * 30 + words + ["after"] * 9)
     assert [(i, first, n) for i, first, n, _ in index.matches(text)] == [(7, 30, 40), (8, 30, 25)]
-    monkeypatch.setattr(index, "lookup", lambda codes: (np.zeros(0, dtype=int), np.zeros(0, dtype=int)))
+    monkeypatch.setattr(index, "lookup", lambda codes, kind: (np.zeros(0, dtype=int), np.zeros(0, dtype=int)))
     assert index.matches(text) == []
 
 
+def test_items_of_one_size_only_are_looked_up():
+    index = decontaminate.ItemIndex([(i, " ".join(f"w{i}x{k}" for k in range(10 + i % 50))) for i in range(500)], 0.8)
+    assert sorted(i for t in index.tables.values() for i in t.items.tolist()) == list(range(500))
+    assert all(index.kinds[i] == kind for kind, t in index.tables.items() for i in t.items.tolist())
+    assert len(index.tables) == 50 and max(len(t.items) for t in index.tables.values()) == 10
+
+
+def test_running_window_sums(monkeypatch):
+    """Sums of windows do not depend on pieces, spans or gaps."""
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        monkeypatch.setattr(decontaminate, "PIECE", int(rng.integers(1, 40)))
+        monkeypatch.setattr(decontaminate, "SPAN", int(rng.integers(1, 9)))
+        n, size = int(rng.integers(1, 120)), int(rng.integers(1, 30))
+        shingles = rng.integers(0, 2**64, n, dtype=np.uint64)
+        start = np.flatnonzero(rng.random(n + size) < rng.choice([0.05, 0.3, 0.9])) - size + 1
+        first, end = np.maximum(start, 0), np.minimum(start + size, n)
+        first, end = first[first < end], end[first < end]
+        signs = decontaminate.stretch(shingles).astype(int)
+        expected = [signs[a:b].sum(0).tolist() for a, b in zip(first, end, strict=True)]
+        got = [(at + i, row) for at, sums in decontaminate.window_sums(shingles, first, end) for i, row in enumerate(sums.tolist())]
+        assert got == list(enumerate(expected))
+
+
+def test_similarity_slides():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        shingles, item = rng.integers(0, 9, 80).astype(np.uint64), rng.integers(0, 12, int(rng.integers(1, 20))).astype(np.uint64)
+        overlap, size, counts = decontaminate.Overlap(Counter(item.tolist()), shingles), len(item), Counter(item.tolist())
+        for start in np.flatnonzero(rng.random(80 + size) < 0.4) - size + 1:
+            low, high = max(0, int(start)), min(80, int(start) + size)
+            if low < high:
+                window = Counter(shingles[low:high].tolist())
+                assert overlap.similarity(low, high) == (window & counts).total() / (window | counts).total()
+
+
+def test_decontamination_with_a_very_long_item():
+    """200,000 words: whole with words changed, a part of nine tenths, and a half, which is too little."""
+    words = [f"w{i}" for i in range(200_000)]
+    index = decontaminate.ItemIndex([(1, " ".join(words)), (2, "x1 x2 x3")], 0.8)
+    changed = ["other" if i % 100 == 50 else w for i, w in enumerate(words)]
+    [(item, first, n, score)] = index.matches(" ".join(["before"] * 5000 + changed + ["after"] * 5000))
+    assert (item, first, n) == (1, 5000, 200_000) and score == pytest.approx((199_996 - 10_000) / (199_996 + 10_000), abs=1e-4)
+    [(_, first, n, score)] = index.matches(" ".join(words[:180_000]))
+    assert (first, n) == (0, 180_000) and score == 179_996 / 199_996
+    assert index.matches(" ".join(["before"] * 3 + words[:100_000])) == []
+
+
 def test_recall_at_the_threshold():
     """Windows with words changed here and there: all that reach the similarity are found."""
     rng = np.random.default_rng(7)
