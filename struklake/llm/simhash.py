@@ -378,8 +378,13 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     for low, high in zip((0, *REACHES), REACHES, strict=False):
         found = shards.join(roots, shards["code"] == roots["node"], "left").select(
             *shards.columns, F.coalesce("root", "code").alias("root"))
-        # nothing is left to decide where one root holds all
-        mixed = found.groupBy("part", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
+        # nothing is left to decide where one root holds all, or where no row is as far from another as this round looks
+        mixed = materialise(
+            found.groupBy("part", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows"))
+            .filter(f"low != high AND rows > {low + 1}").select("part", "key")
+        )
+        if mixed.isEmpty():  # nor can later rounds find any: roots only merge, and they look further back
+            break
         pairs = _apart(found.join(mixed, ["part", "key"], "left_semi"), similarity, low, high)
         checked = materialise(_decided(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets, similarity))
         tested = tested.unionByName(checked)
