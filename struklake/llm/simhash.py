@@ -374,7 +374,7 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     )
     sets = materialise(_sets(docs, first.join(shards.select("code").distinct(), "code"), words))
     tested = materialise(_decided(_print_pairs(first), sets, similarity))
-    roots = _roots(tested)
+    roots = roots_with(None, tested)
     for low, high in zip((0, *REACHES), REACHES, strict=False):
         found = shards.join(roots, shards["code"] == roots["node"], "left").select(
             *shards.columns, F.coalesce("root", "code").alias("root"))
@@ -388,7 +388,7 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
         pairs = _apart(found.join(mixed, ["part", "key"], "left_semi"), similarity, low, high)
         checked = materialise(_decided(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets, similarity))
         tested = tested.unionByName(checked)
-        roots = _roots(tested)
+        roots = roots_with(roots, checked)
     rooted = materialise(first.join(roots, first["code"] == roots["node"], "left").select(
         "code", "first_id", F.coalesce("root", "code").alias("root")))
     owner = rooted.groupBy("root").agg(F.min("first_id").alias("group_id"))
@@ -406,8 +406,19 @@ def _print_pairs(first: DataFrame) -> DataFrame:
     return linked.filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _roots(tested: DataFrame) -> DataFrame:
-    return materialise(components(tested.filter("near").select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+def roots_with(known: DataFrame | None, decided: DataFrame) -> DataFrame:
+    """(node, root) of all linked nodes once the near pairs of `decided` (a, b, near) join the `known` (node, root).
+    Only roots that a new link joins to another take part in the search; what is connected already is not searched again."""
+    links = decided.filter("near").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    if known is None:
+        return materialise(components(links))
+    ends = (
+        links.join(known.toDF("src", "x"), "src", "left").join(known.toDF("dst", "y"), "dst", "left")
+        .select(F.coalesce("x", "src").alias("src"), F.coalesce("y", "dst").alias("dst"))
+    )
+    merged = materialise(components(ends))
+    moved = known.join(merged.toDF("root", "lower"), "root", "left").select("node", F.coalesce("lower", "root").alias("root"))
+    return materialise(moved.unionByName(merged.join(known, "node", "left_anti")))
 
 
 def count_sketch(hashes: np.ndarray) -> bytes | None:

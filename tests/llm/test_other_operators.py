@@ -87,6 +87,24 @@ def test_simhash_awkward(awkward, no_docs, clashing):
     assert ids == [1, 2, 4]  # 3 and 6 are empty like 2, 5 and 7 and 8 are near copies
 
 
+def test_roots_go_on_from_known_ones(spark):
+    rng = np.random.default_rng(11)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(-60, 60, (90, 2))] + [(-7, -7), (500, 501), (501, 500)]
+    near = [bool(x) for x in rng.random(len(pairs)) < 0.8]
+    rounds = [list(zip(pairs, near, strict=True))[i::3] for i in range(3)] + [[]]
+    roots, seen = None, []
+    for rows in rounds:
+        seen += [p for p, x in rows if x and p[0] != p[1]]
+        df = spark.createDataFrame([(min(p), max(p), x) for p, x in rows], "a long, b long, near boolean")
+        roots = simhash.roots_with(roots, df)
+        want = {n: n for p in seen for n in p}
+        for _ in want:
+            for a, b in seen:
+                want[a] = want[b] = min(want[a], want[b])
+        got = [(r["node"], r["root"]) for r in roots.collect()]
+        assert sorted(got) == sorted(want.items())
+
+
 def test_near_copies_by_similarity(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet")
     group = {r["doc_id"]: r["group_id"] for r in simhash.near_copies(docs).collect()}
