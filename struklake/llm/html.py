@@ -6,15 +6,22 @@ forms, comments), or open. The lines of the article, or the open ones if the pag
 text's candidates. What a page itself marks as boilerplate goes without any partner, for menus and
 adverts that change from page to page are shared by no two.
 
-Of open candidates those go that a template repeats. Pages of one host with the same candidates count
-once; these distinct pages are sorted by path, and each is paired with the neighbour that shares the
-longer start of the path (of equals the one before). The longest common subsequence of both pages'
-candidates is the template, and goes. Lines of a marked article stay: there shared lines are titles,
-quotations and phrases of the text (README has figures), and the page has said itself what its text is.
+Of the candidates those go that a template repeats. Pages of one host with the same candidates count
+once; these distinct pages, marked and open ones apart, are sorted by path, and each is paired with the
+neighbour that shares the longer start of the path (of equals the one before). The longest common
+subsequence of both pages' candidates is what differencing takes for the template.
+
+Of an open page these lines go. Inside a marked article such lines may also be quotations and phrases of the
+text, or both pages versions of one text (README has figures), so an exact count follows. Pages that share
+at most half of their lines with their nearest one are witnesses. A line that differencing shows on two
+thirds of a host's witnesses, and on four at least, is its template's, and goes from all marked pages of
+the host. Headings, captions, cells and the like (`FIRM`) of an article are not differenced: sections of
+many articles have the same titles.
 
 Pages of one host may be any share of the table: distinct pages are dealt by range over tasks, only
 hashes of lines travel with them, and each range is given the last page of the one before and the
-first of the one after. So the result depends on neither the number of ranges nor copies.
+first of the one after. So the result depends on neither the number of ranges nor copies. The lines found
+for a host are at most one and a half times those of its average witness.
 
 Defined results: null html gives an empty text; null urls and urls without `://` have the empty
 host and are not paired; repeated rows and copies are extracted alike; a page alone on its host keeps
@@ -92,6 +99,10 @@ ARTICLE_MARKS = re.compile(
     re.IGNORECASE,
 )
 ARTICLE, OPEN, OUTER = 0, 1, 2
+#: Elements of an article whose lines are the article's own, however many pages have them.
+FIRM = frozenset("h1 h2 h3 h4 h5 h6 td th dt dd caption figcaption pre".split())
+#: Witnesses that must show a line at least, and the least share of a host's witnesses (over, under).
+WITNESSES, SHARE = 4, (2, 3)
 
 
 def attributes(rest: str) -> dict[str, str]:
@@ -134,15 +145,16 @@ def is_foreign(name: str, rest: str) -> bool:
     return name in FOREIGN or FOREIGN_MARKS.search(f"{have.get('class', '')} {have.get('id', '')}") is not None
 
 
-def page_lines(page: str | None, trusting: bool = True) -> list[tuple[int, str]]:
-    """(region, text) of every block that has text, in page order. An article inside boilerplate ends it, as its end tag was
-    left out; if `trusting`, not if the boilerplate is foreign to main texts."""
+def page_lines(page: str | None, trusting: bool = True) -> list[tuple[int, str, bool]]:
+    """(region, text, firm) of every block that has text, in page order. An article inside boilerplate ends it, as its end tag
+    was left out; if `trusting`, not if the boilerplate is foreign to main texts."""
     page = page or ""
-    lines: list[tuple[int, str]] = []
+    lines: list[tuple[int, str, bool]] = []
     buffer: list[str] = []
     stack: list[tuple[str, int | None]] = []  # open elements that are no inline ones
     inner: list[int] = []  # regions that are open
     foreign: list[int] = []  # places in the stack of boilerplate that an article does not end
+    firm: list[int] = []  # places in the stack of an article's firm elements
 
     def region() -> int:
         return OUTER if OUTER in inner else ARTICLE if ARTICLE in inner else OPEN
@@ -151,7 +163,7 @@ def page_lines(page: str | None, trusting: bool = True) -> list[tuple[int, str]]
         text = " ".join(entities.unescape("".join(buffer)).split())
         buffer.clear()
         if text:
-            lines.append((region(), text))
+            lines.append((region(), text, bool(firm)))
 
     def close(name: str) -> None:
         """Close the innermost open element of that name and what is still open inside it."""
@@ -161,6 +173,8 @@ def page_lines(page: str | None, trusting: bool = True) -> list[tuple[int, str]]
                 n, kind = stack.pop()
                 if foreign and foreign[-1] == len(stack):
                     foreign.pop()
+                if firm and firm[-1] == len(stack):
+                    firm.pop()
                 if kind is not None:
                     inner.remove(kind)
                 if n == name:
@@ -207,6 +221,7 @@ def page_lines(page: str | None, trusting: bool = True) -> list[tuple[int, str]]
             end_block()
             stack.clear()
             inner.clear()
+            firm.clear()
         if name in VOID or rest.rstrip().endswith("/"):
             if name not in INLINE:
                 end_block()
@@ -216,6 +231,8 @@ def page_lines(page: str | None, trusting: bool = True) -> list[tuple[int, str]]
         end_block()
         if trusting and kind == OUTER and is_foreign(name, rest):
             foreign.append(len(stack))
+        if name in FIRM and ARTICLE in inner:
+            firm.append(len(stack))
         stack.append((name, kind))
         if kind is not None:
             inner.append(kind)
@@ -223,15 +240,21 @@ def page_lines(page: str | None, trusting: bool = True) -> list[tuple[int, str]]
     return lines
 
 
-def candidates(page: str | None) -> tuple[bool, list[str]]:
-    """Whether the page marks an article, and its lines, or the open ones if it marks none."""
+def marked_candidates(page: str | None) -> tuple[bool, list[str], list[bool]]:
+    """Whether the page marks an article, its lines, or the open ones if it marks none, and whether each is firm."""
     lines = page_lines(page)
-    marked = any(kind == ARTICLE for kind, _ in lines)
+    marked = any(kind == ARTICLE for kind, _, _ in lines)
     if not marked:  # perhaps the region around the article was never closed: it then holds most of the page's text
-        inside = [text for kind, text in page_lines(page, trusting=False) if kind == ARTICLE]
-        if sum(map(len, inside)) > sum(len(text) for kind, text in lines if kind == OPEN):
-            return True, inside
-    return marked, [text for kind, text in lines if kind == (ARTICLE if marked else OPEN)]
+        inside = [line for line in page_lines(page, trusting=False) if line[0] == ARTICLE]
+        if sum(len(text) for _, text, _ in inside) > sum(len(text) for kind, text, _ in lines if kind == OPEN):
+            marked, lines = True, inside
+    lines = [line for line in lines if line[0] == (ARTICLE if marked else OPEN)]
+    return marked, [text for _, text, _ in lines], [firm for _, _, firm in lines]
+
+
+def candidates(page: str | None) -> tuple[bool, list[str]]:
+    """Whether the page marks an article, and its lines, or the open ones if it marks none."""
+    return marked_candidates(page)[:2]
 
 
 def common_lines(a: Sequence, b: Sequence) -> set[int]:
@@ -275,78 +298,104 @@ def common_lines(a: Sequence, b: Sequence) -> set[int]:
     return {at[i] for i in found}
 
 
-#: A page as its neighbours see it: path and hashes of the candidates.
+#: A page as its neighbours see it: path and hashes of the lines that are differenced.
 Seen = tuple[str, list[int]]
 
 
-def template_lines(page: Seen, before: Seen | None, after: Seen | None) -> list[int]:
-    """Places of the candidates that the page shares with its nearest neighbour."""
+def template_lines(page: Seen, before: Seen | None, after: Seen | None) -> list[int] | None:
+    """Places of the lines that the page shares with its nearest neighbour; None without neighbours."""
     near = [p for p in (before, after) if p is not None]
     if not near:
-        return []
+        return None
     nearest = max(near, key=lambda p: len(commonprefix([page[0], p[0]])))  # the first of equals
     return sorted(common_lines(page[1], nearest[1]))
 
 
 def _lines(html: Column) -> Column:
-    @F.pandas_udf("marked boolean, lines array<string>")
+    @F.pandas_udf("marked boolean, lines array<string>, firm array<boolean>")
     def of_page(pages: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([candidates(p) for p in pages], columns=["marked", "lines"])
+        return pd.DataFrame([marked_candidates(p) for p in pages], columns=["marked", "lines", "firm"])
 
     return of_page(html)
 
 
 def _find_templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of open pages the places of shared lines; of marked pages that are witnesses the hashes of shared lines, perhaps none."""
     fields = ("path", "hashes")
     for batch in batches:
-        hosts, codes, gone = [], [], []
+        hosts, codes, gone, shown = [], [], [], []
         for row in batch.to_pylist():
             seen = [tuple(p[f] for f in fields) if p else None for p in (row["page"], row["before"], row["after"])]
-            if places := template_lines(*seen):
-                hosts.append(row["host"])
-                codes.append(row["code"])
-                gone.append(places)
+            places = template_lines(*seen)
+            hashes = seen[0][1]
+            if places is None or (2 * len(places) > len(hashes) if row["marked"] else not places):
+                continue
+            hosts.append(row["host"])
+            codes.append(row["code"])
+            gone.append(None if row["marked"] else places)
+            shown.append(list({hashes[i] for i in places}) if row["marked"] else None)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(hosts, pa.string()), pa.array(codes, pa.int64()), pa.array(gone, pa.list_(pa.int32()))],
-            names=["host", "code", "gone"],
+            [pa.array(hosts, pa.string()), pa.array(codes, pa.int64()), pa.array(gone, pa.list_(pa.int32())), pa.array(shown, pa.list_(pa.int64()))],
+            names=["host", "code", "gone", "shown"],
         )
 
 
 def neighbours(distinct: DataFrame) -> DataFrame:
-    """(host, code, page, before, after) of distinct pages (host, code, page), where page is a struct
-    that begins with the path: the pages before and after it in its host's order."""
-    order = ["host", "page.path", "code"]
+    """(host, marked, code, page, before, after) of distinct pages (host, marked, code, page), where page is a
+    struct that begins with the path: the pages before and after it in its host's order, marked and open ones apart."""
+    order = ["host", "marked", "page.path", "code"]
     ranges = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = materialise(
         distinct.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id())
     )
-    row = F.struct("host", F.col("page.path").alias("path"), "code", "page")
+    row = F.struct("host", "marked", F.col("page.path").alias("path"), "code", "page")
     by_range = Window.orderBy("range")  # one row per range
     ends = dealt.groupBy("range").agg(F.min(row).alias("first"), F.max(row).alias("last")).withColumn(
         "beside", F.array(F.lag("last").over(by_range), F.lead("first").over(by_range))
     ).select("range", F.explode("beside").alias("r")).filter("r is not null")
-    lent = ends.select("r.host", "r.code", "r.page", "range", F.lit(True).alias("lent"))
+    lent = ends.select("r.host", "r.marked", "r.code", "r.page", "range", F.lit(True).alias("lent"))
     by_path = Window.partitionBy("range").orderBy(*order)
-    beside = lambda f: F.when(f("host").over(by_path) == F.col("host"), f("page").over(by_path))
+    group = F.struct("host", "marked")
+    beside = lambda f: F.when(f(group).over(by_path) == group, f("page").over(by_path))
     return (
         dealt.withColumn("lent", F.lit(False)).unionByName(lent)
         .withColumns({"before": beside(F.lag), "after": beside(F.lead)})
-        .filter("not lent").select("host", "code", "page", "before", "after")
+        .filter("not lent").select("host", "marked", "code", "page", "before", "after")
     )
 
 
+def template_of_hosts(witnesses: DataFrame) -> DataFrame:
+    """(host, line) of the lines that enough of a host's witnesses (host, shown) show."""
+    of_host = witnesses.groupBy("host").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= WITNESSES)
+    of_line = (
+        witnesses.select("host", F.explode("shown").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("showing"))
+        .filter(F.col("showing") >= WITNESSES)
+    )
+    over, under = SHARE
+    return of_line.join(of_host, "host").filter(F.col("showing") * under >= F.col("n") * over).select("host", "line")
+
+
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     host, path = split_url(F.col("url"))
     # A page is parsed once; its lines are kept, as templates and texts need them.
     parsed = materialise(pages.select("page_id", "url", host.alias("host"), path.alias("path"), _lines(F.col("html")).alias("p")).select(
-        "page_id", "url", "host", "path", "p.marked", "p.lines", F.xxhash64("p.marked", "p.lines").alias("code")))
-    page = F.struct("path", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"))
+        "page_id", "url", "host", "path", "p.marked", "p.lines", "p.firm", F.xxhash64("p.marked", "p.lines", "p.firm").alias("code")))
+    each = F.filter(F.arrays_zip("lines", "firm"), lambda x: ~x["firm"])
+    page = F.struct("path", F.transform(each, lambda x: F.xxhash64(x["lines"])).alias("hashes"))
     distinct = materialise(
-        parsed.filter(~F.col("marked") & (F.col("host") != "") & (F.size("lines") > 0))
-        .groupBy("host", "code").agg(F.min(page).alias("page"))
+        parsed.filter(F.col("host") != "").withColumn("page", page).filter(F.size("page.hashes") > 0)
+        .groupBy("host", "code").agg(F.first("marked").alias("marked"), F.min("page").alias("page"))
+    )
+    differenced = materialise(neighbours(distinct).mapInArrow(_find_templates, "host string, code long, gone array<int>, shown array<long>"))
+    of_hosts = materialise(template_of_hosts(differenced.filter("shown is not null").select("host", "shown")))
+    lines = parsed.filter("marked").select("host", "code", F.posexplode(F.arrays_zip("lines", "firm")).alias("place", "x"))
+    of_marked = (
+        lines.filter(~F.col("x.firm")).select("host", "code", "place", F.xxhash64("x.lines").alias("line"))
+        .join(of_hosts, ["host", "line"]).groupBy("host", "code").agg(F.collect_set("place").alias("gone"))
     )
-    templates = materialise(neighbours(distinct).mapInArrow(_find_templates, "host string, code long, gone array<int>"))
+    # Written, so that its size is known: texts are shuffled only if templates are found on many pages.
+    templates = materialise(differenced.filter("gone is not null").select("host", "code", "gone").unionByName(of_marked))
     places = F.sequence(F.lit(0), F.size("lines") - 1)
     kept = F.when(F.size("gone") > 0, F.transform(F.array_except(places, "gone"), lambda i: F.get("lines", i))).otherwise(F.col("lines"))
     return (

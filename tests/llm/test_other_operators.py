@@ -753,3 +753,47 @@ def test_sketches_rule_out_no_near_pair(spark):
     x, y = rng.integers(0, 2**64, 100, dtype=np.uint64), rng.integers(0, 2**64, 900, dtype=np.uint64)
     common, sizes = simhash.most_common(simhash.count_sketch(x), simhash.count_sketch(np.concatenate([x, y])))
     assert common == 100 and sizes == 1100
+
+
+def marked_site():
+    """(page_id, url, html, text) of pages that mark articles with a template inside, and of such that only look like it."""
+    rows = []
+
+    def add(url, body, text):
+        rows.append((len(rows), url, f"<nav>Menu</nav><article>{body}</article><footer>End</footer>", "\n".join(text)))
+
+    for i in range(12):  # a template in the article: a line before the text, an advert in it, a line after it
+        body = f"<h1>Title {i}</h1><p>By our staff</p><p>First {i}.</p><p>More {i}.</p><div>Advert</div><h2>Method</h2><ul><li>Step {i}<li>End {i}</ul><div>Advert</div><p>Join us</p>"
+        add(f"http://t.org/a/{i:02d}", body, [f"Title {i}", f"First {i}.", f"More {i}.", "Method", f"Step {i}", f"End {i}"])
+    add(*rows[3][1:2], rows[3][2][len("<nav>Menu</nav><article>"):-len("</article><footer>End</footer>")], rows[3][3].split("\n"))  # a copy
+    add("http://t.org/b", "<p>Other words</p><p>Join us</p>", ["Other words"])  # its nearest page is that of the next line
+    add("http://t.org/b/1", "<p>Own</p><p>words</p>", ["Own", "words"])
+    for i in range(6):  # versions of one text
+        lines = [f"Sentence {j}." if j != i else "Changed." for j in range(6)]
+        add(f"http://v.org/{i}", "".join(f"<p>{t}</p>" for t in lines), lines)
+    for i in range(9):  # a phrase on four of nine pages, one after the other
+        lines = [f"Mine {i}.", "A phrase."] if i < 4 else [f"Mine {i}.", f"More {i}."]
+        add(f"http://p.org/{i}", "".join(f"<p>{t}</p>" for t in lines), lines)
+    for i in range(2):  # two pages show no template
+        add(f"http://two.org/{i}", f"<p>Text {i}</p><p>Join us</p>", [f"Text {i}", "Join us"])
+    for i in range(5):  # headings, terms and cells of like articles
+        body = f"<h2>Facts</h2><table><tr><td>Height</td><td>{i} m</td></tr></table><dl><dt>Name</dt><dd>N{i}</dd></dl><p>About {i}.</p>"
+        add(f"http://f.org/{i}", body, ["Facts", "Height", f"{i} m", "Name", f"N{i}", f"About {i}."])
+    return rows
+
+
+def test_html_differencing_inside_articles(spark):
+    """A marked article loses what differencing shows on most pages of its host, and nothing else."""
+    rows = marked_site()
+    open_pages = [(100 + i, f"http://t.org/a/{i:02d}x", f"<p>top</p><p>open {i}</p>", f"open {i}") for i in range(4)]
+    rows += open_pages  # open pages of the same host are paired with each other
+    rows += [(200, None, "<article><p>Join us</p></article>", "Join us")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, expected string")
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for ranges in ("1", "8"):
+            spark.conf.set("spark.sql.shuffle.partitions", ranges)
+            got = html.extracted(df).collect()
+            assert {r["page_id"]: r["text"] for r in got} == {r[0]: r[3] for r in rows} and len(got) == len(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
