@@ -388,18 +388,21 @@ def extracted(pages: DataFrame) -> DataFrame:
         .groupBy("host", "code").agg(F.first("marked").alias("marked"), F.min("page").alias("page"))
     )
     differenced = materialise(neighbours(distinct).mapInArrow(_find_templates, "host string, code long, gone array<int>, shown array<long>"))
-    of_hosts = materialise(template_of_hosts(differenced.filter("shown is not null").select("host", "shown")))
-    lines = parsed.filter("marked").select("host", "code", F.posexplode(F.arrays_zip("lines", "firm")).alias("place", "x"))
-    of_marked = (
-        lines.filter(~F.col("x.firm")).select("host", "code", "place", F.xxhash64("x.lines").alias("line"))
-        .join(of_hosts, ["host", "line"]).groupBy("host", "code").agg(F.collect_set("place").alias("gone"))
+    # Both tables are written, so that their sizes are known: texts are shuffled only if these are too large to broadcast.
+    of_pages = materialise(differenced.filter("gone is not null").select("host", "code", "gone"))
+    of_hosts = materialise(
+        template_of_hosts(differenced.filter("shown is not null").select("host", "shown"))
+        .groupBy("host").agg(F.collect_list("line").alias("template")).withColumn("marked", F.lit(True))
     )
-    # Written, so that its size is known: texts are shuffled only if templates are found on many pages.
-    templates = materialise(differenced.filter("gone is not null").select("host", "code", "gone").unionByName(of_marked))
     places = F.sequence(F.lit(0), F.size("lines") - 1)
-    kept = F.when(F.size("gone") > 0, F.transform(F.array_except(places, "gone"), lambda i: F.get("lines", i))).otherwise(F.col("lines"))
+    own = F.filter(F.arrays_zip("lines", "firm"), lambda x: x["firm"] | ~F.array_contains("template", F.xxhash64(x["lines"])))
+    kept = (
+        F.when(F.col("template").isNotNull(), own["lines"])
+        .when(F.size("gone") > 0, F.transform(F.array_except(places, "gone"), lambda i: F.get("lines", i)))
+        .otherwise(F.col("lines"))
+    )
     return (
-        parsed.join(templates, ["host", "code"], "left")
+        parsed.join(of_pages, ["host", "code"], "left").join(of_hosts, ["host", "marked"], "left")
         .select("page_id", "url", F.array_join(kept, "\n").alias("text"))
         .withColumn("n_chars", F.char_length("text").cast("long"))
     )
